@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.functions.common import count_char, count_matches, extract_all, flag, kept_length, ratio, words
+from lurewatch.functions.common import count_char, count_matches, extract_all, flag, kept_length, member, ratio, words
 from lurewatch.functions.sender import domain_of, registrable
 from lurewatch.rules import dims, patterns as P
 
@@ -30,7 +30,7 @@ def phones(text: Column) -> Column:
     def describe(p):
         core = F.when(p.digits.startswith("1") & (F.length(p.digits) == 11), F.substring(p.digits, 2, 20)).otherwise(p.digits)
         return F.struct(p.raw.alias("raw"), p.digits.alias("digits"),
-                        F.left(core, F.lit(3)).isin(*dims.TOLL_FREE).alias("toll_free"),
+                        member(F.left(core, F.lit(3)), dims.TOLL_FREE).alias("toll_free"),
                         p.raw.startswith("+").alias("international"))
     return F.transform(first, describe)
 
@@ -95,8 +95,8 @@ def with_attachments(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "double_ext_files": F.array_distinct(extract_all(
             F.concat(F.col("body_text"), F.lit(" "), F.array_join(names, " ")), P.DOUBLE_EXT)),
-        "dangerous_in_body": F.filter("files_in_body", lambda n: extension(n).isin(*dims.DANGEROUS_EXT)),
-        "dangerous_files": F.filter(names, lambda n: extension(n).isin(*dims.DANGEROUS_EXT)),
+        "dangerous_in_body": F.filter("files_in_body", lambda n: member(extension(n), dims.DANGEROUS_EXT)),
+        "dangerous_files": F.filter(names, lambda n: member(extension(n), dims.DANGEROUS_EXT)),
     })
 
 
@@ -112,7 +112,7 @@ def attachment_features() -> dict[str, Column]:
     return {
         "att_count": F.size(names).cast("double"),
         "att_dangerous_count": F.size("dangerous_files").cast("double"),
-        "att_archive_count": F.size(F.filter(names, lambda n: extension(n).isin(*dims.ARCHIVE_EXT))).cast("double"),
+        "att_archive_count": F.size(F.filter(names, lambda n: member(extension(n), dims.ARCHIVE_EXT))).cast("double"),
         "att_double_extension": F.size("double_ext_files").cast("double"),
         "att_dangerous_named_in_body": F.size("dangerous_in_body").cast("double"),
         "att_any_named_in_body": F.size("files_in_body").cast("double"),
@@ -120,8 +120,15 @@ def attachment_features() -> dict[str, Column]:
 
 
 # ---- text shape
-def upper_ratio(text: Column) -> Column:
-    return ratio(kept_length(text, r"\P{Lu}+"), kept_length(text, r"\P{L}+"))
+def upper_ratio(text: Column, is_ascii: Column) -> Column:
+    plain = ratio(kept_length(text, "[^A-Z]+"), kept_length(text, "[^A-Za-z]+"))
+    return F.when(is_ascii, plain).otherwise(ratio(kept_length(text, r"\P{Lu}+"), kept_length(text, r"\P{L}+")))
+
+
+def all_caps_words(text: Column) -> Column:
+    """Words over three characters that have a capital and no small letter."""
+    unlowered = extract_all(text, r"(?<!\S)[^\s\p{Ll}]{4,}+(?!\S)")
+    return F.size(F.filter(unlowered, lambda x: (x == F.upper(x)) & (x != F.lower(x)))).cast("double")
 
 
 def homoglyphs(text: Column) -> Column:
@@ -129,7 +136,7 @@ def homoglyphs(text: Column) -> Column:
 
 
 def text_features() -> dict[str, Column]:
-    """27 shape features; needs subject, body, body_text (tags stripped) and body_words."""
+    """27 shape features; needs subject, body, body_text (tags stripped) and body_words (lower case)."""
     subj, body, vis, w = F.col("subject"), F.col("body"), F.col("body_text"), F.col("body_words")
     n = F.greatest(F.size(w), F.lit(1))
     has_html = F.coalesce(body.rlike(P.HTML_TAG), F.lit(False))
@@ -138,13 +145,13 @@ def text_features() -> dict[str, Column]:
     return {
         "txt_subject_len": F.length(subj).cast("double"),
         "txt_subject_words": F.size(words(subj)).cast("double"),
-        "txt_subject_upper_ratio": upper_ratio(subj),
+        "txt_subject_upper_ratio": upper_ratio(subj, is_ascii),
         "txt_subject_is_reply": flag(subj.rlike(P.REPLY_SUBJECT)),
         "txt_subject_exclaim": count_char(subj, "!").cast("double"),
         "txt_subject_empty": flag(~subj.rlike(r"\S")),
         "txt_body_len": F.length(vis).cast("double"),
         "txt_body_words": F.size(w).cast("double"),
-        "txt_body_upper_ratio": upper_ratio(vis),
+        "txt_body_upper_ratio": upper_ratio(vis, is_ascii),
         "txt_body_exclaim_rate": count_char(vis, "!") / n,
         "txt_body_question_rate": count_char(vis, "?") / n,
         "txt_has_html": flag(has_html),
@@ -158,12 +165,12 @@ def text_features() -> dict[str, Column]:
         "txt_link_char_ratio": (F.length(body) - F.length(F.regexp_replace(body, P.LINK_TEXT, "")))
         / F.greatest(F.length(body), F.lit(1)),
         "txt_thread_hijack_marker": flag(body.rlike(P.THREAD_MARKER)),
-        "txt_leet_tokens": count_matches(vis, P.LEET),
+        "txt_leet_tokens": F.when(vis.rlike(P.LEET_GUARD), count_matches(vis, P.LEET)).otherwise(zero),
         "txt_intraword_punct_rate": count_matches(vis, P.INTRAWORD_PUNCT) / n,
         "txt_spaced_letter_runs": count_matches(vis, P.SPACED_LETTERS),
         "txt_repeat_char_runs": count_matches(vis, P.REPEAT_RUN),
-        "txt_currency_mentions": count_matches(vis, P.CURRENCY),
-        "txt_all_caps_words": F.size(F.filter(w, lambda x: (F.length(x) > 3) & (x == F.upper(x)) & (x != F.lower(x)))).cast("double"),
+        "txt_currency_mentions": F.when(vis.rlike(P.CURRENCY_GUARD), count_matches(vis, P.CURRENCY)).otherwise(zero),
+        "txt_all_caps_words": all_caps_words(vis),
         "txt_mean_word_len": kept_length(vis, r"\s+") / n,
-        "txt_unique_word_ratio": F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))) / n,
+        "txt_unique_word_ratio": F.size(F.array_distinct(w)) / n,
     }

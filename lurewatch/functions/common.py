@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,7 @@ def count_char(text: Column, ch: str) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words; an empty text has none."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def flag(c: Column) -> Column:
@@ -37,8 +37,29 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(0.0))
 
 
+def sql_string(text: str) -> str:
+    """A SQL string literal (backslashes and quotes escaped)."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array of strings."""
+    return F.expr("array(" + ", ".join(sql_string(v) for v in values) + ")")
+
+
+def member(c: Column, values) -> Column:
+    """c is one of a fixed list."""
+    return F.array_contains(strings(values), c)
+
+
+def fence(df: DataFrame, column: str) -> DataFrame:
+    """Keep later filters and projections from inlining the expression behind `column`.
+
+    Catalyst pushes a filter (also the IS NOT NULL an inner join implies) through projections by copying expressions.
+    Over the long feature chain that copies whole regex families. A projection with a row id test is left in place; the
+    value itself never changes.
+    """
+    return df.withColumn(column, F.when(F.monotonically_increasing_id() >= 0, F.col(column)))
 
 
 def collapse(text: Column) -> Column:
@@ -46,7 +67,4 @@ def collapse(text: Column) -> Column:
 
 
 def string_map(pairs) -> Column:
-    flat = []
-    for k, v in pairs:
-        flat += [F.lit(k), F.lit(v)]
-    return F.create_map(*flat)
+    return F.expr("map(" + ", ".join(f"{sql_string(k)}, {sql_string(v)}" for k, v in pairs) + ")")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.functions.common import extract_all, kept_length
+from lurewatch.functions.common import extract_all, kept_length, member
 
 # script, language, code point ranges
 SCRIPTS = (
@@ -71,7 +71,7 @@ def stopword_scores(words: Column) -> Column:
     """array of (lang, hits, seen): function-word hits and distinct function words per language, in list order."""
     def one(lang, text):
         sw = text.split()
-        hits = F.filter(words, lambda w: w.isin(*sw))
+        hits = F.filter(words, lambda w: member(w, sw))
         return F.struct(F.lit(lang).alias("lang"), F.size(hits).alias("hits"), F.size(F.array_distinct(hits)).alias("seen"))
     return F.array(*[one(k, v) for k, v in STOPWORDS.items()])
 

@@ -5,24 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.functions.common import collapse, extract_all
-from lurewatch.rules.lexicons import compile_banks
+from lurewatch.functions.common import collapse, extract_all, strings
+from lurewatch.rules import patterns as P
+from lurewatch.rules.lexicons import compile_banks, prefix_free, seeds, trie_pattern
+
+
+def with_triggers(df: DataFrame, banks=None) -> DataFrame:
+    """Add body_low, subject_low, both_text and `triggers`: the seed literals found anywhere in subject or body.
+
+    One pass over the text finds the seeds of every bank and text flag; a bank's own regex then runs only on rows that
+    hold one of its seeds. A pattern that has no seeds always runs.
+    """
+    df = df.withColumns({"body_low": F.lower("body_text"), "subject_low": F.lower("subject")})
+    df = df.withColumn("both_text", F.concat("subject_low", F.lit(" "), "body_low"))
+    found = extract_all(F.col("both_text"), "(?=(" + trie_pattern(all_seeds(banks)) + "))", 1)
+    return df.withColumn("triggers", F.array_distinct(found))
+
+
+def all_seeds(banks=None) -> tuple[str, ...]:
+    pats = [*compile_banks(banks).values(), *P.TEXT_FLAGS.values()]
+    return prefix_free(v for p in pats for v in (seeds(p) or ()))
+
+
+def guard(pattern: str, banks=None) -> Column:
+    """False only where the pattern cannot match."""
+    own = seeds(pattern)
+    if not own:
+        return F.lit(True)
+    short = sorted({t for t in all_seeds(banks) for v in own if v.startswith(t)})
+    return F.arrays_overlap("triggers", strings(short))
+
+
+def guarded_count(text: Column, pattern: str, banks=None) -> Column:
+    n = F.regexp_count(text, F.lit(pattern)).cast("double")
+    return F.when(guard(pattern, banks), n).otherwise(F.lit(0.0))
+
+
+def text_flags(banks=None) -> dict[str, Column]:
+    """The phrase flags on subject and body; needs `with_triggers`."""
+    return {n: guard(p, banks) & F.col("both_text").rlike(p) for n, p in P.TEXT_FLAGS.items()}
 
 
 def lexicon_counts(banks=None) -> dict[str, Column]:
-    out = {}
-    for name, pat in compile_banks(banks).items():
-        out[f"lex_{name}_count"] = F.regexp_count("body_text", F.lit(pat)).cast("double")
-    for name, pat in compile_banks(banks).items():
-        out[f"lexsubj_{name}"] = F.regexp_count("subject", F.lit(pat)).cast("double")
-    return out
+    """Counts per bank in body and subject; needs `with_triggers`."""
+    pats = compile_banks(banks)
+    out = {f"lex_{n}_count": guarded_count(F.col("body_text"), p, banks) for n, p in pats.items()}
+    return out | {f"lexsubj_{n}": guarded_count(F.col("subject"), p, banks) for n, p in pats.items()}
 
 
 def lexicon_rates(n_words: Column, banks=None) -> dict[str, Column]:
     return {f"lex_{n}_rate": F.col(f"lex_{n}_count") * 1000.0 / F.greatest(n_words, F.lit(1)) for n in compile_banks(banks)}
 
 
-def spans(text: Column, lexicon: str, pattern: str, field: str) -> Column:
+def spans(text: Column, lexicon: str, pattern: str, field: str, banks=None) -> Column:
     """array of (lexicon, field, term, start, end). Offsets come from the gaps between matches and the matches."""
     terms = extract_all(text, pattern)
     gaps = F.split(text, pattern, -1)
@@ -38,15 +73,15 @@ def spans(text: Column, lexicon: str, pattern: str, field: str) -> Column:
         F.lit(lexicon).alias("lexicon"), F.lit(field).alias("field"), s.term.alias("term"), s.start.alias("start"),
         (s.start + F.length(s.term)).alias("end")))
     none = F.array().cast("array<struct<lexicon:string,field:string,term:string,start:int,end:int>>")
-    return F.when(text.rlike(pattern), made).otherwise(none)
+    return F.when(guard(pattern, banks) & text.rlike(pattern), made).otherwise(none)
 
 
 def with_hits(df: DataFrame, banks=None, only: tuple[str, ...] | None = None) -> DataFrame:
     """Add `hits`: every span, body banks first, then subject banks, in bank order."""
     pats = {k: v for k, v in compile_banks(banks).items() if only is None or k in only}
-    arrays = [spans(F.col("body_text"), n, p, "body") for n, p in pats.items()]
-    arrays += [spans(F.col("subject"), n, p, "subject") for n, p in pats.items()]
-    return df.withColumn("hits", F.concat(*arrays))
+    arrays = [spans(F.col("body_text"), n, p, "body", banks) for n, p in pats.items()]
+    arrays += [spans(F.col("subject"), n, p, "subject", banks) for n, p in pats.items()]
+    return with_triggers(df, banks).withColumn("hits", F.concat(*arrays)).drop("body_low", "subject_low", "both_text", "triggers")
 
 
 def quote(text: Column, start: Column, end: Column, pad: int = 45) -> Column:

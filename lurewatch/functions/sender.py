@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.functions.common import flag, kept_length, ratio, string_map, strings
+from lurewatch.functions.common import flag, kept_length, member, ratio, sql_string, string_map, strings
 from lurewatch.rules import dims, patterns as P
 
 REGISTRABLE = r"((?:[^.]+\.(?:" + "|".join(dims.SUFFIX_LABELS) + r")\.[^.]{2})|[^.]+\.[^.]+|[^.]+)$"
@@ -43,7 +43,8 @@ def entropy(s: Column) -> Column:
 
 
 def _tokens() -> Column:
-    return F.array(*[F.struct(F.lit(t).alias("token"), F.lit(b).alias("brand")) for t, b in dims.brand_tokens()])
+    return F.expr("array(" + ", ".join(
+        f"named_struct('token', {sql_string(t)}, 'brand', {sql_string(b)})" for t, b in dims.brand_tokens()) + ")")
 
 
 def owner_of(domain: Column) -> Column:
@@ -71,7 +72,7 @@ def lookalike(domain: Column) -> Column:
     near = F.filter(strings(LOOKALIKE_TARGETS), lambda d: F.abs(F.length(d) - F.length(domain)) <= 2)
     scored = F.transform(near, lambda d: F.struct(F.levenshtein(domain, d, 2).alias("distance"), d.alias("domain")))
     best = F.array_min(F.filter(scored, lambda s: s.distance > 0))
-    return F.when((F.length(domain) >= 8) & ~domain.isin(*dims.LEGIT_DOMAINS), best)
+    return F.when((F.length(domain) >= 8) & ~member(domain, dims.LEGIT_DOMAINS), best)
 
 
 def with_sender(df: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def with_sender(df: DataFrame) -> DataFrame:
         "local_part": F.when(addr.contains("@"), F.left(addr, F.length(addr) - F.length("domain") - F.lit(1)))
         .otherwise(F.lit("")),
         "tld": F.when(reg.contains("."), F.substring_index(reg, ".", -1)).otherwise(F.lit("")),
-        "is_freemail": reg.isin(*dims.FREEMAIL),
+        "is_freemail": member(reg, dims.FREEMAIL),
         "claimed_brand": claimed_brand(F.col("display_name")),
         "near": lookalike(reg),
     })
@@ -116,7 +117,7 @@ def header_features() -> dict[str, Column]:
         "hdr_brand_display_mismatch": flag(F.col("brand_mismatch")),
         "hdr_domain_is_lookalike": flag(F.col("lookalike_of").isNotNull()),
         "hdr_sender_freemail": flag(F.col("is_freemail")),
-        "hdr_sender_tld_high_risk": flag(F.col("tld").isin(*dims.HIGH_RISK_TLDS)),
+        "hdr_sender_tld_high_risk": flag(member(F.col("tld"), dims.HIGH_RISK_TLDS)),
         "hdr_sender_domain_digits": kept_length(reg, "[^0-9]+").cast("double"),
         "hdr_sender_domain_len": F.length(reg).cast("double"),
         "hdr_sender_subdomain_depth": F.greatest(F.lit(0), dots(dom) - dots(reg)).cast("double"),

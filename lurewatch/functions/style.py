@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.functions.common import count_char, count_matches, extract_all, flag, kept_length, words
+from lurewatch.functions.common import count_char, count_matches, extract_all, flag, kept_length, member, sql_string, words
 from lurewatch.rules import patterns as P
 
 MIN_TOKENS, MIN_MESSAGES, MIN_TRAITS, SUSPICIOUS = 80, 12, 10, 1.16
@@ -65,7 +65,7 @@ def with_traits(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("toks", extract_all(F.lower("own"), P.STYLE_TOKEN)).withColumn("n_tokens", F.size("toks"))
     df = df.where(F.col("n_tokens") >= MIN_TOKENS)
     own, toks, n = F.col("own"), F.col("toks"), F.col("n_tokens")
-    fw = F.filter(toks, lambda t: t.isin(*FUNCTION_WORDS))
+    fw = F.filter(toks, lambda t: member(t, FUNCTION_WORDS))
     df = df.withColumns({
         "fw_hits": fw,
         "sorted_toks": F.array_sort(toks),
@@ -86,7 +86,7 @@ def with_traits(df: DataFrame, text: str) -> DataFrame:
         F.coalesce(F.get("sorted_toks", i - 1) != t, F.lit(True)) & F.coalesce(F.get("sorted_toks", i + 1) != t, F.lit(True)))))
     caps = F.size(F.filter("own_words", lambda w: (F.length(w) > 2) & (w == F.upper(w)) & (w != F.lower(w))))
     mean = F.col("mean_len")
-    out = {f"fw_{w}": 1000.0 * F.size(F.filter("fw_hits", lambda t, w=w: t == w)) / n for w in FUNCTION_WORDS}
+    out = {f"fw_{w}": F.expr(f"1000.0D * size(filter(fw_hits, t -> t = {sql_string(w)})) / n_tokens") for w in FUNCTION_WORDS}
     out |= {f"pn_{k}": 1000.0 * count_char(own, c) / ch for k, c in PUNCTUATION.items()}
     out |= {
         "st_sentence_len": mean,

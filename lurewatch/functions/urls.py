@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.functions.common import collapse, extract_all, flag, ratio
+from lurewatch.functions.common import collapse, extract_all, fence, flag, member, ratio, sql_string
 from lurewatch.functions.sender import owner_of, registrable
 from lurewatch.rules import dims, patterns as P
 
@@ -63,55 +63,52 @@ def add_domains(parts: Column) -> Column:
         return F.struct(
             x.raw.alias("raw"), x.anchor_text.alias("anchor_text"), x.scheme.alias("scheme"), x.host.alias("host"),
             x.userinfo.alias("userinfo"), x.path.alias("path"), reg.alias("registrable"),
-            owner_of(reg).alias("owner"), F.lower(decoded).alias("hay"), ext.alias("ext"), shown.alias("shown"),
+            owner_of(reg).alias("owner"), F.substring_index(reg, ".", 1).alias("base"),
+            F.when(reg.contains("."), F.substring_index(reg, ".", -1)).otherwise(F.lit("")).alias("tld"),
+            F.lower(decoded).alias("hay"), ext.alias("ext"), shown.alias("shown"),
+            registrable(F.substring_index(F.regexp_replace(shown, "https?://", ""), "/", 1)).alias("shown_registrable"),
         )
     return F.transform(parts, more)
 
 
-def add_flags(parts: Column) -> Column:
-    long_tokens = F.array(*[
-        F.struct(F.lit(t).alias("token"), F.lit(b).alias("brand"), F.lit(b.replace(" ", "")).alias("base"))
-        for t, b in dims.brand_tokens() if len(t) >= 4])
-
-    def flags(x):
-        tld = F.when(x.registrable.contains("."), F.substring_index(x.registrable, ".", -1)).otherwise(F.lit(""))
-        base = F.substring_index(x.registrable, ".", 1)
-        borrowed = F.exists(long_tokens, lambda t: x.hay.contains(t.token) & ~(
-            F.coalesce(t.brand == x.owner, F.lit(False)) | ((base != "") & (t.base == base))))
-        shown_reg = registrable(F.substring_index(F.replace(F.replace(
-            x.shown, F.lit("https://"), F.lit("")), F.lit("http://"), F.lit("")), "/", 1))
-        anchor = (x.shown.contains(".") & ~x.shown.contains(" ") & (x.shown != x.host)
-                  & shown_reg.contains(".") & (shown_reg != x.registrable))
-        dangerous = x.ext.isin(*dims.DANGEROUS_EXT)
-        return F.struct(
-            x.raw.alias("raw"), x.anchor_text.alias("anchor_text"), x.scheme.alias("scheme"), x.host.alias("host"),
-            x.path.alias("path"), x.registrable.alias("registrable"), tld.alias("tld"), x.ext.alias("ext"),
-            x.userinfo.alias("userinfo"),
-            x.host.rlike(P.IP_HOST).alias("ip_literal"),
-            x.registrable.isin(*dims.SHORTENERS).alias("shortener"),
-            x.host.contains("xn--").alias("punycode"),
-            tld.isin(*dims.HIGH_RISK_TLDS).alias("high_risk_tld"),
-            x.path.rlike(P.CREDENTIAL_PATH).alias("credential_path"),
-            (F.regexp_count(x.raw, F.lit(P.PERCENT_ESCAPE)) >= 4).alias("hex_encoding"),
-            (F.length(x.host) - F.length(F.replace(x.host, F.lit("."), F.lit(""))) >= 4).alias("deep_subdomain"),
-            borrowed.alias("brand_mismatch"),
-            dangerous.alias("dangerous_ext"),
-            (~dangerous & x.ext.isin(*dims.ARCHIVE_EXT)).alias("archive_ext"),
-            F.coalesce(anchor, F.lit(False)).alias("anchor_mismatch"),
-        )
-    return F.transform(parts, flags)
+def add_flags(urls: str) -> Column:
+    """The twelve flags of each link, written as one SQL lambda over the staged facts."""
+    def member_sql(c, values):
+        return f"array_contains(array({', '.join(sql_string(v) for v in values)}), {c})"
+
+    tokens = ", ".join(
+        f"named_struct('token', {sql_string(t)}, 'brand', {sql_string(b)}, 'base', {sql_string(b.replace(' ', ''))})"
+        for t, b in dims.brand_tokens() if len(t) >= 4)
+    return F.expr(f"""
+      transform({urls}, x -> named_struct(
+        'raw', x.raw, 'anchor_text', x.anchor_text, 'scheme', x.scheme, 'host', x.host, 'path', x.path,
+        'registrable', x.registrable, 'tld', x.tld, 'ext', x.ext, 'userinfo', x.userinfo,
+        'ip_literal', x.host RLIKE {sql_string(P.IP_HOST)},
+        'shortener', {member_sql('x.registrable', dims.SHORTENERS)},
+        'punycode', contains(x.host, 'xn--'),
+        'high_risk_tld', {member_sql('x.tld', dims.HIGH_RISK_TLDS)},
+        'credential_path', x.path RLIKE {sql_string(P.CREDENTIAL_PATH)},
+        'hex_encoding', regexp_count(x.raw, {sql_string(P.PERCENT_ESCAPE)}) >= 4,
+        'deep_subdomain', length(x.host) - length(replace(x.host, '.', '')) >= 4,
+        'brand_mismatch', exists(array({tokens}), t -> contains(x.hay, t.token) AND NOT (
+            coalesce(t.brand = x.owner, false) OR (x.base <> '' AND t.base = x.base))),
+        'dangerous_ext', {member_sql('x.ext', dims.DANGEROUS_EXT)},
+        'archive_ext', NOT {member_sql('x.ext', dims.DANGEROUS_EXT)} AND {member_sql('x.ext', dims.ARCHIVE_EXT)},
+        'anchor_mismatch', coalesce(contains(x.shown, '.') AND NOT contains(x.shown, ' ') AND x.shown <> x.host
+            AND contains(x.shown_registrable, '.') AND x.shown_registrable <> x.registrable, false)))""")
 
 
 def with_urls(df: DataFrame, text: str = "body_text", html: str = "body") -> DataFrame:
     """Add `urls`: array of link facts with twelve boolean flags. Each step is its own projection, so no step is
     evaluated twice."""
-    return (
+    df = (
         df.withColumn("urls", candidates(F.col(text), F.coalesce(F.col(html), F.lit(""))))
         .withColumn("urls", keep_first(F.col("urls")))
         .withColumn("urls", split_parts(F.col("urls")))
         .withColumn("urls", add_domains(F.col("urls")))
-        .withColumn("urls", add_flags(F.col("urls")))
+        .withColumn("urls", add_flags("urls"))
     )
+    return fence(df, "urls")
 
 
 def url_features() -> dict[str, Column]:
@@ -147,12 +144,12 @@ def url_features() -> dict[str, Column]:
         "url_https_ratio": ratio(total(lambda u: (u.scheme == "https").cast("int")), n),
         "url_flag_density": ratio(n_flags, n),
         "url_legit_domain_ratio": ratio(
-            total(lambda u: u.registrable.isin(*dims.LEGIT_DOMAINS).cast("int")), n),
+            total(lambda u: member(u.registrable, dims.LEGIT_DOMAINS).cast("int")), n),
     }
 
 
 def hard_executable_link(allow_sender: Column, allow_link) -> Column:
     """A link path ends in a directly executable type; allowlisted senders and link domains are left out."""
-    hit = F.exists(F.col("urls"), lambda u: u.ext.isin(*dims.HARD_EXECUTABLE_EXT) & u.path.contains(".")
+    hit = F.exists(F.col("urls"), lambda u: member(u.ext, dims.HARD_EXECUTABLE_EXT) & u.path.contains(".")
                    & ~allow_link(u.registrable))
     return ~allow_sender & hit

@@ -15,7 +15,7 @@ def domain_age(df: DataFrame, registry: DataFrame, as_of: Column) -> DataFrame:
     """Add domain_age_days as of a date, from the registration date (never from a stored age)."""
     reg = registry.select(F.col("domain").alias("registrable"), "registered")
     out = salted_lookup(df, reg, "registrable")
-    return out.withColumn("domain_age_days", F.greatest(F.lit(0), F.datediff(as_of, "registered"))).drop("registered")
+    return out.withColumn("domain_age_days", F.when(F.col("registered").isNotNull(), F.greatest(F.lit(0), F.datediff(as_of, "registered")))).drop("registered")
 
 
 def age_buckets(df: DataFrame, registry: DataFrame, as_of: Column) -> DataFrame:

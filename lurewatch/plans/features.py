@@ -61,14 +61,12 @@ def with_features(df: DataFrame, banks=None, allowlist: tuple[str, ...] = (), ke
     phone_text = F.concat("subject", F.lit("\n"), "body_text")
     df = df.withColumns({**S.header_features(), **U.url_features(), **B.identity_features(), **B.attachment_features(),
                          **B.phone_features(phone_text)})
-    df = df.withColumn("body_words", words(F.col("body_text"))).withColumns(B.text_features())
-    df = df.withColumns(LX.lexicon_counts(banks))
-    df = df.withColumn("both_text", F.lower(F.concat("subject", F.lit(" "), "body_text")))
-    df = df.withColumns({name: F.col("both_text").rlike(pat) for name, pat in P.TEXT_FLAGS.items()})
+    df = LX.with_triggers(df, banks).withColumn("body_words", words(F.col("body_low")))
+    df = df.withColumns(B.text_features()).withColumns({**LX.lexicon_counts(banks), **LX.text_flags(banks)})
     df = df.withColumns(LX.lexicon_rates(F.col("txt_body_words"), banks))
     claims = (F.col("txt_subject_is_reply") > 0) | (F.col("in_reply_to") != "") | (T.quoted_text(F.col("body")) != "")
     df = df.withColumn("thr_claims_thread", claims.cast("double"))
     for name in STATE_FEATURES[1:]:
         df = df.withColumn(name, F.lit(0.0)) if name not in df.columns else df
-    drop = ["body_words", "both_text"] + ([] if keep_text else ["body", "body_text"])
+    drop = ["body_words", "both_text", "body_low", "subject_low", "triggers"] + ([] if keep_text else ["body", "body_text"])
     return df.drop(*drop)

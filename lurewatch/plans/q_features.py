@@ -134,7 +134,7 @@ def fx_embedded_identity(spark, d):
 
 @query
 def fx_text_features(spark, d):
-    df = prepare(messages(spark, d)).withColumn("body_words", words(F.col("body_text")))
+    df = prepare(messages(spark, d)).withColumn("body_words", words(F.lower("body_text")))
     return rounded(df.select("message_id", *[c.alias(n) for n, c in B.text_features().items()]))
 
 
@@ -163,7 +163,7 @@ def fx_lexicon_hits(spark, d):
 @query
 def fx_lexicon_features(spark, d):
     df = prepare(messages(spark, d)).select("message_id", "subject", "body_text")
-    df = df.withColumn("n_words", F.size(words(F.col("body_text")))).withColumns(LX.lexicon_counts())
+    df = LX.with_triggers(df).withColumn("n_words", F.size(words(F.col("body_text")))).withColumns(LX.lexicon_counts())
     df = df.withColumns(LX.lexicon_rates(F.col("n_words")))
     return rounded(df.select("message_id", *[n for n in feature_names() if n.startswith("lex")]))
 

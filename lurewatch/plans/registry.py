@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_features",)
+MODULES = ("q_features", "q_scoring")
 
 
 def queries() -> dict:

@@ -134,8 +134,21 @@ SELECT message_id, claim_no, quote, CAST(0.9 AS double) AS strength FROM (
 
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute by a unique key when the scan has fewer splits than the cluster has cores.
+
+    Per-message work is CPU-bound regex matching. A large scan has many splits and is left alone (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -70,14 +70,19 @@ THREAD_MARKER = (
     r"(?im)^\s*(?:-{2,}\s*original message\s*-{2,}|on [^\n]{0,60}wrote:|from:[^\n]*\n(?:sent|date):|>{1,}\s)"
 )
 REPLY_SUBJECT = r"(?i)^\s*(?:re|fw|fwd)\s*:"
-LEET = r"(?i)\b[a-z]*[0134578@$]{1,}[a-z]+\b"
+LEET_PLAIN = r"(?i)\b[a-z]*[0134578@$]{1,}[a-z]+\b"
+LEET = r"(?i)\b[a-z]*+[0134578@$]{1,}+[a-z]++\b"
 REPEAT_RUN = r"(.)\1{3,}"
-INTRAWORD_PUNCT = r"(?i)\b[a-z]{1,}['\-\.\|_]+[a-z]{1,}\b"
+INTRAWORD_PUNCT_PLAIN = r"(?i)\b[a-z]{1,}['\-\.\|_]+[a-z]{1,}\b"
+INTRAWORD_PUNCT = r"(?i)\b[a-z]{1,}+['\-\.\|_]++[a-z]{1,}+\b"
 SPACED_LETTERS = r"(?i)(?:\b[a-z]\s){3,}[a-z]\b"
 CURRENCY = (
     r"(?i)(?:[$£€₹]\s?[\d,]+(?:\.\d+)?(?:\s?(?:k|m|million|billion|bn))?|\b[\d,]+(?:\.\d+)?\s?[$£€₹]|"
     r"\b\d[\d,]*(?:\.\d+)?\s?(?:usd|eur|gbp|inr|dollars|pounds|euros|rupees)\b)"
 )
+# cheap necessary conditions of the two patterns above
+LEET_GUARD = "[0134578@$][A-Za-z]"
+CURRENCY_GUARD = r"[$£€₹]|[0-9,]\s?(?i:usd|eur|gbp|inr|dollars|pounds|euros|rupees)"
 LINK_TEXT = r"https?://\S+"
 
 

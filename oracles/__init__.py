@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_features",)
+MODULES = ("q_features", "q_scoring")
 
 
 def oracle_sql() -> dict[str, str]:

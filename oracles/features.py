@@ -21,6 +21,11 @@ def kept(text: str, dropped: str) -> str:
     return f"CAST(length(regexp_replace({text}, {s(dropped)}, '', 'g')) AS DOUBLE)"
 
 
+def fold(text: str) -> str:
+    """Accented letters as plain ones: RE2's word boundary only knows ASCII, Java's knows all letters."""
+    return f"regexp_replace({text}, '[\\x{{C0}}-\\x{{24F}}]', 'x', 'g')"
+
+
 def words(text: str) -> str:
     return f"list_filter(string_split_regex({text}, '\\s+'), lambda w: w <> '')"
 
@@ -225,10 +230,16 @@ SELECT message_id, len(names)::DOUBLE AS att_count, len(dangerous)::DOUBLE AS at
   len(doubles)::DOUBLE AS att_double_extension, len(dangerous_in_body)::DOUBLE AS att_dangerous_named_in_body,
   len(in_body)::DOUBLE AS att_any_named_in_body FROM files""")
 
-REPEAT = "|".join(re.escape(chr(c)) + "{4,}" for c in range(32, 127))
+REPEAT = "|".join(re.escape(chr(c)) + "{4,}" for c in (9, *range(32, 127), *range(0xC0, 0x180)))
 _N = f"greatest(len({words('body_text')}), 1)"
 
 
+def quoted(body: str) -> str:
+    lines = f"list_filter(list_transform(regexp_extract_all({body}, {s(P.QUOTED_LINE)}, 1), lambda l: trim(l)), lambda l: l <> '')"
+    return (f"CASE WHEN {has(body, r'(?m)^\s*>')} THEN coalesce(array_to_string({lines}, ' '), '') "
+            f"WHEN {has(body, P.QUOTE_INTRO)} THEN trim(substr(regexp_extract({body}, {s(P.QUOTE_INTRO + r'([\s\S]*)')}, 1), 1, 1500)) ELSE '' END")
+
+
 def upper_ratio(t: str) -> str:
     return div(kept(t, r"\P{Lu}+"), kept(t, r"\P{L}+"))
 
@@ -257,11 +268,11 @@ TEXT = {
     "txt_non_ascii_ratio": div(count("body_text", r"[^\x00-\x7F]"), "length(body_text)"),
     "txt_link_char_ratio": f"coalesce(list_sum(list_transform(regexp_extract_all(body, {s(P.LINK_TEXT)}), lambda u: length(u))), 0)::DOUBLE / greatest(length(body), 1)",
     "txt_thread_hijack_marker": flag(has("body", P.THREAD_MARKER)),
-    "txt_leet_tokens": count("body_text", P.LEET),
-    "txt_intraword_punct_rate": f"{count('body_text', P.INTRAWORD_PUNCT)} / {_N}",
+    "txt_leet_tokens": count("body_text", P.LEET_PLAIN),
+    "txt_intraword_punct_rate": f"{count('body_text', P.INTRAWORD_PUNCT_PLAIN)} / {_N}",
     "txt_spaced_letter_runs": count("body_text", P.SPACED_LETTERS),
     "txt_repeat_char_runs": count("body_text", REPEAT),
-    "txt_currency_mentions": count("body_text", P.CURRENCY),
+    "txt_currency_mentions": count(fold("body_text"), P.CURRENCY),
     "txt_all_caps_words": f"len(list_filter({words('body_text')}, lambda x: length(x) > 3 AND x = upper(x) AND x <> lower(x)))::DOUBLE",
     "txt_mean_word_len": f"list_sum(list_transform({words('body_text')}, lambda x: length(x)))::DOUBLE / {_N}",
     "txt_unique_word_ratio": f"len(list_distinct(list_transform({words('body_text')}, lambda x: lower(x))))::DOUBLE / {_N}",
@@ -288,9 +299,8 @@ SELECT message_id, auth_results <> '' AND registrable <> '' AND ({aligned(P.DKIM
   {has('display_name', P.OFFICIAL_DISPLAY)} AS official_display, contains(domain, 'xn--') AS sender_punycode
 FROM sender_facts""")
 cte("feat", ("sender_facts", "f_header", "f_url", "f_phone", "f_identity", "f_text", "f_attach", "f_lex", "f_flags", "f_auth"), f"""
-SELECT *, CASE WHEN txt_subject_is_reply > 0 OR in_reply_to <> '' OR {has('body', r'(?m)^\s*>+[ \t]?[^\n]*\S')}
-                 OR {has('body', P.QUOTE_INTRO)} THEN 1.0 ELSE 0.0 END AS thr_claims_thread,
-  0.0 AS thr_fabricated FROM sender_facts
+SELECT *, CASE WHEN txt_subject_is_reply > 0 OR in_reply_to <> '' OR {quoted('body')} <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS thr_claims_thread,
+  0.0::DOUBLE AS thr_fabricated FROM sender_facts
 JOIN f_header USING (message_id) JOIN f_url USING (message_id) JOIN f_phone USING (message_id) JOIN f_identity USING (message_id)
 JOIN f_text USING (message_id) JOIN f_attach USING (message_id) JOIN f_lex USING (message_id) JOIN f_flags USING (message_id)
 JOIN f_auth USING (message_id)""")

@@ -11,7 +11,7 @@ from lurewatch.rules import dims, patterns as P
 from lurewatch.rules.lexicons import BANK_NAMES
 from lurewatch.sources.corpora import ENTITIES
 from oracles.base import count, cte, flag, has, lst, q, rows, s
-from oracles.features import BANKS, HEADER, TEXT, kept, url_ctes, words
+from oracles.features import BANKS, HEADER, TEXT, fold, kept, quoted, url_ctes, words
 
 ORACLE: dict[str, str] = {}
 
@@ -111,12 +111,6 @@ NORM = "substr(trim(regexp_replace(lower(regexp_replace(trim(subject), '(?i)^\\s
 ORACLE["fx_subject_norm"] = q(f"SELECT {NORM} AS norm, count(*) AS n FROM messages GROUP BY ALL", "messages")
 
 
-def quoted(body: str) -> str:
-    lines = f"list_filter(list_transform(regexp_extract_all({body}, {s(P.QUOTED_LINE)}, 1), lambda l: trim(l)), lambda l: l <> '')"
-    return (f"CASE WHEN {has(body, r'(?m)^\s*>')} THEN coalesce(array_to_string({lines}, ' '), '') "
-            f"WHEN {has(body, P.QUOTE_INTRO)} THEN trim(substr(regexp_extract({body}, {s(P.QUOTE_INTRO + r'([\s\S]*)')}, 1), 1, 1500)) ELSE '' END")
-
-
 ORACLE["fx_quoted_text"] = q(f"SELECT message_id, {quoted('body')} AS quoted FROM messages WHERE {quoted('body')} <> ''", "messages")
 ORACLE["fx_msgids"] = q(f"SELECT message_id, lower(unnest(regexp_extract_all(in_reply_to, {s(P.MESSAGE_ID)}, 1))) AS ref FROM messages", "messages")
 
@@ -134,24 +128,6 @@ FROM documents d LEFT JOIN ({shingle_rows('documents', 'doc_id', 'text')}) x USI
 
 
 def simhash_sql(source: str, key: str, text: str) -> str:
-    bits = " | ".join(f"(CASE WHEN s{b} * 2 > n THEN {1 << b} ELSE 0 END)" for b in range(32))
-    hbits = " | ".join(f"(CASE WHEN h{b} * 2 > n THEN {1 << b} ELSE 0 END)" for b in range(32))
-    sums = ", ".join(f"sum((lo >> {b}) & 1) AS s{b}, sum((hi >> {b}) & 1) AS h{b}" for b in range(32))
-    return f"""
-SELECT k.{key}, CASE WHEN h IS NULL THEN 0 WHEN h >= 2147483648 THEN CAST((h - 4294967296) * 4294967296 + l AS BIGINT)
-                   ELSE CAST(h * 4294967296 + l AS BIGINT) END AS simhash
-FROM {source} k LEFT JOIN (
-  SELECT {key}, CAST({hbits} AS HUGEINT) AS h, CAST({bits} AS HUGEINT) AS l FROM (
-    SELECT {key}, count(*) AS n, {', '.join(f'CAST(s{b} AS BIGINT) AS s{b}, CAST(h{b} AS BIGINT) AS h{b}' for b in range(32))} FROM (
-      SELECT {key}, count(*) AS n, {sums} FROM (
-        SELECT {key}, ('0x' || substr(md5(g), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(g), 9, 8))::BIGINT AS lo FROM (
-          SELECT {key}, array_to_string(t[i:i + 2], ' ') AS g FROM (
-            SELECT {key}, t, unnest(range(1, len(t) - 1)) AS i FROM (
-              SELECT {key}, regexp_extract_all(lower({text}), {s(P.WORD_TOKEN)}) AS t FROM {source}))))
-      GROUP BY {key}) z GROUP BY ALL)) v USING ({key})"""
-
-
-def _simhash(source: str, key: str, text: str) -> str:
     """Bit sums per text, then the sign of each."""
     sums = ", ".join(f"CAST(sum((lo >> {b}) & 1) AS BIGINT) AS s{b}, CAST(sum((hi >> {b}) & 1) AS BIGINT) AS h{b}" for b in range(32))
     lo = " + ".join(f"(CASE WHEN s{b} * 2 > n THEN {1 << b}::HUGEINT ELSE 0 END)" for b in range(32))
@@ -166,7 +142,6 @@ FROM {source} k LEFT JOIN (SELECT {key}, {hi} AS h, {lo} AS l FROM (
           SELECT {key}, regexp_extract_all(lower({text}), {s(P.WORD_TOKEN)}) AS t FROM {source})))) GROUP BY {key})) v USING ({key})"""
 
 
-simhash_sql = _simhash
 ORACLE["fx_simhash"] = simhash_sql("documents", "doc_id", "text")
 KEY = "sha1(substr(trim(regexp_replace(lower(subject || ' ' || body), '[^a-z0-9]+', ' ', 'g')), 1, 400))"
 ORACLE["fx_content_key"] = q(f"SELECT message_id, {KEY} AS content_key FROM messages", "messages")
@@ -209,7 +184,7 @@ FROM r LEFT JOIN hx USING ({key})"""
 
 ORACLE["fx_style_traits"] = f"SELECT doc_id, n_tokens, {rnd(STYLE_SUBSET, 4)} FROM ({trait_rows('documents', 'doc_id', 'text')})"
 ORACLE["fx_money_patterns"] = q(f"""
-SELECT message_id, len(regexp_extract_all(body_text, {s(P.CURRENCY)})) AS sums,
+SELECT message_id, len(regexp_extract_all({fold('body_text')}, {s(P.CURRENCY)})) AS sums,
   {has("lower(subject || ' ' || body_text)", P.TEXT_FLAGS['pat_money_ask'])} AS money_ask,
   {has("lower(subject || ' ' || body_text)", P.TEXT_FLAGS['pat_gift_card_ask'])} AS gift_card_ask,
   {has('sender', P.OFFICIAL_DISPLAY)} AS official_sender FROM base""", "base")
@@ -238,7 +213,7 @@ SELECT *, coalesce(real_type <> 'unknown' AND real_type <> {_EXPECT}, false) AS
       [{', '.join(s(m) for m, _, _ in _MAGIC)}, '00000000'][message_id % {len(_MAGIC) + 1} + 1] || upper(md5(CAST(message_id AS VARCHAR))) AS head_hex
     FROM messages WHERE attachments <> ''))""", "messages")
 _LEX_ALL = ", ".join([f"lex_{n}_count" for n in BANK_NAMES] + [f"lexsubj_{n}" for n in BANK_NAMES])
-_STATE = "0.0 AS thr_msgid_resolved, 0.0 AS thr_quote_match, 0.0 AS sty_scored, 0.0 AS sty_drift"
+_STATE = ", ".join(f"0.0::DOUBLE AS {n}" for n in ("thr_msgid_resolved", "thr_quote_match", "sty_scored", "sty_drift"))
 _DIRECT = [n for n in feature_names() if not n.endswith("_rate") or n.startswith("txt")]
 _DIRECT = [n for n in _DIRECT if n not in ("thr_msgid_resolved", "thr_quote_match", "sty_scored", "sty_drift")]
 ORACLE["features_all"] = q(f"SELECT message_id, {rnd(_DIRECT)}, {RATES}, {_STATE} FROM feat", "feat")
@@ -261,7 +236,7 @@ SELECT message_id, letters, capitals FROM (
 WHERE NOT ({has('subject', P.LIST_SUBJECT)} OR {has('subject', P.LIST_TRAFFIC)} OR {has('b', P.LIST_TRAFFIC)} OR letters < length(b) * 0.55
   OR spaced > 4 OR capitals < letters * 0.01)""", "messages")
 _MARK = " UNION ALL ".join(f"SELECT '{n}' AS marker, label, lex_{n}_count + lexsubj_{n} > 0 AS hit FROM lab" for n in BANK_NAMES)
+cte("lab", ("f_lex", "messages"), "SELECT f_lex.*, label FROM f_lex JOIN messages USING (message_id)")
 ORACLE["agg_marker_precision"] = q(f"""
 SELECT marker, malicious, benign, CASE WHEN malicious + benign > 0 THEN round(malicious / (malicious + benign), 6) ELSE 0.0 END AS precision FROM (
-  SELECT marker, count(*) FILTER (hit AND label = 1) AS malicious, count(*) FILTER (hit AND label <> 1) AS benign FROM ({_MARK}) GROUP BY marker)""",
-  "lab") if cte("lab", ("f_lex", "messages"), "SELECT f_lex.*, label FROM f_lex JOIN messages USING (message_id)") is None else ""
+  SELECT marker, count(*) FILTER (hit AND label = 1) AS malicious, count(*) FILTER (hit AND label <> 1) AS benign FROM ({_MARK}) GROUP BY marker)""", "lab")
