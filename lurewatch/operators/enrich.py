@@ -23,7 +23,7 @@ def age_buckets(df: DataFrame, registry: DataFrame, as_of: Column) -> DataFrame:
     age = F.col("domain_age_days")
     return df.withColumns({
         "dom_age_known": flag(age.isNotNull()),
-        "dom_age_days": F.coalesce(F.least(age, F.lit(10000)), F.lit(0)).cast("double"),
+        "dom_age_days": F.when(age.isNotNull(), F.least(age, F.lit(10000))).otherwise(F.lit(0)).cast("double"),
         "dom_age_under_30d": flag(age < 30),
         "dom_age_under_180d": flag(age < 180),
     })

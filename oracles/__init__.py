@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_features", "q_scoring")
+MODULES = ("q_features", "q_scoring", "q_corpus")
 
 
 def oracle_sql() -> dict[str, str]:
