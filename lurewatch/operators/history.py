@@ -86,10 +86,13 @@ def history_asof(df: DataFrame, keys: list[str], ts: Column, received: Column, s
 
 
 def message_history(df: DataFrame) -> DataFrame:
-    """History columns the floors read, as of each message, per mailbox and sending domain."""
-    key = F.concat_ws("|", "mailbox", "registrable")
-    out = history_asof(df.withColumn("_k", key), ["_k"], F.col("sent_at"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint"),
-                       F.date_trunc("hour", F.col("sent_at"))).drop("_k")
+    """History columns the floors read, as of each message, per mailbox and sending domain.
+
+    The running state is built from four narrow columns; the wide rows are shuffled once, by their unique id.
+    """
+    narrow = df.select("message_id", "sent_at", F.concat_ws("|", "mailbox", "registrable").alias("_k"))
+    out = history_asof(narrow, ["_k"], F.col("sent_at"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.date_trunc("hour", F.col("sent_at")))
+    out = df.join(out.drop("_k", "sent_at"), "message_id")
     now, day = F.unix_micros("sent_at"), 86_400_000_000
     known = F.col("hist_received") > 0
     span = F.floor((F.col("hist_last") - F.col("hist_first")) / day)

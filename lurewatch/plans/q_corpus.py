@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurewatch.functions.common import collapse, words
@@ -182,10 +183,10 @@ def voted(spark, d):
 
 @query
 def agg_vector_dist(spark, d):
-    """Vector histogram with share and mean rule confidence; the total comes from the few grouped rows."""
+    """Vector histogram with share and mean rule confidence; the total is summed over the few grouped rows."""
     df = voted(spark, d).groupBy("rule_vector").agg(F.count("*").alias("n"), F.avg("rule_confidence").alias("mean_confidence"))
-    total = df.agg(F.sum("n").alias("total"))
-    return rounded(df.join(F.broadcast(total)).select("rule_vector", "n", (F.col("n") / F.col("total")).alias("share"), "mean_confidence"))
+    total = F.sum("n").over(Window.partitionBy())  # at most one row per vector reaches this window
+    return rounded(df.select("rule_vector", "n", (F.col("n") / total).alias("share"), "mean_confidence"))
 
 
 @query

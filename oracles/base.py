@@ -33,6 +33,8 @@ def q(final: str, *deps: str) -> str:
     for d in deps:
         visit(d)
     body = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order)
+    if final.lstrip().startswith("WITH"):
+        final = f"SELECT * FROM ({final})"
     return (f"WITH {body}\n" if body else "") + final
 
 
