@@ -47,3 +47,57 @@ def _prefix_scores(g: DataFrame, keys: list[str]) -> DataFrame:
     g = g.select("*", F.coalesce(F.sum("pos").over(v), F.lit(0)).alias("ip"), F.coalesce(F.sum("neg").over(v), F.lit(0)).alias("in_"))
     out = g.join(per, [*keys, "_b"])
     return out.select(*keys, "p", "pos", "neg", (F.col("ep") + F.col("ip")).alias("pos_below"), (F.col("en") + F.col("in_")).alias("neg_below"))
+
+
+def average_precision(df: DataFrame) -> DataFrame:
+    """Area under the precision-recall curve by steps: precision at each score times the positives found there."""
+    g = _prefix_scores(_by_score(df, []), [])
+    tot = g.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    g = g.withColumn("one", F.lit(1)).join(F.broadcast(tot.withColumn("one", F.lit(1))), "one")
+    tp = F.col("all_pos") - F.col("pos_below")
+    seen = tp + F.col("all_neg") - F.col("neg_below")
+    return g.agg(F.sum(F.col("pos") * tp / seen / F.col("all_pos")).alias("average_precision"))
+
+
+def confusion(df: DataFrame, threshold: float = 0.5, keys: list[str] | None = None) -> DataFrame:
+    hit, bad = F.col("p") >= threshold, F.col("y") == 1
+    out = df.groupBy(*(keys or [])).agg(F.count_if(hit & bad).alias("tp"), F.count_if(hit & ~bad).alias("fp"), F.count_if(~hit & bad).alias("fn"), F.count_if(~hit & ~bad).alias("tn"))
+    return with_rates(out)
+
+
+def with_rates(df: DataFrame) -> DataFrame:
+    def part(a, b):
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    return df.withColumns({
+        "precision": part(F.col("tp"), F.col("tp") + F.col("fp")), "recall": part(F.col("tp"), F.col("tp") + F.col("fn")),
+        "fpr": part(F.col("fp"), F.col("fp") + F.col("tn"))})
+
+
+def operating_points(df: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
+    """One pass for all thresholds: each row is counted at every threshold by conditional sums, then unpivoted."""
+    bad = F.col("y") == 1
+    aggs = []
+    for i, t in enumerate(thresholds):
+        hit = F.col("p") >= t
+        aggs += [F.count_if(hit & bad).alias(f"tp{i}"), F.count_if(hit & ~bad).alias(f"fp{i}"), F.count_if(~hit & bad).alias(f"fn{i}"), F.count_if(~hit & ~bad).alias(f"tn{i}")]
+    one = df.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(t).alias("threshold"), *[F.col(f"{n}{i}").alias(n) for n in ("tp", "fp", "fn", "tn")]) for i, t in enumerate(thresholds)])
+    return with_rates(one.select(F.explode(rows).alias("r")).select("r.*"))
+
+
+def calibration_bins(df: DataFrame, min_rows: int = 20) -> DataFrame:
+    """Predicted against observed in ten bins; p = 1 falls outside them."""
+    out = df.where("p < 1").groupBy(F.floor(F.col("p") * 10).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg(F.col("y").cast("double")).alias("observed"))
+    return out.where(F.col("n") >= min_rows)
+
+
+def class_report(df: DataFrame, true: str, pred: str) -> DataFrame:
+    """Precision, recall, F1 and support per class, from the (true, predicted) counts."""
+    cells = df.groupBy(F.col(true).alias("t"), F.col(pred).alias("q")).agg(F.count("*").alias("n"))
+    support = cells.groupBy(F.col("t").alias("cls")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("t") == F.col("q"), F.col("n")).otherwise(0)).alias("tp"))
+    predicted = cells.groupBy(F.col("q").alias("cls")).agg(F.sum("n").alias("predicted"))
+    out = support.join(predicted, "cls", "full").na.fill(0, ["support", "tp", "predicted"])
+    p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
+    r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
+    return out.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(
+        F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)))

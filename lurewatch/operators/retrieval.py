@@ -30,7 +30,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int, min_sim: float = MIN_SIM,
     nq = max(1, -(-(queries.count()) // block))
     ni = max(1, -(-(total if total is not None else index.count()) // block))
     q = queries.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
-    x = index.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(ni)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    x = index.select(F.col("id").alias("xid"), F.col("embedding").alias("xe"), F.pmod(F.xxhash64("id"), F.lit(ni)).cast("int").alias("xib"),
+                     F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("xqb"))
     q = q.withColumn("qb", F.col("qb").cast("int"))
 
     def block_top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -38,18 +39,18 @@ def knn(queries: DataFrame, index: DataFrame, k: int, min_sim: float = MIN_SIM,
         if left.empty or right.empty:
             return pd.DataFrame({c: pd.Series(dtype="int64" if c != "similarity" else "float64") for c in cols})
         a = np.stack(left["embedding"].to_numpy()).astype("float64")
-        b = np.stack(right["embedding"].to_numpy()).astype("float64")
+        b = np.stack(right["xe"].to_numpy()).astype("float64")
         a /= np.linalg.norm(a, axis=1, keepdims=True)
         b /= np.linalg.norm(b, axis=1, keepdims=True)
         sims = a @ b.T
-        qi, xi = left["id"].to_numpy(), right["id"].to_numpy()
+        qi, xi = left["id"].to_numpy(), right["xid"].to_numpy()
         sims[qi[:, None] == xi[None, :]] = -2.0
         take = min(k, sims.shape[1])
         best = np.lexsort((np.broadcast_to(xi, sims.shape), -sims), axis=1)[:, :take]
         out = pd.DataFrame({"query_id": np.repeat(qi, take), "neighbour_id": xi[best].ravel(), "similarity": np.take_along_axis(sims, best, 1).ravel()})
         return out[out["similarity"] >= min_sim]
 
-    met = q.groupBy("qb", "ib").cogroup(x.groupBy("qb", "ib")).applyInPandas(block_top, "query_id bigint, neighbour_id bigint, similarity double")
+    met = q.groupBy("qb", "ib").cogroup(x.groupBy("xqb", "xib")).applyInPandas(block_top, "query_id bigint, neighbour_id bigint, similarity double")
     return top_per_group(met, ["query_id"], [F.desc("similarity"), F.col("neighbour_id")], k, F.col("neighbour_id"), parts=4)
 
 

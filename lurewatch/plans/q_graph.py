@@ -42,7 +42,10 @@ def agg_shared_hosts(spark, d):
 @query
 def join_common_hosts(spark, d):
     links = CP.link_rows(with_features(messages(spark, d)))
-    return CP.private_links(links, CP.shared_hosts(links)).select("message_id", "link")
+    kept = CP.private_links(links, CP.shared_hosts(links)).select("link", F.lit(1).alias("kept"))
+    # every link with how many of its rows survive the removal
+    return links.select("link", F.lit(0).alias("kept")).unionByName(kept).groupBy("link").agg(
+        F.count_if(F.col("kept") == 0).alias("n"), F.sum("kept").cast("bigint").alias("kept"))
 
 
 @query
