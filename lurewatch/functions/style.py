@@ -113,4 +113,4 @@ def with_traits(df: DataFrame, text: str) -> DataFrame:
 def long_traits(df: DataFrame, keys: list[str], traits=TRAIT_NAMES) -> DataFrame:
     """Wide traits to (keys, trait, value) rows."""
     pairs = F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("value")) for t in traits])
-    return df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.trait", "p.value")
+    return df.select(*keys, F.explode(pairs).alias("_tv")).select(*keys, "_tv.trait", "_tv.value")

@@ -61,7 +61,7 @@ def streaks(answers: DataFrame) -> DataFrame:
     df = df.withColumn("miss", F.sum(1 - F.col("correct")).over(w))
     runs = df.groupBy("learner", "day", "miss").agg(F.sum("correct").alias("run"))
     days = runs.groupBy("learner", "day").agg(
-        F.max("run").alias("best"), F.min_by("run", "miss").alias("lead"), F.max_by("run", "miss").alias("trail"), F.max("miss").alias("misses"))
+        F.max("run").alias("best"), F.coalesce(F.max(F.when(F.col("miss") == 0, F.col("run"))), F.lit(0)).alias("lead"), F.max_by("run", "miss").alias("trail"), F.max("miss").alias("misses"))
     # a day without a miss extends the run of the day before; group days between days that hold a miss
     dw = Window.partitionBy("learner").orderBy("day")
     days = days.withColumn("broken", F.sum((F.col("misses") > 0).cast("int")).over(dw))

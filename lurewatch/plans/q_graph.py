@@ -143,7 +143,7 @@ def top_neighbours(spark, d):
 
 @query
 def join_twins(spark, d):
-    return rounded(RT.twins(vectors(spark, d)), 5)
+    return rounded(RT.twins(vectors(spark, d), min_sim=0.3), 5)
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_features", "q_scoring", "q_corpus", "q_mailbox", "q_graph", "q_models")
+MODULES = ("q_features", "q_scoring", "q_corpus", "q_mailbox", "q_graph", "q_models", "q_streams")
 
 
 def queries() -> dict:

@@ -92,7 +92,7 @@ FROM {events}
 
 VIEWS["scored"] = (('messages',), r"""
 SELECT message_id, source, kind, label AS y,
-       CAST(0.25 + 0.3 * label + ((message_id * 37) % 100) / 250.0 AS double) AS p
+       CAST(round(0.25 + 0.3 * label + ((message_id * 37) % 100) / 250.0, 6) AS double) AS p
 FROM {messages}
 """)
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_features", "q_scoring", "q_corpus", "q_mailbox", "q_graph", "q_models")
+MODULES = ("q_features", "q_scoring", "q_corpus", "q_mailbox", "q_graph", "q_models", "q_streams")
 
 
 def oracle_sql() -> dict[str, str]:
