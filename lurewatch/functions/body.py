@@ -127,7 +127,7 @@ def upper_ratio(text: Column, is_ascii: Column) -> Column:
 
 def all_caps_words(text: Column) -> Column:
     """Words over three characters that have a capital and no small letter."""
-    unlowered = extract_all(text, r"(?<!\S)[^\s\p{Ll}]{4,}+(?!\S)")
+    unlowered = extract_all(text, r"(?=[^\s\p{Ll}]{4})(?<!\S)[^\s\p{Ll}]{4,}+(?!\S)")
     return F.size(F.filter(unlowered, lambda x: (x == F.upper(x)) & (x != F.lower(x)))).cast("double")
 
 
@@ -158,8 +158,8 @@ def text_features() -> dict[str, Column]:
         "txt_html_hidden_style": F.when(has_html, flag(body.rlike(P.HIDDEN_STYLE))).otherwise(zero),
         "txt_html_tag_ratio": F.when(has_html, count_matches(body, P.HTML_TAG) / n).otherwise(zero),
         "txt_zero_width_chars": F.when(body.rlike(P.ZERO_WIDTH), count_matches(body, P.ZERO_WIDTH)).otherwise(zero),
-        "txt_homoglyph_chars": F.when(is_ascii, zero).otherwise(
-            homoglyphs(F.concat(subj, F.lit(" "), vis)).cast("double")),
+        "txt_homoglyph_chars": F.when(F.concat(subj, vis).rlike("[" + P.CONFUSABLE + "]"), homoglyphs(
+            F.concat(subj, F.lit(" "), vis)).cast("double")).otherwise(zero),
         "txt_non_ascii_ratio": F.when(is_ascii, zero).otherwise(
             ratio(kept_length(vis, P.NON_ASCII_DROP), F.length(vis))),
         "txt_link_char_ratio": (F.length(body) - F.length(F.regexp_replace(body, P.LINK_TEXT, "")))
@@ -171,6 +171,6 @@ def text_features() -> dict[str, Column]:
         "txt_repeat_char_runs": count_matches(vis, P.REPEAT_RUN),
         "txt_currency_mentions": F.when(vis.rlike(P.CURRENCY_GUARD), count_matches(vis, P.CURRENCY)).otherwise(zero),
         "txt_all_caps_words": all_caps_words(vis),
-        "txt_mean_word_len": kept_length(vis, r"\s+") / n,
+        "txt_mean_word_len": F.length(F.array_join(w, "")) / n,
         "txt_unique_word_ratio": F.size(F.array_distinct(w)) / n,
     }

@@ -12,13 +12,12 @@ from lurewatch.functions import threads as T
 from lurewatch.functions import urls as U
 from lurewatch.functions.common import words
 from lurewatch.rules import patterns as P
-from lurewatch.rules.lexicons import BANK_NAMES
+from lurewatch.rules.feature_names import STATE, feature_names  # noqa: F401
 
 KEEP = ("message_id", "mailbox", "source", "sender", "receiver", "sent_at", "subject", "attachments", "in_reply_to",
         "kind", "label")
 OPTIONAL = {"reply_to": "", "return_path": "", "auth_results": "", "attachments": "", "in_reply_to": "",
             "mailbox": "", "source": "unknown", "subject": "", "body": "", "receiver": "", "sender": ""}
-STATE_FEATURES = ("thr_claims_thread", "thr_msgid_resolved", "thr_quote_match", "thr_fabricated", "sty_scored", "sty_drift")
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -47,14 +46,6 @@ def with_evidence(df: DataFrame, allowlist: tuple[str, ...] = ()) -> DataFrame:
     })
 
 
-def feature_names(banks=None) -> list[str]:
-    """All feature names in vector order."""
-    names = tuple(banks or BANK_NAMES)
-    lex = [f"lex_{n}_{s}" for n in names for s in ("count", "rate")] + [f"lexsubj_{n}" for n in names]
-    return [*S.header_features(), *U.url_features(), *B.phone_features(F.col("x")), *B.identity_features(),
-            *STATE_FEATURES, *B.text_features(), *B.attachment_features(), *lex]
-
-
 def with_features(df: DataFrame, banks=None, allowlist: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """Messages in, one row of named features, flags and evidence per message out. Bodies are dropped unless kept."""
     df = with_evidence(prepare(df), allowlist)
@@ -66,7 +57,7 @@ def with_features(df: DataFrame, banks=None, allowlist: tuple[str, ...] = (), ke
     df = df.withColumns(LX.lexicon_rates(F.col("txt_body_words"), banks))
     claims = (F.col("txt_subject_is_reply") > 0) | (F.col("in_reply_to") != "") | (T.quoted_text(F.col("body")) != "")
     df = df.withColumn("thr_claims_thread", claims.cast("double"))
-    for name in STATE_FEATURES[1:]:
+    for name in STATE[1:]:
         df = df.withColumn(name, F.lit(0.0)) if name not in df.columns else df
     drop = ["body_words", "both_text", "body_low", "subject_low", "triggers"] + ([] if keep_text else ["body", "body_text"])
     return df.drop(*drop)
