@@ -10,8 +10,8 @@ from lurewatch.functions.threads import content_key
 from lurewatch.operators import sampling as SM
 from lurewatch.operators.scoring import with_vote_result, with_votes
 from lurewatch.operators.skew import first_per_key, top_per_group
-from lurewatch.plans.features import with_features
-from lurewatch.plans.q_features import messages, rounded
+from lurewatch.plans.memo import planned
+from lurewatch.plans.q_features import featured, messages, rounded
 from lurewatch.plans.views import table, view
 from lurewatch.sources import corpora as C
 from lurewatch.sources.mail import header_scan, parties
@@ -33,6 +33,7 @@ def corpus(spark, d):
     return df.select("message_id", "source", F.lit("").alias("subject"), F.col("text").alias("body"), label.cast("int").alias("label"))
 
 
+@planned
 def keyed(spark, d):
     df = corpus(spark, d).withColumn("content_key", content_key(F.col("subject"), F.col("body")))
     return df.withColumn("source_rank", F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"))
@@ -87,7 +88,7 @@ def src_domain_list(spark, d):
 def src_parquet_cache(spark, d):
     """Write the keyed feature cache split by partition, read it back."""
     import tempfile
-    df = with_features(messages(spark, d)).select("message_id", "kind", "url_count", "txt_body_words", "lex_payment_count")
+    df = featured(spark, d).select("message_id", "kind", "url_count", "txt_body_words", "lex_payment_count")
     df = SM.group_split(df, F.col("message_id"))
     root = spark.conf.get("spark.checkpoint.dir", None)
     path = f"{root}/cache-{spark.sparkContext.applicationId}" if root else tempfile.mkdtemp(prefix="run-cache-", dir="/tmp")
@@ -177,8 +178,9 @@ def set_split_except(spark, d):
     return df.select("content_key").distinct().exceptAll(df.where("split = 'test'").select("content_key").distinct())
 
 
+@planned
 def voted(spark, d):
-    return with_vote_result(with_votes(with_features(messages(spark, d))))
+    return with_vote_result(with_votes(featured(spark, d)))
 
 
 @query
@@ -197,6 +199,7 @@ def smp_stratified_quota(spark, d):
     return SM.quota(df, ["bucket"], "message_id", "gold", {"unresolved": 45, "low": 35, "high": 20}, "bucket").select("message_id", "bucket")
 
 
+@planned
 def pool(spark, d):
     """Practice candidates: class and whether a tell span is present."""
     from lurewatch.functions.lexicon import with_hits

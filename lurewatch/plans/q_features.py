@@ -14,6 +14,7 @@ from lurewatch.functions import urls as U
 from lurewatch.functions.common import collapse, extract_all, words
 from lurewatch.functions.language import with_language
 from lurewatch.plans.features import feature_names, prepare, with_evidence, with_features
+from lurewatch.plans.memo import planned
 from lurewatch.plans.views import table, view
 from lurewatch.rules import dims, patterns as P
 from lurewatch.rules.lexicons import BANK_NAMES
@@ -32,10 +33,16 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+@planned
 def messages(spark, d) -> DataFrame:
     return view(spark, d, "messages")
 
 
+@planned
+def featured(spark, d) -> DataFrame:
+    return with_features(messages(spark, d))
+
+
 @query
 def msg_uid(spark, d):
     return messages(spark, d).select("message_id", T.message_uid(F.col("subject"), F.col("body")).alias("uid"))
@@ -310,7 +317,7 @@ def fx_file_type(spark, d):
 @query
 def features_all(spark, d):
     """Every named feature of every message."""
-    return rounded(with_features(messages(spark, d)).select("message_id", *feature_names()))
+    return rounded(featured(spark, d).select("message_id", *feature_names()))
 
 
 @query
@@ -346,5 +353,5 @@ def flt_readable(spark, d):
 def agg_marker_precision(spark, d):
     """Per marker: hits by class and precision."""
     from lurewatch.operators.evaluate import marker_precision
-    df = with_features(messages(spark, d))
+    df = featured(spark, d)
     return rounded(marker_precision(df, "label", {n: F.col(f"lex_{n}_count") + F.col(f"lexsubj_{n}") > 0 for n in BANK_NAMES}))

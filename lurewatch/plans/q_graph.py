@@ -8,8 +8,8 @@ from lurewatch.functions.threads import simhash
 from lurewatch.operators import campaigns as CP
 from lurewatch.operators import retrieval as RT
 from lurewatch.operators.sampling import group_split
-from lurewatch.plans.features import prepare, with_features
-from lurewatch.plans.q_features import messages, rounded
+from lurewatch.plans.features import prepare
+from lurewatch.plans.q_features import featured, messages, rounded
 from lurewatch.plans.q_scoring import scored
 from lurewatch.plans.views import table, view
 from lurewatch.session import cut_lineage
@@ -24,7 +24,7 @@ def query(fn):
 
 def graph(spark, d, rows=None):
     """(nodes, members, edges) over feature rows; the narrow facts are written once and reused by every edge kind."""
-    feats = rows if rows is not None else with_features(messages(spark, d))
+    feats = rows if rows is not None else featured(spark, d)
     feats = cut_lineage(feats.select("message_id", "registrable", "authenticated", F.transform("urls", lambda u: F.struct(u.registrable.alias("registrable"))).alias("urls"),
                                      F.transform("phones", lambda p: F.struct(p.digits.alias("digits"))).alias("phones")))
     links = CP.link_rows(feats)
@@ -36,12 +36,12 @@ def graph(spark, d, rows=None):
 
 @query
 def agg_shared_hosts(spark, d):
-    return CP.shared_hosts(CP.link_rows(with_features(messages(spark, d)))).select("link", "senders", "unauth")
+    return CP.shared_hosts(CP.link_rows(featured(spark, d))).select("link", "senders", "unauth")
 
 
 @query
 def join_common_hosts(spark, d):
-    links = CP.link_rows(with_features(messages(spark, d)))
+    links = CP.link_rows(featured(spark, d))
     kept = CP.private_links(links, CP.shared_hosts(links)).select("link", F.lit(1).alias("kept"))
     # every link with how many of its rows survive the removal
     return links.select("link", F.lit(0).alias("kept")).unionByName(kept).groupBy("link").agg(

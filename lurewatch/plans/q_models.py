@@ -15,7 +15,7 @@ from lurewatch.operators.sampling import calibration_slice, group_split, hash_bu
 from lurewatch.operators.scoring import with_vote_result, with_votes
 from lurewatch.plans.features import feature_names, prepare, with_features
 from lurewatch.plans.q_corpus import pool
-from lurewatch.plans.q_features import messages, rounded
+from lurewatch.plans.q_features import featured, messages, rounded
 from lurewatch.plans.views import table, view
 from lurewatch.session import cut_lineage
 
@@ -58,7 +58,7 @@ def ex_token_contrib(spark, d):
 
 
 def candidates(spark, d):
-    return with_features(messages(spark, d)).select("message_id", *EX.CANDIDATES)
+    return featured(spark, d).select("message_id", *EX.CANDIDATES)
 
 
 @query
@@ -167,7 +167,7 @@ def ml_calibrate(spark, d):
 @query
 def ml_vector_classifier(spark, d):
     """Classes from confident weak labels."""
-    df = cut_lineage(with_vote_result(with_votes(with_features(messages(spark, d)))).select("message_id", "rule_vector", "rule_confidence", *STRUCT))
+    df = cut_lineage(with_vote_result(with_votes(featured(spark, d))).select("message_id", "rule_vector", "rule_confidence", *STRUCT))
     model = M.vector_pipeline(STRUCT).fit(df.where("rule_confidence >= 0.5 AND rule_vector <> 'malicious_unclassified'"))
     names = model.stages[0].labels
     out = model.transform(df.where("rule_vector <> 'malicious_unclassified'"))
@@ -296,7 +296,7 @@ def win_weak_tactics(spark, d):
 def lrn_target(spark, d):
     """Targets of each planned lesson: the answers table pairs a learner with a message."""
     lessons = answers(spark, d).select("learner", F.col("answer_id").alias("message_id"))
-    feats = with_features(messages(spark, d))
+    feats = featured(spark, d)
     weak = LN.weak_tactics(LN.by_tactic(answers(spark, d)), 5)
     out = LN.lesson_targets(lessons, weak, feats.select("message_id", LN.available_tactics().alias("tactics")))
     return out.select("learner", "message_id", "tactic", F.col("pos").cast("bigint").alias("pos"), F.col("targets").cast("bigint").alias("targets"), F.col("required").cast("bigint").alias("required"))

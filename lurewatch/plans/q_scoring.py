@@ -8,8 +8,8 @@ from lurewatch.functions.body import evidence_files
 from lurewatch.operators import history as H
 from lurewatch.operators import recipient as R
 from lurewatch.operators import scoring as SC
-from lurewatch.plans.features import with_features
-from lurewatch.plans.q_features import messages, rounded
+from lurewatch.plans.memo import planned
+from lurewatch.plans.q_features import featured, messages, rounded
 from lurewatch.plans.scoring import fixed_p, ioc_hits, score, with_state
 from lurewatch.plans.views import table, view
 from lurewatch.rules import taxonomy as X
@@ -28,20 +28,24 @@ def ioc_list(spark):
     return spark.createDataFrame([(d,) for d in IOCS], "domain string")
 
 
+@planned
 def state(spark, d):
     """Feature rows with mailbox history and domain age."""
-    return with_state(with_features(messages(spark, d)), view(spark, d, "domain_registry"), True)
+    return with_state(featured(spark, d), view(spark, d, "domain_registry"), True)
 
 
+@planned
 def floored(spark, d):
     df = state(spark, d).withColumn("p_model", fixed_p()).withColumn("p_prior", F.col("p_model"))
     return SC.apply_floors(SC.with_floors(df), "p_prior")
 
 
+@planned
 def voted(spark, d):
-    return SC.with_vote_result(SC.with_votes(with_features(messages(spark, d))))
+    return SC.with_vote_result(SC.with_votes(featured(spark, d)))
 
 
+@planned
 def scored(spark, d):
     return score(messages(spark, d), registry=view(spark, d, "domain_registry"), mailbox_history=True, iocs=ioc_list(spark),
                  recipients=R.profiles(messages(spark, d)))
@@ -85,7 +89,7 @@ def join_floor_vector(spark, d):
 
 @query
 def sc_votes(spark, d):
-    return SC.with_votes(with_features(messages(spark, d))).select("message_id", F.explode("votes").alias("v")).select(
+    return SC.with_votes(featured(spark, d)).select("message_id", F.explode("votes").alias("v")).select(
         "message_id", "v.lf", "v.vector", "v.weight")
 
 
@@ -115,13 +119,13 @@ def sc_vector_resolve(spark, d):
 
 @query
 def sc_exploitability(spark, d):
-    df = with_features(messages(spark, d))
+    df = featured(spark, d)
     return rounded(df.select("message_id", SC.exploitability().alias("exploitability")))
 
 
 @query
 def sc_targeting(spark, d):
-    return rounded(with_features(messages(spark, d)).select("message_id", SC.targeting().alias("targeting")))
+    return rounded(featured(spark, d).select("message_id", SC.targeting().alias("targeting")))
 
 
 @query
@@ -183,7 +187,7 @@ def flt_action_policy(spark, d):
 @query
 def prj_iocs(spark, d):
     """Indicators per message: (kind, value)."""
-    df = with_features(messages(spark, d))
+    df = featured(spark, d)
 
     def kind(name, values):
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("kind"), v.alias("value")))
@@ -288,14 +292,14 @@ def ev_floor_audit(spark, d):
 
 @query
 def join_ioc(spark, d):
-    df = ioc_hits(with_features(messages(spark, d)), ioc_list(spark))
+    df = ioc_hits(featured(spark, d), ioc_list(spark))
     return df.where("ioc_hit").select("message_id")
 
 
 @query
 def set_ioc_intersect(spark, d):
     """Observed domains that are on the known-bad list."""
-    df = with_features(messages(spark, d))
+    df = featured(spark, d)
     seen = df.select(F.explode(F.concat(F.array("registrable"), F.transform("urls", lambda u: u.registrable))).alias("domain"))
     return seen.select("domain").intersect(ioc_list(spark))
 
@@ -304,7 +308,7 @@ def set_ioc_intersect(spark, d):
 def join_allowlist(spark, d):
     """Executable-link evidence without allowlisted senders or link domains."""
     allow = spark.createDataFrame([("203.0.113.9",), ("partner.example.net",), ("example.net",)], "domain string")
-    df = with_features(messages(spark, d)).select("message_id", "registrable", F.explode("urls").alias("u"))
+    df = featured(spark, d).select("message_id", "registrable", F.explode("urls").alias("u"))
     df = df.select("message_id", "registrable", F.col("u.raw").alias("raw"), F.col("u.registrable").alias("link"), F.col("u.ext").alias("ext"))
     df = df.where(F.col("ext").isin("exe", "scr", "msi", "iso"))
     df = df.join(allow.select(F.col("domain").alias("registrable")), "registrable", "left_anti")
@@ -314,7 +318,7 @@ def join_allowlist(spark, d):
 @query
 def join_domain_age(spark, d):
     from lurewatch.operators.enrich import domain_age
-    df = with_features(messages(spark, d)).select("message_id", "registrable", "sent_at")
+    df = featured(spark, d).select("message_id", "registrable", "sent_at")
     return domain_age(df, view(spark, d, "domain_registry"), F.to_date("sent_at")).select(
         "message_id", "registrable", F.col("domain_age_days").cast("bigint").alias("domain_age_days"))
 
@@ -345,13 +349,13 @@ def join_lookalike(spark, d):
 @query
 def flt_auth_ham(spark, d):
     """Authenticated mail kept as benign training rows, with what was skipped, per domain."""
-    df = with_features(messages(spark, d))
+    df = featured(spark, d)
     return df.groupBy("registrable").agg(F.count_if("authenticated").alias("kept"), F.count_if(~F.col("authenticated")).alias("skipped"))
 
 
 @query
 def agg_top_domains(spark, d):
-    df = with_features(messages(spark, d)).where("authenticated")
+    df = featured(spark, d).where("authenticated")
     return df.groupBy("registrable").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "registrable").limit(8)
 
 
@@ -359,5 +363,5 @@ def agg_top_domains(spark, d):
 def tac_available(spark, d):
     """Which tactic families each message can demonstrate."""
     from lurewatch.operators.learner import available_tactics
-    df = with_features(messages(spark, d))
+    df = featured(spark, d)
     return df.select("message_id", F.explode(available_tactics()).alias("tactic"))

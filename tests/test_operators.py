@@ -1,8 +1,8 @@
 """Skew helpers, near-duplicate joins, components, kNN and streaming against brute force on small inputs."""
 
 import random
+from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,7 +97,7 @@ def test_roc_auc_handles_ties(spark):
 
 def test_streaks_cross_midnight(spark):
     marks = [1, 1, 0, 1, 1, 1, 1, 0, 0, 1, 1]
-    rows = [(i, 1, pd.Timestamp("2024-01-01 20:00") + pd.Timedelta(hours=2 * i), m) for i, m in enumerate(marks)]
+    rows = [(i, 1, datetime(2024, 1, 1, 20) + timedelta(hours=2 * i), m) for i, m in enumerate(marks)]
     df = spark.createDataFrame(rows, "answer_id bigint, learner bigint, answered_at timestamp, correct int")
     r = LN.streaks(df).first()
     assert (r["streak"], r["best_streak"]) == (2, 4)
