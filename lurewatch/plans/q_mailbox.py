@@ -11,6 +11,7 @@ from lurewatch.operators import style as STY
 from lurewatch.operators import threads as TH
 from lurewatch.plans.q_features import STYLE_SUBSET, messages, rounded
 from lurewatch.plans.views import table, view
+from lurewatch.session import cut_lineage
 
 QUERIES = {}
 
@@ -148,7 +149,8 @@ def agg_style_population(spark, d):
 
 
 def style_dev(spark, d):
-    long = style_long(spark, d)
+    # narrow trait rows feed profile, population and deviations: written once, the texts are read once
+    long = cut_lineage(style_long(spark, d))
     prof = STY.profile(long)
     return STY.deviations(long, prof, STY.population(prof), "doc_id")
 
