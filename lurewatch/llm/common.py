@@ -6,10 +6,14 @@ prefix sum and then mixed. Equal content gives equal fingerprints in every task;
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +79,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     """Row ranges [a, b) of at most `limit` text bytes each; a longer single text is a range of its own."""
     if not len(texts):
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     ends, a = np.cumsum(sizes), 0
     while a < len(sizes):
         base = ends[a - 1] if a else 0
@@ -87,7 +91,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array without copying the texts; a null is an empty text."""
     if texts.null_count:
-        texts = pa.compute.fill_null(texts, "")
+        texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
@@ -124,8 +128,26 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Give every Python worker this package, wherever the executors run: one small zip per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp()) / "lurewatch_workers.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted((root / "lurewatch").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
 def batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow over whole-slice work: fn(RecordBatch) -> RecordBatch for slices bounded by the bytes of `text`."""
+    ship(df.sparkSession)
 
     def run(it):
         for batch in it:

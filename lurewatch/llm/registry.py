@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import chat, mixing, quality, token_counts, url_filter
+from lurewatch.llm import chat, mixing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1,
     "op2_source_mixing": mixing.op2,
     "op3_quality_rules": quality.op3,
     "op4_url_filters": url_filter.op4,
+    "op5_suffix_dedup": suffix_dedup.op5,
     "op7_token_counts": token_counts.op7,
     "op8_preference_formatting": chat.op8,
 }
 ORACLE = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op2_source_mixing": mixing.OP2_SQL,
     "op4_url_filters": url_filter.OP4_SQL,
     "op8_preference_formatting": chat.OP8_SQL,
