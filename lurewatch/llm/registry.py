@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import chat, mixing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from lurewatch.llm import chat, mixing, quality, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_suffix_dedup": suffix_dedup.op5,
     "op7_token_counts": token_counts.op7,
     "op8_preference_formatting": chat.op8,
+    "op9_toxicity": toxicity.op9,
 }
 ORACLE = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
