@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import chat, mixing, quality, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from lurewatch.llm import chat, decontaminate, mixing, quality, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3,
     "op4_url_filters": url_filter.op4,
     "op5_suffix_dedup": suffix_dedup.op5,
+    "op6_decontamination": decontaminate.op6,
     "op7_token_counts": token_counts.op7,
     "op8_preference_formatting": chat.op8,
     "op9_toxicity": toxicity.op9,
@@ -18,5 +19,6 @@ ORACLE = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op2_source_mixing": mixing.OP2_SQL,
     "op4_url_filters": url_filter.OP4_SQL,
+    "op6_decontamination": decontaminate.OP6_SQL,
     "op8_preference_formatting": chat.OP8_SQL,
 }
