@@ -55,23 +55,35 @@ def rarest_words(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return rare.groupBy(F.col("b.word").alias("word")).agg(F.collect_list(F.struct(F.col("b.place").alias("place"), "words", "items")).alias("windows"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated) of every row of docs(doc_id, text)."""
+def _verified(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(row, w, found): each row of docs, its words, and the verified windows in it as (start, words, items)."""
     windows = cut_lineage(item_windows(items, width))
     vocabulary = cut_lineage(windows.select(F.explode("words").alias("word")).distinct())
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text")
     counts = cut_lineage(texts.select(F.explode(words_of(F.col("text"))).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("count")))
     rare = cut_lineage(rarest_words(windows, counts))
     met = texts.select("k", F.posexplode(words_of(F.col("text"))).alias("i", "word")).join(rare, "word")
     # start of the would-be window; it cannot begin before the text
     met = met.select("k", F.explode(F.transform("windows", lambda w: F.struct((F.col("i") - w.place).alias("start"), w["words"].alias("words"), w["items"].alias("items")))).alias("c"))
     met = met.where("c.start >= 0").groupBy("k").agg(F.collect_set("c").alias("c"))
-    df = texts.join(met, "k", "left").select("doc_id", words_of(F.col("text")).alias("w"), "c")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.struct(*docs.columns).alias("row"))
+    df = rows.join(met, "k", "left").select("row", words_of(F.col("row.text")).alias("w"), "c")
     found = F.filter("c", lambda c: F.slice(F.col("w"), c.start + 1, F.size(c["words"])) == c["words"])
-    df = df.select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce(found, F.expr("array()")).alias("found"))
+    return df.select("row", "w", F.coalesce(found, F.expr("array()")).alias("found"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, contaminated) of every row of docs(doc_id, text)."""
+    df = _verified(docs.select("doc_id", "text"), items, width)
     places = F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c.start, c.start + F.size(c["words"]) - 1))))
     ids = F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"]))))
-    return df.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), (F.size("found") > 0).alias("contaminated"))
+    return df.select("row.doc_id", F.size("w").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+                     ids.alias("items"), (F.size("found") > 0).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs that hold no window of any item, all columns as they are."""
+    return _verified(docs, items, width).where(F.size("found") == 0).select("row.*")
 
 
 def op6(spark, d: str) -> DataFrame:

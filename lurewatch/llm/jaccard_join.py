@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurewatch.llm.common import BASES, U64, Ranges, Words, batches, flat, mix, table
@@ -209,5 +209,16 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the smallest doc_id (null last). Documents
+    without shingles all stay. All columns as they are."""
+    df = step(class_components(docs, size, percent))
+    first = df.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("w"))
+    kept = first.select("w.k", F.lit(True).alias("one")).unionByName(df.where("n = 0").select("k", F.lit(False).alias("one")).distinct())
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.struct(*docs.columns).alias("row")).join(kept, "k")
+    again = Window.partitionBy("k").orderBy("one")
+    return rows.withColumn("copy", F.row_number().over(again)).where("copy = 1 OR NOT one").select("row.*")
+
+
 def op10(spark, d: str) -> DataFrame:
     return jaccard_components(table(d, "documents", spark))

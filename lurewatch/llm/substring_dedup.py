@@ -15,6 +15,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lurewatch.llm import recompress
 from lurewatch.llm.common import BASES, U64, Ranges, Words, batches, flat, mix, table
@@ -49,30 +50,31 @@ def _windows(width: int):
     return work
 
 
+def _kept(words: Words, gone: np.ndarray, removed: np.ndarray) -> list[bytes]:
+    """The words that stay of every text, joined by one space."""
+    body, kept = words.buf.tobytes(), []
+    for i, lost in enumerate(removed):
+        a, b = words.first[i], words.first[i + 1]
+        pick = slice(a, b) if not lost else np.flatnonzero(~gone[a:b]) + a
+        kept.append(b" ".join([body[s:e] for s, e in zip(words.start[pick].tolist(), words.end[pick].tolist())]))
+    return kept
+
+
+def _judged(texts: pa.Array, spans: pa.Array, width: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(words, removed or not, removed words per text). Starts are windows of their own text, so none leaves it."""
+    words = Words(*flat(texts))
+    row, at, n = runs(spans)
+    total = int(words.first[-1])
+    gone = covered(total, words.first[row] + at, n, width) if len(row) else np.zeros(total, bool)
+    return words, gone, np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
+
+
 def _cut(width: int, with_text: bool):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1)
-        words = Words(*flat(texts))
-        row, at, n = runs(batch.column(2))
-        total = int(words.first[-1])
-        gone = covered(total, words.first[row] + at, n, width) if len(row) else np.zeros(total, bool)
-        # a window never leaves its text: all starts were windows of their own text
-        lost = np.concatenate(([0], np.cumsum(gone)))[words.first]
-        removed = np.diff(lost)
-        body, kept, digests = words.buf.tobytes(), [], []
-        for i in range(batch.num_rows):
-            a, b = words.first[i], words.first[i + 1]
-            if removed[i] == b - a:
-                text = b""
-            elif removed[i]:
-                pick = np.flatnonzero(~gone[a:b]) + a
-                text = b" ".join([body[s:e] for s, e in zip(words.start[pick].tolist(), words.end[pick].tolist())])
-            else:
-                text = b" ".join([body[s:e] for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist())])
-            digests.append(hashlib.sha256(text).hexdigest())
-            kept.append(text.decode())
-        columns = [batch.column(0), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string())] if with_text else columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
+        words, gone, removed = _judged(batch.column(1), batch.column(2), width)
+        kept = _kept(words, gone, removed)
+        columns = [batch.column(0), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([t.decode() for t in kept], pa.string())] if with_text else columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
     return work
 
 
@@ -85,6 +87,26 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     return batches(joined, _cut(width, with_text), schema)
 
 
+def cut_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with repeated windows cut from text (and n_chars, if there, set anew); untouched texts stay as they are."""
+    texts, names, at = keyed(docs), docs.columns, docs.columns.index("text")
+    spans = repeated_spans(texts, _occurrences(width), _windows(width)).withColumnsRenamed({"k": "_own_k", "spans": "_own_spans"})
+    joined = docs.withColumn("_own_k", F.xxhash64("doc_id", "text")).join(spans, "_own_k", "left").select(*names, "_own_spans")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, gone, removed = _judged(batch.column(at), batch.column(len(names)), width)
+        columns = list(batch.columns[: len(names)])
+        if removed.any():
+            kept = _kept(words, gone, removed)
+            texts = [k.decode() if r else t for k, r, t in zip(kept, removed, batch.column(at).to_pylist())]
+            columns[at] = pa.array(texts, columns[at].type)
+            if "n_chars" in names:
+                i = names.index("n_chars")
+                columns[i] = pa.array([len(t) if r else n for t, r, n in zip(texts, removed, columns[i].to_pylist())], columns[i].type)
+        return pa.RecordBatch.from_arrays(columns, names)
+    return batches(joined, work, docs.schema)
+
+
 def op1(spark, d: str) -> DataFrame:
     return remove_repeats(table(d, "documents", spark), with_text=False)
 

@@ -301,6 +301,16 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     return batches(docs.select("doc_id", "text"), work, schema)
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score stays below the threshold, all columns as they are."""
+    model, at = fit(docs, labels), docs.columns.index("text")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        most, total, _, _ = model.evidence(tokens(batch.column(at)))
+        return batch.filter(pa.array(model.scores(most, total) < threshold))
+    return batches(docs, work, docs.schema)
+
+
 def op9(spark, d: str) -> DataFrame:
     docs = table(d, "documents", spark)
     out = score(docs, fit(docs, table(d, "labels", spark)))
