@@ -276,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, **sizes) -> Model:
     names, grades = lexicon(sample)
     model = Model(names, grades, np.zeros(18), np.zeros(3))
     seqs = batches(sample, _sequences(model), "grades array<int>, tags array<int>").collect() if len(names) else []
-    model.chain = fit_chain(np.array([r[0] for r in seqs], np.int64).reshape(len(seqs), -1), np.array([r[1] for r in seqs], float).reshape(len(seqs), -1))
+    model.chain = fit_chain(np.array([r[0] for r in seqs], np.int64).reshape(len(seqs), 2 * SPAN + 3), np.array([r[1] for r in seqs], float).reshape(len(seqs), 2 * SPAN + 1))
     rows = np.array(batches(sample, _evidence(model), "most double, total double, toxic int").collect(), float).reshape(-1, 3)
     model.logistic = fit_logistic(Model.design(rows[:, 0], rows[:, 1]), rows[:, 2]) if len(rows) else np.array([-2.0, 0.0, 0.0])
     return model
