@@ -1,17 +1,31 @@
-"""Build a lazy plan once per application and data folder. Plans only: no rows are cached."""
+"""Build a lazy plan once per application, data folder and state of its files. Plans only: no rows are cached."""
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from functools import wraps
 
-_PLANS: dict = {}
+KEEP = 64
+_PLANS: OrderedDict = OrderedDict()
+
+
+def listing(spark, d: str) -> tuple:
+    """What the folder holds just now: files, bytes, and the change time of each table. A plan keeps the files it was
+    built over, so mail that lands later needs a new one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)  # noqa: SLF001
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    whole = fs.getContentSummary(path)
+    return whole.getFileCount(), whole.getLength(), tuple(sorted((f.getPath().getName(), f.getModificationTime()) for f in fs.listStatus(path)))
 
 
 def planned(fn):
     @wraps(fn)
     def get(spark, d):
-        key = (spark.sparkContext.applicationId, id(spark), fn.__module__, fn.__name__, d)
+        key = (spark.sparkContext.applicationId, id(spark), fn.__module__, fn.__name__, d, listing(spark, d))
         if key not in _PLANS:
             _PLANS[key] = fn(spark, d)
+            while len(_PLANS) > KEEP:
+                _PLANS.popitem(last=False)
+        _PLANS.move_to_end(key)
         return _PLANS[key]
     return get

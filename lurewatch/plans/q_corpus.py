@@ -87,11 +87,12 @@ def src_domain_list(spark, d):
 @query
 def src_parquet_cache(spark, d):
     """Write the keyed feature cache split by partition, read it back."""
-    import tempfile
+    import uuid
+
+    from lurewatch.session import ensure_checkpoint_dir
     df = featured(spark, d).select("message_id", "kind", "url_count", "txt_body_words", "lex_payment_count")
     df = SM.group_split(df, F.col("message_id"))
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{root}/cache-{spark.sparkContext.applicationId}" if root else tempfile.mkdtemp(prefix="run-cache-", dir="/tmp")
+    path = f"{ensure_checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
     C.write_cache(df, path + "/features")
     back = C.read_cache(spark, path + "/features")
     return back.groupBy("split", "kind").agg(F.count("*").alias("n"), F.sum("url_count").alias("urls"), F.sum("txt_body_words").alias("words"))

@@ -12,6 +12,7 @@ from lurewatch.plans.memo import planned
 from lurewatch.plans.q_features import featured, messages, rounded
 from lurewatch.plans.scoring import fixed_p, ioc_hits, score, with_state
 from lurewatch.plans.views import table, view
+from lurewatch.rules import dims
 from lurewatch.rules import taxonomy as X
 
 QUERIES = {}
@@ -310,7 +311,7 @@ def join_allowlist(spark, d):
     allow = spark.createDataFrame([("203.0.113.9",), ("partner.example.net",), ("example.net",)], "domain string")
     df = featured(spark, d).select("message_id", "registrable", F.explode("urls").alias("u"))
     df = df.select("message_id", "registrable", F.col("u.raw").alias("raw"), F.col("u.registrable").alias("link"), F.col("u.ext").alias("ext"))
-    df = df.where(F.col("ext").isin("exe", "scr", "msi", "iso"))
+    df = df.where(F.col("ext").isin(*dims.HARD_EXECUTABLE_EXT))
     df = df.join(allow.select(F.col("domain").alias("registrable")), "registrable", "left_anti")
     return df.join(allow.select(F.col("domain").alias("link")), "link", "left_anti").select("message_id", "registrable", "link", "raw")
 
@@ -327,7 +328,6 @@ def join_domain_age(spark, d):
 def join_dims(spark, d):
     """Membership of sender domains in the reference sets, as a join to one dimension table."""
     from lurewatch.functions.sender import with_sender
-    from lurewatch.rules import dims
     rows = ([(v, "freemail") for v in dims.FREEMAIL] + [(v, "brand") for v in dims.LEGIT_DOMAINS] + [(v, "shortener") for v in dims.SHORTENERS])
     dim = spark.createDataFrame(rows, "registrable string, kind string")
     tld = spark.createDataFrame([(v, "high_risk_tld") for v in dims.HIGH_RISK_TLDS], "tld string, kind string")

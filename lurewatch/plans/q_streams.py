@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from lurewatch.plans.q_scoring import scored
 from lurewatch.plans.views import VIEWS, table, view
 from lurewatch.sources import corpora as C
 from lurewatch.sources import mail as ML
+from lurewatch.session import ensure_checkpoint_dir
 from lurewatch.sources import reports as RP
 from lurewatch.streaming import jobs as J
 
@@ -28,9 +28,8 @@ def query(fn):
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder: in the shared checkpoint folder of the cluster, else a new local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/{name}-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix=f"run-{name}-", dir="/tmp")
+    """A fresh folder inside the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def mail_stream(spark, d):

@@ -1,6 +1,8 @@
 """Lure lexicons: bank name -> phrases. One bank compiles to one case-insensitive alternation.
 
-The banks here are the default parameter value, in our own wording. Any other table of (lexicon, pattern) rows can be
+The banks here are the default parameter value. Each phrase states a move of the lure: who acts, on what, and to what end
+(a missed delivery, a fee before a job, an account about to close). Bare nouns that ordinary mail shares, such as
+package, parcel, registration fee or contribution, do not count alone. Any other table of (lexicon, pattern) rows can be
 passed instead (`load_banks`), and every count, rate, span, floor and vote follows it. Patterns use no look-around and
 only ASCII classes, so Java's and RE2's engines read them alike. Within a bank the leftmost match wins and matches do
 not overlap.
@@ -8,131 +10,160 @@ not overlap.
 
 from __future__ import annotations
 
-import csv
 import re
 
+_SOON = "(?:today|tonight|this (?:morning|afternoon|evening)|before (?:noon|midnight|close of business)|by (?:noon|end of day))"
+_SECRET = "(?:login|log-?in|sign-?in|pass(?:word|code|phrase)|user ?name|credentials?|security (?:code|question))"
+_HOLDING = "(?:account|mailbox|inbox|profile|wallet|card|subscription|membership)"
+_PARCEL = "(?:package|parcel|shipment|delivery|letter|item)"
+_COIN = "(?:bitcoins?|btc|ether(?:eum)?|usdt|tether|monero|litecoin)"
+
 BANKS: dict[str, tuple[str, ...]] = {
     "urgency": (
-        "urgent(?:ly)?", "immediate(?:ly)?", "act now", "right away", "as soon as possible",
-        "within (?:24|48|72) hours?", "final (?:notice|warning|reminder)", "time[- ]sensitive",
+        "urgent(?:ly)?", "without (?:any )?(?:further )?delay", "(?:needs?|must|has to) (?:be )?(?:done|paid|sent|settled|sorted) " + _SOON,
+        "(?:reply|respond|answer|confirm|act) (?:" + _SOON + "|at once|straight away|now)",
+        "(?:within|in) (?:the next )?(?:[0-9]{1,2}|a few|two|three|twelve|twenty[- ]four) (?:hours?|minutes)",
+        "(?:last|only one) (?:chance|reminder)", "(?:deadline|offer|access) (?:ends|expires|runs out) (?:" + _SOON + "|soon|shortly)",
+        "there is (?:very )?little time", "time is running out",
     ),
     "authority": (
-        "(?:ceo|cfo|coo|cto|chairman|managing director|president)", "board of directors",
-        "head of (?:finance|hr|payroll|it)", "it (?:department|help ?desk|administrator)", "human resources",
-        "(?:compliance|legal|payroll) (?:team|department|officer)", "security team",
+        "(?:the|our|your|as|acting) (?:ceo|cfo|chief (?:executive|financial|operating) officer|managing director|chair(?:man|woman)?)",
+        "(?:on|at) the (?:orders?|request|instruction) of (?:the|our|your) (?:director|board|chief|president|partners?|management)",
+        "(?:board|executive committee) (?:has )?(?:decided|approved|asked|instructed)",
+        "(?:from|by|at|with) (?:the |our |your )?(?:legal|compliance|payroll|finance|accounts|audit|hr|it|security) (?:team|desk|office|department|unit)",
+        "(?:chief|head|director) of (?:finance|staff|security|people|operations|information)",
     ),
     "credential_request": (
-        "(?:verify|confirm|validate) your (?:account|identity|email|mailbox|password|details|credentials|information)",
-        "update your (?:password|account|billing|payment) (?:details|information)",
-        "(?:sign|log) ?in to (?:continue|verify|confirm|restore|your account)",
-        "click (?:here|below|the link) to (?:verify|confirm|log ?in|sign in|update)",
-        "your (?:password|credentials) (?:will )?expires?", "reactivate your account",
-        "unusual (?:sign[- ]?in|login|activity)", "one[- ]time (?:code|password|pin)", "two[- ]factor",
-        "verification (?:portal|session|page|link|process)", "secure (?:portal|link|form|upload)",
+        "(?:verify|re-?confirm|confirm|authenticate|re-?validate) (?:your|the) (?:[a-z]+ )?(?:" + _HOLDING + "|identity|e-?mail|" + _SECRET + ")",
+        "(?:enter|type|provide|submit|reply with|send us|tell us) (?:in )?your (?:[a-z]+ )?" + _SECRET,
+        "(?:re-?activate|unlock|unblock|recover|restore|regain access to) your " + _HOLDING,
+        "your " + _SECRET + " (?:is|are|has|have|will|must|should) (?:be |been |about to |soon )?(?:expir|reset|chang|replac|lapse)[a-z]*",
+        "(?:log|sign) ?in (?:here|below|through|via|using) (?:the|this|our)? ?(?:link|button|page|portal|form)?",
+        "(?:strange|suspicious|unknown|unrecogni[sz]ed) (?:log-?in|sign-?in|access|session)",
+        "(?:open|use|follow|press|tap) (?:the|this|our) (?:secure |safe )?(?:link|button|portal|page|form) (?:below )?(?:to|and) (?:keep|verify|confirm|prove|unlock|log|sign)",
+        "(?:text|send|forward|read) (?:me|us) the (?:[0-9a-z]+[- ])?code",
     ),
     "payment": (
-        "wire (?:transfer|payment|the funds)", "bank (?:transfer|account details|details)", "remittance",
-        "(?:swift code|iban|routing number|beneficiary account)", "gift ?cards?",
-        "(?:outstanding|overdue) (?:invoice|balance|payment)", "past due", "purchase order",
-        "payment (?:instructions?|details|verification|confirmation)", "direct deposit",
-        "change (?:of|in) (?:bank|banking) (?:details|account)",
+        "(?:make|send|start|arrange|approve|release|process|set up) (?:a|an|the|this) (?:[a-z]+ )?(?:wire|bank transfer|payment|payout)",
+        "(?:wire|bank) transfers?", "(?:settle|clear|pay) (?:the|an|your|our|this) (?:[a-z]+ )?(?:invoice|bill|balance|statement)",
+        "(?:new|updated|other|different|changed|following) (?:bank|account|payment|remittance|beneficiary) (?:account|details?|instructions?|information)",
+        "(?:bank|account|payment) details (?:have|has) (?:been )?(?:changed|updated|replaced)",
+        "(?:buy|purchase|pick up|get|scratch) (?:me |us |some |a few |several |[0-9]+ )*(?:[a-z]+ )?(?:gift|itunes|steam|prepaid) ?cards?",
+        "(?:iban|swift|routing|sort code|account number)(?: code| number)?(?: is|:| below)",
+        "(?:salary|payroll|direct deposit) (?:into|to) (?:a|my|another) (?:new |different )?account",
+        "(?:invoice|bill|balance|amount) (?:is|was|of [^ ]+ is) (?:now )?(?:due|overdue|unpaid|outstanding)",
     ),
     "money_request": (
-        "(?:send|lend|loan|wire|transfer) (?:me|us) (?:some |the )?(?:money|cash|funds?)",
-        "kindly (?:send|transfer|pay|assist)", "(?:need|require) (?:some )?(?:money|cash|funds)",
-        "financial (?:help|assistance|support|aid)", "can you (?:kindly )?(?:spare|lend)", "sponsor(?:ship)?",
-        "fund ?rais(?:er|ing)", "pay an? [a-z]+ fee",
+        "(?:send|lend|loan|give|advance|wire) (?:me|us|him|her|them) (?:[a-z]+ ){0,2}(?:money|cash|funds?|[$0-9][0-9,.]*)",
+        "(?:help|assist|support) (?:me|us|them) (?:out )?(?:with|financially|by paying|by sending)(?: (?:some |a little )?(?:money|cash|funds?))?",
+        "(?:short of|run out of|stranded without|no longer have) (?:any )?(?:money|cash|funds)",
+        "(?:could|would|can) you (?:please |kindly )?(?:cover|pay|lend|advance|front) (?:the|my|our|this|me)",
+        "i (?:will|shall|can) (?:pay|give) (?:you|it) back", "(?:pay|cover) (?:a|the|this) (?:small )?(?:[a-z]+ )?(?:fee|charge|deposit) (?:first|up front|in advance|before)",
     ),
     "identity_claim": (
-        "my name is", "i represent", "speaking on behalf of",
-        "i am (?:the )?(?:ceo|cfo|founder|owner|director|manager|attorney|barrister|agent)",
-        "you (?:may|might) (?:know|remember) me", "official (?:account|representative)",
+        "(?:my name is|this is|i am|i'm) (?:mr|mrs|ms|miss|dr|barrister|attorney|engineer|sergeant|general)",
+        "i (?:am|work as|serve as) (?:a|an|the) (?:[a-z]+ )?(?:lawyer|banker|soldier|widow|officer|diplomat|accountant|auditor|agent|founder|owner)",
+        "(?:writing|contacting you|acting|calling) (?:to you )?(?:on behalf of|for) (?:the|my|our|a)", "you (?:do not|don't|may not) know me",
+        "(?:we|you and i) (?:have )?(?:met|never met|spoke) (?:before|once|at|online)",
     ),
     "secrecy": (
-        "strictly confidential", "keep this (?:between us|confidential|discreet|quiet)",
-        "do not (?:tell|discuss|inform|share)", "discreet(?:ly|ion)?", "between you and me",
-        "handle this personally",
+        "(?:strictly|highly|absolutely) (?:confidential|private|secret)", "(?:keep|hold|treat) (?:this|it|the matter) (?:strictly )?(?:between|private|quiet|secret|to yourself|as confidential)",
+        "(?:do not|don't|never) (?:mention|share|repeat|tell|forward|show) (?:this|it|a word|anyone|anybody)(?: (?:to|with) (?:anyone|anybody|colleagues|others))?",
+        "nobody (?:else )?(?:must|should|may) (?:know|hear|learn)", "(?:only you and i|just the two of us)",
     ),
     "threat": (
-        "account (?:has been )?(?:suspended|locked|disabled|closed|restricted)",
-        "will be (?:suspended|terminated|closed|deleted|deactivated)", "legal action", "lawsuit", "prosecut(?:ed|ion)",
-        "police", "court order", "penalt(?:y|ies)", "failure to (?:comply|respond)",
+        "(?:your|this|the) " + _HOLDING + " (?:is|was|has been|will be|may be) (?:permanently |temporarily )?(?:suspended|blocked|frozen|locked|limited|closed|deleted|terminated|deactivated)",
+        "(?:we|they|our lawyers) (?:will|shall|may) (?:sue|prosecute|report you|take (?:you to court|legal action|further steps))",
+        "(?:you|you will|or you) (?:will )?(?:face|risk|be liable for|be charged with|lose) (?:a |an |your |heavy |all )?(?:fine|fines|prosecution|arrest|penalty|penalties|access|data|files)",
+        "(?:if you|should you|unless you) (?:fail|refuse|ignore|do not (?:pay|comply|respond|act|answer))",
     ),
     "reward": (
-        "you have won", "lottery", "jackpot", "prize", "inherit(?:ance|ed)", "next of kin", "unclaimed (?:funds?|money)",
-        "million (?:dollars|pounds|euros|usd)", "claim your (?:prize|reward|funds?|winnings)", "free (?:gift|money|cash)",
+        "(?:you|your (?:email|address|number|name)) (?:have|has|were|was) (?:been )?(?:won|selected|picked|drawn|chosen) (?:as |for |the |a |to )?",
+        "(?:claim|collect|receive|redeem) your (?:[a-z]+ )?(?:prize|winnings|reward|voucher|inheritance|compensation|bonus)",
+        "(?:share|part|percent|half) of (?:the|his|her|this) (?:estate|fortune|inheritance|fund)", "(?:deceased|late) (?:client|customer|husband|relative)",
+        "(?:[0-9.,]+|several|many) (?:million|thousand) (?:us )?(?:dollars|euros?|pounds|usd|eur|gbp)", "(?:winner|winning number) of (?:the|our|this)",
     ),
     "sextortion": (
-        "webcam", "(?:recorded|filmed) you", "adult (?:site|video|content)",
-        "your (?:contacts|friends|family) will (?:see|receive)", "i know your password", "malware on your",
+        "(?:through|with|via|of|on) your (?:own )?(?:web)?cam(?:era)?", "(?:recorded|filmed|caught|watched) you (?:while|when|on|during|as)",
+        "(?:video|clip|footage|recording|pictures) (?:of you|goes|will go|will be sent) ?(?:to (?:all |everyone )?(?:your|in your))?",
+        "your (?:contacts|relatives|friends|colleagues|family) (?:will|shall|are going to) (?:see|get|receive|know)",
+        "(?:infected|took over|control of|access to) your (?:device|computer|phone|screen)",
     ),
     "crypto": (
-        "bitcoin", "btc", "ethereum", "usdt", "crypto(?:currency)? (?:wallet|address|payment)", "wallet address",
-        "0x[a-f0-9]{40}", "bc1[a-z0-9]{20,}",
+        "(?:in|by|with|of|into|to this|my|our) " + _COIN, _COIN + " (?:wallet|address|payment|transfer|account)", "(?:seed|recovery) phrase",
+        "(?:connect|link|verify|migrate) (?:your|the) (?:[a-z]+ )?wallet", "0x[a-f0-9]{40}", "bc1[a-z0-9]{20,}",
     ),
     "it_support": (
-        "mailbox (?:is )?(?:full|storage|quota)", "exceeded your (?:storage|quota)", "password (?:expires?|expiry)",
-        "server upgrade", "maintenance window", "upgrade your (?:mailbox|account|email)",
-        "migrat(?:e|ion) (?:to|your) (?:new )?(?:server|mailbox)",
+        "(?:mailbox|inbox|storage|quota) (?:is|has|was) (?:almost |nearly )?(?:full|exceeded|reached|over)", "(?:over|reached|exceeded) (?:your|the) (?:mailbox |mail |storage )?(?:limit|quota)",
+        "(?:held|undelivered|pending|blocked) (?:messages|mails|emails) (?:on|in|for|by)", "(?:we|it) (?:are|is|will be) (?:moving|migrating|upgrading|replacing) (?:all |the |your |our )*(?:mailbox(?:es)?|servers?|accounts?|mail)",
+        "(?:keep|continue) (?:using )?(?:the |your )?(?:same|current) password",
     ),
     "attachment_lure": (
-        "please (?:find|review|open) (?:the )?attach(?:ed|ment)?", "enable (?:editing|content|macros?)",
-        "protected (?:view|document)", "scanned (?:document|invoice|copy)", "document is (?:encrypted|protected)",
-        "voice ?mail (?:message|attached)", "fax (?:message|document)",
+        "(?:open|see|view|check|review|download|print|sign) (?:the|this|our|my|your) (?:attached|enclosed) ?(?:file|document|invoice|form|copy|report)?",
+        "(?:enable|allow|turn on|activate) (?:the )?(?:content|editing|macros?|scripts?)", "(?:scan|fax|voice ?mail|voice message) (?:is |was )?(?:attached|enclosed|received|waiting)",
+        "(?:password|key|code) (?:to open|for) (?:the|this) (?:file|archive|document|zip)", "(?:document|file|message) (?:is|was) (?:encrypted|protected|locked) (?:for|by|with|and)",
+    ),
+    "spam_adult": (
+        "(?:hot|sexy|naked|nude|horny) (?:girls?|singles?|women|wives|models?|photos?|pics?)", "(?:adult|xxx) (?:dating|chat|movies?|videos?|site)", "(?:local|lonely) (?:girls?|wives|singles) (?:want|near|waiting)",
+        "(?:last|perform) (?:longer|better) in bed", "enlarge (?:your|it)",
     ),
-    "spam_adult": ("porn", "xxx", "nude", "escorts?", "erotic", "viagra", "cialis"),
     "spam_pharma": (
-        "pharmac(?:y|ies)", "no prescription", "prescription drugs?", "xanax", "valium", "weight loss", "diet pills?",
+        "(?:order|buy|get) (?:your )?(?:meds|pills|medications?|tablets|drugs) (?:online|without|from|cheap)", "(?:no|without(?: a)?) (?:doctor|prescription) (?:visit |is )?(?:needed|required|necessary)?",
+        "(?:lose|drop|burn|shed) (?:[0-9]+ |up to |ten |twenty )*(?:pounds|kilos|lbs|kg|weight|fat) (?:fast|in|without)", "(?:miracle|secret|ancient) (?:cure|remedy|pill|diet)",
     ),
     "spam_finance": (
-        "penny stocks?", "hot stock", "mortgages?", "refinanc(?:e|ing)", "debt (?:relief|consolidation)", "pre-?approved",
-        "payday loan", "casino", "online poker",
+        "(?:stock|share|ticker) (?:alert|pick|tip) (?:of|for)", "(?:buy|load up on) (?:shares|stock) (?:before|now)", "(?:wipe out|cut|consolidate|erase) your (?:debts?|loans?|bills)",
+        "(?:lower|reduce|fix) your (?:mortgage|interest|monthly) (?:rate|payments?)", "(?:loan|credit|cash) (?:approved|granted|available) (?:in|within|even with|without|regardless)", "(?:bad|poor|no) credit (?:is )?(?:ok|no problem|welcome|accepted)",
+        "(?:free spins|play poker|bet now|casino bonus)",
     ),
     "spam_commercial": (
-        "replicas?", "rolex", "oem software", "cheap software", "university degrees?", "bulk email",
-        "work (?:from|at) home", "be your own boss", "extra income", "ink cartridges?", "free (?:trial|sample)",
+        "(?:luxury|designer|brand[- ]name) (?:watches|bags|shoes) (?:at|for|from)", "(?:copies|imitations) of (?:luxury|famous|swiss) (?:watches|brands)", "(?:diploma|degree) (?:without|in weeks|from home)",
+        "(?:reach|mail) (?:[0-9,.]+|millions of|thousands of) (?:customers|prospects|addresses|inboxes)", "(?:earn|make) (?:[$0-9][0-9,.]*|money|cash) (?:a|per|every|each|from|while) (?:day|week|month|home|you sleep)",
+        "(?:up to )?[0-9]{2} ?(?:%|percent) (?:off|discount) (?:on|all|every|today)",
     ),
     "spam_bulk_marker": (
-        "unsubscribe", "opt[- ]?out", "remove me from", "mailing list", "newsletter", "to be removed",
-        "you (?:are )?receiv(?:ed|ing) this (?:e-?mail|message) because",
+        "unsubscribe", "(?:leave|be taken off|come off|stop getting) (?:this|our|the) (?:list|mailing|mails|messages)", "(?:you|we) (?:get|got|receive|received|send|sent)(?: you)? this (?:news|news ?letter|mail|e-?mail|message) (?:because|since|as)",
+        "(?:change|manage) your (?:mail|email|subscription|newsletter) (?:settings|preferences|choices)", "(?:view|read) (?:this|it) in (?:your|a) browser", "mailing list",
     ),
     "job_scam": (
-        "job (?:offer|opportunity|opening|vacancy)", "work from home", "remote (?:job|work|position)",
-        "part[- ]time (?:job|work)", "no (?:experience|interview) (?:required|needed|necessary)",
-        "(?:registration|training|joining|onboarding) fees?", "(?:[1-8]|one|two|three) hours? (?:a|per|each) day",
-        "what ?s ?app (?:me|us)", "telegram (?:me|us|group|channel)", "data entry (?:job|work)",
+        "(?:no|without) (?:prior |previous |work )?(?:experience|interview|skills) (?:is |are )?(?:needed|required|necessary|asked)",
+        "(?:work|earn|job|position) (?:[a-z]+ )?from (?:home|your phone|anywhere) (?:for |and |[a-z]+ )*(?:[a-z0-9]+ )?(?:hours?|minutes) (?:a|per|each|every) day",
+        "(?:[1-4]|one|two|three) hours? (?:a|per|each) day", "(?:hired|selected|shortlisted|accepted) (?:for (?:the|this|a) (?:job|post|position|role) )?(?:but|once|after) (?:you )?(?:pay|paying|payment)",
+        "(?:refundable|joining|registration|training|starter|equipment) (?:fee|deposit|kit) (?:for|before|to start|to begin|secures?) (?:the|your|this|a|you)? ?(?:job|post|position|employment|work|contract|role)",
+        "(?:message|write|text|add|contact) (?:me|us|our manager|the recruiter) (?:on|via|over|through) (?:whats ?app|telegram|signal)", "whats ?app me",
+        "(?:like|rate|review) (?:videos|hotels|products|apps) (?:and|to|for) (?:earn|get paid|cash|money)",
     ),
     "investment_scam": (
-        "guaranteed (?:returns?|profits?|income)", "double your (?:money|investment)", "risk[- ]free (?:investment|profit)",
-        "(?:crypto|bitcoin|forex) (?:trading|investment|platform)", "passive income", "minimum (?:deposit|investment) of",
-        "investment (?:plan|opportunity|scheme)",
+        "(?:guaranteed|fixed|certain|assured) (?:[a-z]+ )?(?:returns?|profits?|gains?|yield)", "(?:double|triple|multiply) (?:your|any|the) (?:money|deposit|stake|savings|coins)",
+        "(?:invest|deposit|start with) (?:only|just|as little as|from) [$0-9][0-9,.]*", "(?:no|zero|without) risk (?:of loss|investment|trading|to your)", "(?:trading|mining|arbitrage) (?:bot|robot|platform|group) (?:that|which|pays|with|for)",
+        "(?:daily|weekly|monthly) (?:returns?|payouts?|profits?) of",
     ),
     "tech_support_scam": (
-        "your (?:computer|pc|device) (?:is|has been) (?:infected|compromised|hacked)",
-        "(?:virus|malware|trojan|spyware) (?:detected|found)", "your (?:licen[cs]e|antivirus) (?:has )?expired",
-        "geek squad", "remote (?:access|assistance|session)", "anydesk", "teamviewer", "call our support",
+        "(?:your|this) (?:computer|pc|device|phone|system|windows) (?:is|was|has been|may be) (?:infected|hacked|at risk|compromised|blocked)", "(?:virus|trojan|spyware|malware|threats?) (?:was|were|has been|have been) (?:found|detected|discovered)",
+        "(?:antivirus|protection|licen[cs]e|security plan) (?:has )?(?:expired|lapsed|run out|been renewed|was renewed|renews)", "(?:call|phone|ring|dial) (?:our|the|a) (?:[a-z]+ )?(?:support|technician|engineer|help ?line|billing|refund)",
+        "(?:let|allow|give) (?:us|our technician|an engineer) (?:to )?(?:connect|remote|access|control)", "(?:to )?(?:cancel|dispute|refund) (?:this|the|your) (?:order|charge|renewal|subscription)",
     ),
     "delivery_scam": (
-        "(?:package|parcel|shipment)", "could not deliver", "delivery (?:attempt|status|failed)",
-        "(?:customs|shipping|redelivery) (?:fee|charge|duty)", "redeliver(?:y)?", "returned to sender", "courier",
-        "awaiting (?:collection|delivery)",
+        "(?:could not|couldn't|unable to|were not able to|failed to|cannot) (?:be )?deliver(?:ed)? (?:your|the|a|this) (?:[a-z]+ )?" + _PARCEL,
+        "(?:your|the|a) (?:[a-z]+ )?" + _PARCEL + " (?:is|was|has been|remains) (?:being )?(?:held|stopped|on hold|waiting|returned|stuck|detained|suspended|undeliverable)",
+        "(?:pay|settle|cover|owe|outstanding) (?:a|an|the|for)? ?(?:small )?(?:customs|shipping|redelivery|import|postage|handling) (?:fee|charge|duty|cost|tax)",
+        "(?:missed|failed|second|last|final) (?:delivery )?attempt to deliver", "(?:re-?schedule|re-?arrange|book) (?:your|the|a) (?:re)?delivery", "(?:wrong|incomplete|missing|incorrect) (?:delivery |shipping |street )?address (?:for|on) (?:your|the) " + _PARCEL,
     ),
     "govt_impersonation": (
-        "tax (?:refund|rebate|notice)", "(?:hmrc|irs|income tax department)", "social security number",
-        "arrest warrant", "court (?:notice|summons|hearing)", "government (?:grant|benefit)",
+        "(?:you are|you're) (?:due|owed|entitled to|eligible for) (?:a|an) (?:tax |government |council )?(?:refund|rebate|grant|benefit|payment)", "(?:tax|revenue|customs|immigration|social security) (?:office|authority|service|administration|agency) (?:has|have|requires|will|needs)",
+        "(?:warrant|summons|complaint|case) (?:is|was|has been|will be) (?:issued|filed|opened|registered) (?:against|in|under)", "your (?:social security|national insurance|passport|tax) (?:number|record|file) (?:is|was|has been) (?:suspended|misused|blocked|flagged)", "unpaid (?:tax|taxes|fine|toll|duty)",
     ),
     "charity_fraud": (
-        "(?:disaster|emergency|humanitarian) (?:relief|aid|appeal)", "relief (?:fund|effort|campaign)", "clean water",
-        "(?:contribution|donation)s? of", "displaced by", "families (?:without|in need)", "essential medicines?",
-        "emergency shelter",
+        "(?:donate|give|contribute|transfer) (?:now|today|any amount|generously|what you can) (?:to|for|and|so)", "(?:your|every|any) (?:gift|donation|contribution|pound|dollar|euro) (?:will |can |could )?(?:feeds?|saves?|shelters?|rescues?|reach(?:es)?|buys?|provides?)",
+        "(?:children|families|orphans|victims|survivors|refugees) (?:who |are |have |left )*(?:lost|without|starving|homeless|displaced|in desperate|dying|urgently need)",
+        "(?:relief|emergency|disaster|flood|earthquake) (?:fund|appeal|collection) (?:for|needs|is|wallet|account)", "(?:god|heaven|the almighty) (?:will )?(?:bless|reward) (?:you|your)",
     ),
     "romance": (
-        "my dear(?:est)?", "beloved", "soul ?mate", "lonely", "looking for (?:a )?(?:serious )?relationship",
-        "i saw your profile",
+        "(?:my|hello|dear) (?:darling|dearest|sweetheart|beloved|love)", "(?:fell|falling|fallen) in love (?:with you|with your)", "(?:saw|found|liked|read) your (?:profile|photo|picture) (?:and|on|in)",
+        "(?:honest|loving|faithful|caring|god[- ]fearing) (?:man|woman|partner|husband|wife) (?:to|who|for)", "(?:spend|share) (?:the rest of )?(?:my|our) (?:life|lives) (?:with you|together)",
     ),
     "impersonated_brand": (
-        "paypal", "microsoft", "office ?365", "docusign", "dropbox", "amazon", "netflix", "linkedin", "hsbc", "dhl",
-        "fedex", "apple (?:id|support|account)", "google (?:docs|drive|account)",
+        "paypal", "microsoft", "docusign", "dropbox", "amazon", "netflix", "linkedin", "hsbc", "dhl", "fedex", "(?:apple|google|office) (?:id|account|drive|docs|pay|365)",
     ),
 }
 BANK_NAMES = tuple(BANKS)
@@ -163,6 +194,15 @@ def compile_banks(banks=None) -> dict[str, str]:
     return {name: compile_bank(pats) for name, pats in (banks or BANKS).items()}
 
 
+#: Words so common in any text that they are poor seeds.
+_COMMON = frozenset("the your you this that our and for are was has have will with from not been may must should who can".split())
+
+
+def _worth(literal: str) -> int:
+    """Length of a literal as a seed; nothing for a lone common word."""
+    return 0 if literal.strip() in _COMMON else len(literal.strip())
+
+
 def seeds(pattern: str) -> tuple[str, ...] | None:
     """Lower-case literals of which every match of the pattern contains at least one, or None when there is no such set.
 
@@ -175,7 +215,7 @@ def seeds(pattern: str) -> tuple[str, ...] | None:
 
         def offer(found):
             nonlocal best
-            if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            if found and (best is None or min(map(_worth, found)) > min(map(_worth, best))):
                 best = found
 
         for op, arg in items:
@@ -219,10 +259,11 @@ def trie_pattern(literals) -> str:
     return "(?:" + "|".join(parts) + ")" if len(parts) > 1 else parts[0]
 
 
-def load_banks(path: str) -> dict[str, tuple[str, ...]]:
-    """Banks from a CSV of lexicon,pattern rows, in file order."""
+def load_banks(spark, path: str) -> dict[str, tuple[str, ...]]:
+    """Banks from a CSV of position,lexicon,pattern rows that Spark reads, so that any store serves; ordered by position.
+    A bank is a rule table: its patterns are compiled into the plan."""
+    rows = spark.read.option("header", True).option("escape", '"').schema("position int, lexicon string, pattern string").csv(path).orderBy("position", "lexicon", "pattern").collect()
     out: dict[str, list[str]] = {}
-    with open(path, newline="", encoding="utf-8") as f:
-        for row in csv.DictReader(f):
-            out.setdefault(row["lexicon"], []).append(row["pattern"])
+    for row in rows:
+        out.setdefault(row["lexicon"], []).append(row["pattern"])
     return {k: tuple(v) for k, v in out.items()}

@@ -14,7 +14,7 @@ from lurewatch.rules import patterns as P
 MAIL_SCHEMA = (
     "path STRING, message_id STRING, subject STRING, body STRING, html STRING, sender STRING, receiver STRING, "
     "date STRING, reply_to STRING, return_path STRING, auth_results STRING, in_reply_to STRING, references STRING, "
-    "attachments STRING"
+    "attachments STRING, error STRING"
 )
 DATE_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss")
 
@@ -75,15 +75,25 @@ def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
                 row = _parse_one(bytes(content))
-            except Exception:  # noqa: BLE001 - one unreadable message must not stop the batch
-                continue
+            except Exception as e:  # noqa: BLE001 - one unreadable message must not stop the batch, nor vanish from it
+                row = {"error": f"{type(e).__name__}: {e}"}
             out.append({"path": path, **row})
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame({c: pd.Series([r.get(c) for r in out], dtype=object) for c in names})
+
+
+def decoded(raw: DataFrame) -> DataFrame:
+    """(path, content BINARY) to one canonical row each; `error` tells why a message could not be read."""
+    return raw.select("path", "content").mapInPandas(_decode_batches, MAIL_SCHEMA)
+
+
+def unreadable_mail(raw: DataFrame) -> DataFrame:
+    """(path, error) of the messages that could not be read."""
+    return decoded(raw).where("error IS NOT NULL").select("path", "error")
 
 
 def decode_mail(raw: DataFrame) -> DataFrame:
-    """(path, content BINARY) to canonical rows; rows with neither body nor subject are dropped."""
-    df = raw.select("path", "content").mapInPandas(_decode_batches, MAIL_SCHEMA)
+    """Canonical rows; what has neither body nor subject is dropped, and `unreadable_mail` holds what failed."""
+    df = decoded(raw).where("error IS NULL").drop("error")
     return df.where(F.col("body").rlike(r"\S") | F.col("subject").rlike(r"\S")).withColumn("sent_at", parse_rfc2822(F.col("date")))
 
 
@@ -94,11 +104,12 @@ def read_eml(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
 
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """mbox files: Spark splits the text at the "From " lines, so one large file is read by many tasks."""
-    df = spark.read.option("lineSep", "\nFrom ").text(path).select(
-        F.input_file_name().alias("path"), F.regexp_replace("value", r"^(?:From )?[^\n]*\n", "").alias("v"))
+    """mbox files: Spark splits the file at the "From " lines, so one large file is read by many tasks. The bytes are
+    handled as Latin-1, which keeps each of them, so a part's own charset still applies."""
+    df = spark.read.option("lineSep", "\nFrom ").text(path).select(F.input_file_name().alias("path"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("v"))
+    df = df.withColumn("v", F.regexp_replace(F.regexp_replace("v", r"^(?:From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1"))
     df = df.where(F.col("v").rlike(r"(?m)^[A-Za-z-]+:"))
-    return decode_mail(df.select("path", F.encode("v", "UTF-8").alias("content")))
+    return decode_mail(df.select("path", F.encode("v", "ISO-8859-1").alias("content")))
 
 
 def header_scan(raw: DataFrame, text: str, keys: tuple[str, ...] = ()) -> DataFrame:

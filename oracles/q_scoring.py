@@ -92,8 +92,8 @@ SELECT floor, count(*) AS fired, count(*) FILTER (label = 0) AS fired_benign, co
 FROM floors JOIN fl USING (message_id) GROUP BY floor""", "floors", "fl")
 ORACLE["join_ioc"] = q("SELECT message_id FROM ioc_ids", "ioc_ids")
 ORACLE["set_ioc_intersect"] = q("SELECT domain FROM seen_domains INTERSECT SELECT domain FROM ioc_list", "seen_domains", "ioc_list")
-ORACLE["join_allowlist"] = q("""SELECT u.message_id, m.registrable, u.registrable AS link, u.raw FROM url_facts u JOIN sender1 m USING (message_id)
-WHERE u.ext IN ('exe', 'scr', 'msi', 'iso') AND m.registrable NOT IN ('203.0.113.9', 'partner.example.net', 'example.net')
+ORACLE["join_allowlist"] = q(f"""SELECT u.message_id, m.registrable, u.registrable AS link, u.raw FROM url_facts u JOIN sender1 m USING (message_id)
+WHERE u.ext IN {lst(dims.HARD_EXECUTABLE_EXT)} AND m.registrable NOT IN ('203.0.113.9', 'partner.example.net', 'example.net')
   AND u.registrable NOT IN ('203.0.113.9', 'partner.example.net', 'example.net')""", "url_facts", "sender1")
 ORACLE["join_domain_age"] = q("SELECT message_id, registrable, CASE WHEN known_age THEN domain_age_days END AS domain_age_days FROM aged", "aged")
 _DIM = rows("d, k", [(v, "freemail") for v in dims.FREEMAIL] + [(v, "brand") for v in dims.LEGIT_DOMAINS] + [(v, "shortener") for v in dims.SHORTENERS])
