@@ -1,15 +1,17 @@
-"""Whole-corpus repeats of fixed-width windows, in three rounds of shrinking size.
+"""Whole-corpus repeats of fixed-width windows, in rounds of shrinking size.
 
 The operators say what an anchor is: for every window a place in it that depends on the window's content alone. Windows
-that follow each other mostly share an anchor, so an *occurrence* is (anchor name, union): the run of windows with one
-anchor, and a fingerprint of the text they cover. Then:
+that follow each other mostly share an anchor, so a *piece* is a run of windows with one anchor, a name (what all these
+windows hold), and a fingerprint of the whole text they cover. A round is then:
 
-1. Occurrences whose anchor name is found once hold no repeated window. They are most of a corpus and go first.
-2. Equal (name, union) met twice: all their windows are repeated, whatever the number of copies. One stands for all.
-3. Names with several different unions: the windows of one occurrence of each union are compared one by one.
+1. Pieces whose name is found once hold no repeated window. They are most of a corpus and go first.
+2. Equal (name, whole) met twice: all their windows are repeated, whatever the number of copies. One stands for all.
+3. Names with several different wholes go to the next round, one piece of each whole.
 
-Copies fold in map-side aggregates in every round, joins are left to Catalyst (AQE splits hot keys), and no group is
-ever collected: only one text's own places meet in a row. Fingerprints that decide have 128 bits.
+The first round takes the anchor's name; the second cuts pieces into bands of equal distance to the anchor, named by the
+text that every window of the band holds; the last compares what is left window by window. Copies fold in map-side
+aggregates in every round, joins are between written tables so that AQE can split hot keys, and no group is ever
+collected: only one text's own places meet in a row. Fingerprints that decide have 128 bits.
 
 A text is known by a 64-bit hash of id and text. Rows with equal id and text share it; they repeat each other anyway.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from lurewatch.llm.common import batches, ship
 from lurewatch.session import cut_lineage
 
-OCCURRENCE = "k long, name long, whole long, at int, n int"
+PIECE = "k long, name long, whole long, at int, n int, off int, open boolean"
 WINDOW = "lead binary, f1 long, f2 long, k long, at int, open boolean"
 
 
@@ -48,9 +50,18 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def as_pieces(keys, row, name, whole, at, n, off, is_open) -> pa.RecordBatch:
+    ints = [pa.array(np.asarray(x).astype(np.int32)) for x in (at, n, off)]
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), signed(name), signed(whole), *ints, pa.array(is_open)], ["k", "name", "whole", "at", "n", "off", "open"])
+
+
+def as_windows(keys, row, lead, f1, f2, at, is_open) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lead, signed(f1), signed(f2), keys.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(is_open)], ["lead", "f1", "f2", "k", "at", "open"])
+
+
 def by_hash(windows: DataFrame) -> DataFrame:
     """The open windows whose content is met again, by hash aggregation."""
-    again = windows.groupBy("f1", "f2").agg(F.count("*").alias("c")).where("c > 1").select("f1", "f2")
+    again = step(windows.groupBy("f1", "f2").agg(F.count("*").alias("c")).where("c > 1").select("f1", "f2"))
     return windows.where("open").join(again, ["f1", "f2"], "left_semi").select("k", "at")
 
 
@@ -84,22 +95,48 @@ def by_suffix_order(windows: DataFrame) -> DataFrame:
     return ranged.mapInArrow(neighbours, "k long, at int")
 
 
-def repeated_spans(texts: DataFrame, occurrences: Callable, windows: Callable, again: Callable = by_hash) -> DataFrame:
+def narrowed(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over written pieces: ((k, at, n) of windows known to repeat, the pieces to look at closer)."""
+    shared = step(pieces.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"))
+    pieces = step(pieces.join(shared, "name", "left_semi"))
+    wholes = step(pieces.groupBy("name", "whole").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("k", "at", "n", "off", "open")]))
+    twice = step(wholes.where("copies > 1").select("name", "whole"))
+    sure = step(pieces.where("open").join(twice, ["name", "whole"], "left_semi").select("k", "at", "n"))
+    several = step(wholes.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"))
+    rest = wholes.join(several, "name", "left_semi").select("k", "at", "n", "off", (F.col("open") & (F.col("copies") == 1)).alias("open"))
+    return sure, rest
+
+
+def by_text(texts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(k, text, todo): the texts that hold pieces, with all of their own."""
+    todo = step(pieces.groupBy("k").agg(F.collect_list(F.struct("at", "n", "off", "open")).alias("todo")))
+    return texts.select("k", "text").join(todo, "k")
+
+
+def repeated_spans(texts: DataFrame, pieces: Callable, bands: Callable, windows: Callable, again: Callable = by_hash) -> DataFrame:
     """(k, spans array<struct<at int, n int>>): the starts of all repeated windows as runs, per text that has any.
 
-    `texts` holds k and text. occurrences(batch k, text) and windows(batch k, text, todo) are whole-slice functions."""
-    found = step(batches(texts.select("k", "text"), occurrences, OCCURRENCE))
-    shared = found.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    found = step(found.join(shared, "name", "left_semi"))
-    unions = step(found.groupBy("name", "whole").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("k", "at", "n")]))
-    sure = found.join(unions.where("copies > 1").select("name", "whole"), ["name", "whole"], "left_semi").select("k", "at", "n")
-    several = unions.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    todo = unions.join(several, "name", "left_semi").groupBy("k").agg(F.collect_list(F.struct("at", "n", (F.col("copies") == 1).alias("open"))).alias("todo"))
-    checked = step(batches(texts.select("k", "text").join(todo, "k"), windows, WINDOW))
-    spans = sure.unionByName(again(checked).withColumn("n", F.lit(1)))
+    `texts` holds k and text. pieces(k, text), bands(k, text, todo) and windows(k, text, todo) are whole-slice functions."""
+    sure, rest = narrowed(step(batches(texts.select("k", "text"), pieces, PIECE)))
+    surer, rest = narrowed(step(batches(by_text(texts, rest), bands, PIECE)))
+    last = step(batches(by_text(texts, rest), windows, WINDOW))
+    spans = sure.unionByName(surer).unionByName(again(last).withColumn("n", F.lit(1)))
     return step(spans.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
 
 
+def banded(base: np.ndarray, at: np.ndarray, n: np.ndarray, off: np.ndarray, is_open: np.ndarray, band: int):
+    """Pieces cut into bands of windows whose distance to the anchor falls into one multiple of `band`.
+
+    base is each piece's text start, at and off count from there. Returns (piece, start, windows, band number)."""
+    start = expand(base + at, n)
+    piece = np.repeat(np.arange(len(n)), n)
+    number = (np.repeat(base + at + off, n) - start) // band
+    change = np.ones(len(start), bool)
+    change[1:] = (piece[1:] != piece[:-1]) | (number[1:] != number[:-1])
+    first = np.flatnonzero(change)
+    return piece[first], start[first], np.diff(np.append(first, len(start))), number[first]
+
+
 def runs(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
     """(row of each entry, *fields) of a list<struct> column, nulls as empty."""
     if isinstance(lists, pa.ChunkedArray):

@@ -19,34 +19,49 @@ from pyspark.sql import functions as F
 
 from lurewatch.llm import recompress
 from lurewatch.llm.common import BASES, U64, Ranges, Words, batches, flat, mix, table
-from lurewatch.llm.repeats import covered, expand, keyed, repeated_spans, runs, signed
+from lurewatch.llm.repeats import as_pieces, as_windows, banded, covered, expand, keyed, repeated_spans, runs
 
-WIDTH = 35
+WIDTH, BAND = 35, 5
 
 
-def _occurrences(width: int):
+def _pieces(width: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(*flat(batch.column(1)))
         names, doc = words.names(), words.doc()
         found = recompress.symbols(names, words.first[:-1][doc], words.first[1:][doc], width)
         at, n, index = recompress.anchors(found, words.first, width)
+        off = found[1][index] - at
         with np.errstate(over="ignore"):
-            whole = mix(Ranges(names, 1).of(at, at + n + width - 1) + (found[1][index] - at).astype(U64) * BASES[0] + n.astype(U64))
+            whole = mix(Ranges(names, 1).of(at, at + n + width - 1) + off.astype(U64) * BASES[0] + n.astype(U64))
         row = doc[at]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), signed(found[0][index]), signed(whole),
-                                           pa.array((at - words.first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], ["k", "name", "whole", "at", "n"])
+        return as_pieces(batch.column(0), row, found[0][index], whole, at - words.first[row], n, off, np.ones(len(at), bool))
+    return work
+
+
+def _bands(width: int, band: int):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(*flat(batch.column(1)))
+        names = words.names()
+        row, at, n, off, is_open = runs(batch.column(2))
+        base = words.first[row]
+        piece, start, count, number = banded(base, at, n, off, is_open, band)
+        anchor = (base + at + off)[piece]
+        core = anchor - number * band  # the latest start of the band's windows
+        with np.errstate(over="ignore"):
+            name = mix(Ranges(names, 0).of(core, core + width - band + 1) + number.astype(U64) * BASES[1])
+        whole = Ranges(names, 1).of(start, start + count + width - 1)
+        return as_pieces(batch.column(0), row[piece], name, whole, start - base[piece], count, anchor - start, is_open[piece])
     return work
 
 
 def _windows(width: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(*flat(batch.column(1)))
-        row, at, n, is_open = runs(batch.column(2))
+        row, at, n, _, is_open = runs(batch.column(2))
         start = expand(words.first[row] + at, n)
         row, is_open = np.repeat(row, n), np.repeat(is_open, n)
         a, b = (Ranges(words.names(w), w).of(start, start + width) for w in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()).take(pa.array(np.zeros(len(start), np.int64))), signed(a), signed(b), batch.column(0).take(pa.array(row)),
-                                           pa.array((start - words.first[row]).astype(np.int32)), pa.array(is_open)], ["lead", "f1", "f2", "k", "at", "open"])
+        return as_windows(batch.column(0), row, pa.array([b""], pa.binary()).take(pa.array(np.zeros(len(start), np.int64))), a, b, start - words.first[row], is_open)
     return work
 
 
@@ -81,7 +96,7 @@ def _cut(width: int, with_text: bool):
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256 [, kept]) of every row of docs(doc_id, text)."""
     texts = keyed(docs)
-    spans = repeated_spans(texts, _occurrences(width), _windows(width))
+    spans = repeated_spans(texts, _pieces(width), _bands(width, BAND), _windows(width))
     joined = texts.join(spans, "k", "left").select("doc_id", "text", "spans")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return batches(joined, _cut(width, with_text), schema)
@@ -90,7 +105,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
 def cut_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with repeated windows cut from text (and n_chars, if there, set anew); untouched texts stay as they are."""
     texts, names, at = keyed(docs), docs.columns, docs.columns.index("text")
-    spans = repeated_spans(texts, _occurrences(width), _windows(width)).withColumnsRenamed({"k": "_own_k", "spans": "_own_spans"})
+    spans = repeated_spans(texts, _pieces(width), _bands(width, BAND), _windows(width)).withColumnsRenamed({"k": "_own_k", "spans": "_own_spans"})
     joined = docs.withColumn("_own_k", F.xxhash64("doc_id", "text")).join(spans, "_own_k", "left").select(*names, "_own_spans")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lurewatch.llm.common import BASES, BYTE_VALUES, U64, Ranges, batches, flat, mix, table
-from lurewatch.llm.repeats import by_suffix_order, covered, expand, keyed, repeated_spans, runs, signed
+from lurewatch.llm.repeats import as_pieces, as_windows, banded, by_suffix_order, covered, expand, keyed, repeated_spans, runs
 
-WIDTH, GRAM, LEAD = 400, 32, 16
+WIDTH, GRAM, LEAD, BAND = 400, 32, 16, 16
 _PLACE_BITS = 27
 
 
@@ -34,7 +34,7 @@ def _smallest(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(m[: len(values) - span + 1], m[span - w:]) if span > w else m
 
 
-def _occurrences(width: int, gram: int):
+def _pieces(width: int, gram: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         buf, offsets = flat(batch.column(1))
         n = len(buf)
@@ -57,24 +57,38 @@ def _occurrences(width: int, gram: int):
         runs_n = np.diff(np.append(at, len(start)))
         begin, row = start[at], row[at]
         anchor = (chosen[at] & low).astype(np.int64)
+        off = anchor - begin
         with np.errstate(over="ignore"):
-            whole = mix(Ranges(BYTE_VALUES[1][buf], 1).of(begin, begin + runs_n + width - 1) + (anchor - begin).astype(U64) * BASES[0] + runs_n.astype(U64))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), signed(name[anchor]), signed(whole),
-                                           pa.array((begin - offsets[row]).astype(np.int32)), pa.array(runs_n.astype(np.int32))], ["k", "name", "whole", "at", "n"])
+            whole = mix(Ranges(BYTE_VALUES[1][buf], 1).of(begin, begin + runs_n + width - 1) + off.astype(U64) * BASES[0] + runs_n.astype(U64))
+        return as_pieces(batch.column(0), row, name[anchor], whole, begin - offsets[row], runs_n, off, np.ones(len(begin), bool))
+    return work
+
+
+def _bands(width: int, band: int):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        buf, offsets = flat(batch.column(1))
+        row, at, n, off, is_open = runs(batch.column(2))
+        base = offsets[row]
+        piece, start, count, number = banded(base, at, n, off, is_open, band)
+        anchor = (base + at + off)[piece]
+        core = anchor - number * band  # the latest start of the band's windows
+        with np.errstate(over="ignore"):
+            name = mix(Ranges(BYTE_VALUES[0][buf], 0).of(core, core + width - band + 1) + number.astype(U64) * BASES[1])
+        whole = Ranges(BYTE_VALUES[1][buf], 1).of(start, start + count + width - 1)
+        return as_pieces(batch.column(0), row[piece], name, whole, start - base[piece], count, anchor - start, is_open[piece])
     return work
 
 
 def _windows(width: int, lead: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, offsets = flat(batch.column(1))
-        row, at, n, is_open = runs(batch.column(2))
+        row, at, n, _, is_open = runs(batch.column(2))
         start = expand(offsets[row] + at, n)
         row, is_open = np.repeat(row, n), np.repeat(is_open, n)
         a, b = (Ranges(BYTE_VALUES[w][buf], w).of(start, start + width) for w in (0, 1))
         heads = np.lib.stride_tricks.sliding_window_view(buf, lead)[start] if len(start) else np.zeros((0, lead), np.uint8)
         heads = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.arange(len(start) + 1, dtype=np.int32) * lead), pa.py_buffer(np.ascontiguousarray(heads))])
-        return pa.RecordBatch.from_arrays([heads, signed(a), signed(b), batch.column(0).take(pa.array(row)), pa.array((start - offsets[row]).astype(np.int32)),
-                                           pa.array(is_open)], ["lead", "f1", "f2", "k", "at", "open"])
+        return as_windows(batch.column(0), row, heads, a, b, start - offsets[row], is_open)
     return work
 
 
@@ -106,7 +120,7 @@ def _cut(width: int, with_bytes: bool):
 def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept]) of every row of docs(doc_id, text)."""
     texts = keyed(docs)
-    spans = repeated_spans(texts, _occurrences(width, gram), _windows(width, min(LEAD, width)), by_suffix_order)
+    spans = repeated_spans(texts, _pieces(width, gram), _bands(width, BAND), _windows(width, min(LEAD, width)), by_suffix_order)
     joined = texts.join(spans, "k", "left").select("doc_id", "text", "spans")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
     return batches(joined, _cut(width, with_bytes), schema)
