@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-THRESHOLDS = (0.3, 0.5, 0.7, 0.8, 0.9, 0.95)
+THRESHOLDS = (0.5, 0.7, 0.8, 0.9, 0.95, 0.99)
 
 
 def marker_precision(df: DataFrame, label: str, markers: dict[str, Column]) -> DataFrame:

@@ -85,13 +85,20 @@ def history_asof(df: DataFrame, keys: list[str], ts: Column, received: Column, s
     return out
 
 
-def message_history(df: DataFrame) -> DataFrame:
-    """History columns the floors read, as of each message, per mailbox and sending domain.
+REPLY_RATE = 0.05  # fixed value: answers per received message that make a correspondent
+
+
+def message_history(df: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+    """History columns the floors read, as of each message, per mailbox and sending domain. `sent` holds the owners' own
+    mail as (mailbox, registrable, sent_at); without it nobody counts as a correspondent.
 
     The running state is built from four narrow columns; the wide rows are shuffled once, by their unique id.
     """
     narrow = df.select("message_id", "sent_at", F.concat_ws("|", "mailbox", "registrable").alias("_k"))
-    out = history_asof(narrow, ["_k"], F.col("sent_at"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.date_trunc("hour", F.col("sent_at")))
+    if sent is not None:
+        narrow = narrow.unionByName(sent.select("sent_at", F.concat_ws("|", "mailbox", "registrable").alias("_k")), allowMissingColumns=True)
+    got = F.col("message_id").isNotNull().cast("bigint")
+    out = history_asof(narrow, ["_k"], F.col("sent_at"), got, F.lit(1).cast("bigint") - got, F.date_trunc("hour", F.col("sent_at"))).where("message_id IS NOT NULL")
     out = df.join(out.drop("_k", "sent_at"), "message_id")
     now, day = F.unix_micros("sent_at"), 86_400_000_000
     known = F.col("hist_received") > 0
@@ -102,7 +109,7 @@ def message_history(df: DataFrame) -> DataFrame:
     return out.withColumns({
         "first_contact": ~known,
         "corresponded": F.col("hist_sent") > 0,
-        "established": known & (F.col("hist_received") >= 5) & (F.floor((now - F.col("hist_first")) / day) >= 30),
+        "established": known & ((F.col("hist_received") >= 5) | (F.col("hist_sent") >= REPLY_RATE * F.col("hist_received"))) & (F.floor((now - F.col("hist_first")) / day) >= 30),
         "dormant_days": F.when((F.col("hist_received") >= 3) & (span > 0) & (gap > F.greatest(F.lit(120.0), usual * 8)), gap),
         "unusual_hour": (F.col("hist_received") >= 8) & (F.col("hist_hours").bitwiseAND(around) == 0),
         "history_scanned": F.lit(True),

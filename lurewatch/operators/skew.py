@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-SALTS = 64
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "left", salts: int | None = None,
-                  hot_rows: int = 1_000_000) -> DataFrame:
+def salted_lookup(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "left", salts: int | None = None) -> DataFrame:
     """Join a large frame to a lookup that holds at most one row per key, without a hot task.
 
     Catalyst picks the strategy (it broadcasts by measured size and AQE splits skewed partitions). With `salts`, the

@@ -20,11 +20,16 @@ def population(profiles: DataFrame, min_messages: int = MIN_MESSAGES, min_sender
     return out.where(F.col("senders") >= min_senders)
 
 
-def deviations(long: DataFrame, profiles: DataFrame, pop: DataFrame, key: str, who: str = "address", min_messages: int = MIN_MESSAGES) -> DataFrame:
-    """z of the message and of its sender's centroid per shared trait. Population rows are bounded by the trait list."""
-    ready = profiles.where(F.col("n") >= min_messages).select(who, "trait", F.col("mean").alias("own_mean"), F.col("n").alias("own_n"))
+def deviations(long: DataFrame, profiles: DataFrame, pop: DataFrame, key: str, who: str = "address", min_messages: int = MIN_MESSAGES,
+               learned: bool = False) -> DataFrame:
+    """z of the message and of its sender's centroid per shared trait. Population rows are bounded by the trait list.
+
+    With `learned` the messages are part of their profiles; each is taken out of its own centroid again."""
+    ready = profiles.where(F.col("n") - int(learned) >= min_messages).select(who, "trait", F.col("mean").alias("own_mean"), F.col("n").alias("own_n"))
     spread = pop.where(F.col("pop_sd") > 1e-9).select("trait", "pop_mean", "pop_sd")
     df = long.join(F.broadcast(spread), "trait").join(ready, [who, "trait"])
+    if learned:
+        df = df.where("value IS NOT NULL").withColumn("own_mean", (F.col("own_n") * F.col("own_mean") - F.col("value")) / (F.col("own_n") - 1)).withColumn("own_n", F.col("own_n") - 1)
     zm = (F.col("value") - F.col("pop_mean")) / F.col("pop_sd")
     zc = (F.col("own_mean") - F.col("pop_mean")) / F.col("pop_sd")
     return df.select(key, who, "trait", "value", "own_mean", "own_n", zm.alias("zm"), zc.alias("zc"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from lurewatch.plans.q_features import featured, messages, rounded
 from lurewatch.plans.views import table, view
 from lurewatch.sources import corpora as C
 from lurewatch.sources.mail import header_scan, parties
+from lurewatch.session import ensure_checkpoint_dir
 
 QUERIES = {}
 
@@ -81,15 +84,14 @@ def src_domain_list(spark, d):
     host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1))
     lines = table(spark, d, "pages").select(F.concat(F.lit("  "), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("# "), host)).otherwise(
         F.concat(F.upper(host), F.lit(" # seen")))).alias("value"))
-    return C.domain_list(lines)
+    path = f"{ensure_checkpoint_dir(spark)}/domains-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return C.read_domain_list(spark, path)
 
 
 @query
 def src_parquet_cache(spark, d):
     """Write the keyed feature cache split by partition, read it back."""
-    import uuid
-
-    from lurewatch.session import ensure_checkpoint_dir
     df = featured(spark, d).select("message_id", "kind", "url_count", "txt_body_words", "lex_payment_count")
     df = SM.group_split(df, F.col("message_id"))
     path = f"{ensure_checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
@@ -101,8 +103,11 @@ def src_parquet_cache(spark, d):
 @query
 def sink_review_csv(spark, d):
     df = messages(spark, d).select("message_id", "source", "subject", "body")
-    out = C.review_rows(df)
-    return out.select("message_id", "source", "subject", F.md5("text_preview").alias("preview_md5"), "true_vector")
+    path = f"{ensure_checkpoint_dir(spark)}/review-{uuid.uuid4().hex}"
+    rows = C.review_rows(df).select("message_id", "source", "subject", "text_preview", "true_vector")
+    C.write_review(rows, path)
+    out = C.read_review(spark, path, rows.columns)
+    return out.select(F.col("message_id").cast("bigint").alias("message_id"), "source", "subject", F.md5("text_preview").alias("preview_md5"), "true_vector")
 
 
 @query
@@ -186,17 +191,17 @@ def voted(spark, d):
 
 @query
 def agg_vector_dist(spark, d):
-    """Vector histogram with share and mean rule confidence; the total is summed over the few grouped rows."""
-    df = voted(spark, d).groupBy("rule_vector").agg(F.count("*").alias("n"), F.avg("rule_confidence").alias("mean_confidence"))
+    """Vector histogram of malicious rows with share and mean rule confidence; the total is summed over the few grouped rows."""
+    df = voted(spark, d).where("label = 1").groupBy("rule_vector").agg(F.count("*").alias("n"), F.avg("rule_confidence").alias("mean_confidence"))
     total = F.sum("n").over(Window.partitionBy())  # at most one row per vector reaches this window
     return rounded(df.select("rule_vector", "n", (F.col("n") / total).alias("share"), "mean_confidence"))
 
 
 @query
 def smp_stratified_quota(spark, d):
-    """45/35/20 quota over unresolved, low and high confidence rows."""
-    df = voted(spark, d).select("message_id", F.when(F.col("rule_vector") == "malicious_unclassified", F.lit("unresolved")).when(
-        F.col("rule_confidence") < 0.5, F.lit("low")).otherwise(F.lit("high")).alias("bucket"))
+    """45/35/20 quota over malicious rows: unresolved, confidence below 0.7, and 0.9 or more."""
+    df = voted(spark, d).where("label = 1").select("message_id", F.when(F.col("rule_vector") == "malicious_unclassified", F.lit("unresolved")).when(
+        F.col("rule_confidence") < 0.7, F.lit("low")).when(F.col("rule_confidence") >= 0.9, F.lit("high")).alias("bucket")).where("bucket IS NOT NULL")
     return SM.quota(df, ["bucket"], "message_id", "gold", {"unresolved": 45, "low": 35, "high": 20}, "bucket").select("message_id", "bucket")
 
 

@@ -67,8 +67,8 @@ def agg_history_signals(spark, d):
 def join_history(spark, d):
     """Address row and domain row for each event's sender; absent parties are zero."""
     lg = log(spark, d)
-    a = H.build_history(lg.where(F.dayofmonth("ts") <= 10), "address").select("address", F.col("received").alias("a_received"), F.col("sent_to").alias("a_sent"))
-    b = H.build_history(lg.where(F.dayofmonth("ts") <= 10), "domain").select("domain", F.col("received").alias("d_received"), F.col("sent_to").alias("d_sent"))
+    a = H.build_history(lg, "address").select("address", F.col("received").alias("a_received"), F.col("sent_to").alias("a_sent"))
+    b = H.build_history(lg, "domain").select("domain", F.col("received").alias("d_received"), F.col("sent_to").alias("d_sent"))
     df = lg.join(a, "address", "left").join(b, "domain", "left")
     zero = F.lit(0).cast("bigint")
     return df.select("event_id", *[F.coalesce(c, zero).alias(c) for c in ("a_received", "a_sent", "d_received", "d_sent")])
@@ -101,7 +101,7 @@ def agg_thread_index(spark, d):
 def join_thread_ids(spark, d):
     """In-Reply-To resolves to an indexed id."""
     df = messages(spark, d)
-    return TH.resolve_ids(df.select("message_id", T.message_ids(F.col("in_reply_to")).alias("refs")), df.where("message_id % 2 = 0").select(
+    return TH.resolve_ids(df.select("message_id", T.message_ids(F.col("in_reply_to")).alias("refs")), df.select(
         F.concat(F.col("message_id").cast("string"), F.lit("@box")).alias("id")))
 
 
@@ -152,7 +152,7 @@ def style_dev(spark, d):
     # narrow trait rows feed profile, population and deviations: written once, the texts are read once
     long = cut_lineage(style_long(spark, d))
     prof = STY.profile(long)
-    return STY.deviations(long, prof, STY.population(prof), "doc_id")
+    return STY.deviations(long, prof, STY.population(prof), "doc_id", learned=True)
 
 
 @query

@@ -57,8 +57,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fits_broadcast(df: DataFrame, limit_rows: int) -> bool:
-    """True when df is proven to hold at most limit_rows rows (stops counting just past the limit)."""
-    return df.limit(limit_rows + 1).count() <= limit_rows

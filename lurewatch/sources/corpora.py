@@ -99,5 +99,15 @@ def review_rows(df: DataFrame, answers: tuple[str, ...] = ("true_vector",)) -> D
     return df.withColumn("text_preview", preview(F.col("body"))).drop("body").withColumns({a: F.lit("") for a in answers})
 
 
+_REVIEW = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_review(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Review rows as CSV, white space kept."""
+    df.write.mode("overwrite").options(**_REVIEW).csv(path)
+
+
+def read_review(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The sheet as filled in; an empty answer is an empty text."""
+    df = spark.read.schema(", ".join(f"`{c}` STRING" for c in columns)).options(**_REVIEW, multiLine=True).csv(path)
+    return df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])

@@ -46,7 +46,7 @@ ORACLE["smp_group_split"] = q("SELECT message_id, split FROM split", "split")
 ORACLE["smp_calibration_slice"] = q(f"SELECT CASE WHEN split = 'train' AND {bucket('content_key', 'calib')} < 15 THEN 'calib' ELSE split END AS split, count(*) AS n FROM split GROUP BY 1", "split")
 ORACLE["agg_split_label"] = q("SELECT split, count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS malicious FROM split GROUP BY 1", "split")
 ORACLE["set_split_except"] = q("SELECT DISTINCT content_key FROM split WHERE split = 'train'", "split")
-ORACLE["agg_vector_dist"] = q("""SELECT rule_vector, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(rule_confidence), 6) AS mean_confidence FROM resolved GROUP BY 1""", "resolved")
+ORACLE["agg_vector_dist"] = q("""SELECT rule_vector, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(rule_confidence), 6) AS mean_confidence FROM resolved JOIN messages USING (message_id) WHERE label = 1 GROUP BY 1""", "resolved", "messages")
 
 
 def quota(source: str, group: str, salt: str, limits: dict[str, int], cols: str) -> str:
@@ -54,8 +54,9 @@ def quota(source: str, group: str, salt: str, limits: dict[str, int], cols: str)
     return f"""SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY md5(CAST(message_id AS VARCHAR) || '{salt}'), message_id) AS rn FROM ({source})) WHERE rn <= {case}"""
 
 
-ORACLE["smp_stratified_quota"] = q(quota("""SELECT message_id, CASE WHEN rule_vector = 'malicious_unclassified' THEN 'unresolved' WHEN rule_confidence < 0.5 THEN 'low' ELSE 'high' END AS bucket FROM resolved""",
-                                         "bucket", "gold", {"unresolved": 45, "low": 35, "high": 20}, "message_id, bucket"), "resolved")
+ORACLE["smp_stratified_quota"] = q(quota("""SELECT message_id, CASE WHEN rule_vector = 'malicious_unclassified' THEN 'unresolved' WHEN rule_confidence < 0.7 THEN 'low' ELSE 'high' END AS bucket FROM resolved JOIN messages USING (message_id)
+WHERE label = 1 AND (rule_vector = 'malicious_unclassified' OR rule_confidence < 0.7 OR rule_confidence >= 0.9)""",
+                                         "bucket", "gold", {"unresolved": 45, "low": 35, "high": 20}, "message_id, bucket"), "resolved", "messages")
 cte("pool", ("base", "hits"), f"""
 SELECT b.message_id, b.subject, b.sender, b.source, b.label, b.body_text, coalesce(h.n, 0) AS n_spans, coalesce(h.n, 0) > 0 AS has_tell
 FROM base b LEFT JOIN (SELECT message_id, least(count(*), 12) AS n FROM hits WHERE field = 'body' AND lexicon IN {lst(TELL_BANKS)} GROUP BY 1) h USING (message_id)""")

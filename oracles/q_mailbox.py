@@ -33,7 +33,7 @@ SELECT address, domain, ar + asent > 0 AS sender_known, dr + ds > 0 AS domain_kn
   CASE WHEN dr >= 3 AND span > 0 AND gap > greatest(120.0, span / greatest(dr - 1, 1) * 8) THEN gap END AS dormant_days,
   coalesce(dr >= 8 AND NOT list_has_any(hours, [hour - 1, hour, hour + 1]), false) AS unusual_hour FROM j""", "mail_log", "h_addr", "h_dom")
 ORACLE["join_history"] = q(f"""
-WITH l AS (SELECT * FROM mail_log WHERE day(ts) <= 10), a AS (SELECT address, {_H} FROM l GROUP BY 1), b AS (SELECT domain, {_H} FROM l GROUP BY 1)
+WITH a AS (SELECT address, {_H} FROM mail_log GROUP BY 1), b AS (SELECT domain, {_H} FROM mail_log GROUP BY 1)
 SELECT event_id, coalesce(a.received, 0) AS a_received, coalesce(a.sent_to, 0) AS a_sent, coalesce(b.received, 0) AS d_received, coalesce(b.sent_to, 0) AS d_sent
 FROM mail_log m LEFT JOIN a USING (address) LEFT JOIN b ON b.domain = m.domain""", "mail_log")
 ORACLE["join_history_asof"] = q("""
@@ -51,7 +51,7 @@ cte("indexed", ("threads",), "SELECT message_id, count(*) OVER (PARTITION BY mai
 ORACLE["agg_thread_index"] = q("""SELECT a.mailbox, messages, ids, shingles, owners FROM (SELECT mailbox, count(*) AS messages, count(DISTINCT message_id) AS ids FROM threads GROUP BY 1) a
 JOIN (SELECT mailbox, count(*) AS shingles, count(DISTINCT owner) AS owners FROM sh_index GROUP BY 1) b USING (mailbox)""", "threads", "sh_index")
 ORACLE["join_thread_ids"] = q(f"""SELECT DISTINCT message_id FROM (SELECT message_id, lower(unnest(regexp_extract_all(in_reply_to, {s(P.MESSAGE_ID)}, 1))) AS ref FROM messages)
-WHERE ref IN (SELECT CAST(message_id AS VARCHAR) || '@box' FROM messages WHERE message_id % 2 = 0)""", "messages")
+WHERE ref IN (SELECT CAST(message_id AS VARCHAR) || '@box' FROM messages)""", "messages")
 ORACLE["join_thread_shingles"] = q("SELECT message_id, q_shingles, q_found, round(q_found / q_shingles, 6) AS ratio FROM sh_match", "sh_match")
 ORACLE["win_growing_index"] = q("SELECT message_id, indexed FROM indexed", "indexed")
 cte("verdicts", ("threads", "indexed", "sh_match"), f"""
@@ -69,8 +69,8 @@ _LONG = " UNION ALL ".join(f"SELECT w.doc_id, d.source AS address, '{t}' AS trai
 cte("traits", ("wide_traits",), _LONG)
 cte("profile", ("traits",), "SELECT address, trait, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM traits GROUP BY 1, 2")
 cte("popul", ("profile",), f"SELECT * FROM (SELECT trait, count(*) AS senders, avg(mean) AS pop_mean, stddev_samp(mean) AS pop_sd FROM profile WHERE n >= {ST.MIN_MESSAGES} GROUP BY 1) WHERE senders >= 3")
-cte("dev", ("traits", "profile", "popul"), f"""SELECT t.doc_id, t.trait, p.n AS own_n, (t.value - o.pop_mean) / o.pop_sd AS zm, (p.mean - o.pop_mean) / o.pop_sd AS zc
-FROM traits t JOIN popul o USING (trait) JOIN profile p USING (address, trait) WHERE p.n >= {ST.MIN_MESSAGES} AND o.pop_sd > 1e-9""")
+cte("dev", ("traits", "profile", "popul"), f"""SELECT t.doc_id, t.trait, p.n - 1 AS own_n, (t.value - o.pop_mean) / o.pop_sd AS zm, ((p.n * p.mean - t.value) / (p.n - 1) - o.pop_mean) / o.pop_sd AS zc
+FROM traits t JOIN popul o USING (trait) JOIN profile p USING (address, trait) WHERE p.n - 1 >= {ST.MIN_MESSAGES} AND o.pop_sd > 1e-9 AND t.value IS NOT NULL""")
 cte("drift", ("dev",), f"""SELECT doc_id, traits, 1 - dot / (na * nb) AS drift FROM (SELECT doc_id, count(*) AS traits, sum(zm * zc) AS dot, sqrt(sum(zm * zm)) AS na, sqrt(sum(zc * zc)) AS nb
 FROM dev GROUP BY 1) WHERE traits >= {ST.MIN_TRAITS} AND na > 1e-9 AND nb > 1e-9""")
 ORACLE["agg_style_profile"] = q("SELECT address, trait, n, round(mean, 4) AS mean, round(sd, 4) AS sd FROM profile", "profile")

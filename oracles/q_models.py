@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from lurewatch.operators import explain as EX
-from lurewatch.operators.evaluate import THRESHOLDS
 from lurewatch.operators.learner import TACTICS
 from lurewatch.rules.lexicons import BANK_NAMES, BANK_TACTIC, TELL_BANKS
 from oracles.base import cte, lst, q, rows
@@ -42,7 +41,7 @@ ORACLE["ev_brier"] = q("SELECT round(avg(pow(p - y, 2)), 6) AS brier, count(*) A
 _CF = "count(*) FILTER (p >= {t} AND y = 1) AS tp, count(*) FILTER (p >= {t} AND y = 0) AS fp, count(*) FILTER (p < {t} AND y = 1) AS fn, count(*) FILTER (p < {t} AND y = 0) AS tn"
 _RT = "CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0.0 END AS recall, CASE WHEN fp + tn > 0 THEN round(fp / (fp + tn), 6) ELSE 0.0 END AS fpr"
 ORACLE["ev_confusion"] = q(f"SELECT *, {_RT} FROM (SELECT {_CF.format(t=0.5)} FROM scored)", "scored")
-ORACLE["ev_operating_points"] = q(f"SELECT *, {_RT} FROM (" + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, {_CF.format(t=t)} FROM scored" for t in THRESHOLDS) + ")", "scored")
+ORACLE["ev_operating_points"] = q(f"SELECT *, {_RT} FROM (" + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, {_CF.format(t=t)} FROM scored" for t in (0.5, 0.7, 0.8, 0.9, 0.95, 0.99)) + ")", "scored")
 ORACLE["ev_calibration_bins"] = q("SELECT CAST(floor(p * 10) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM scored WHERE p < 1 GROUP BY 1 HAVING count(*) >= 20", "scored")
 ORACLE["ev_class_report"] = q("""
 WITH s AS (SELECT b_vector AS cls, count(*) AS support, count(*) FILTER (a_vector = b_vector) AS tp FROM labellers GROUP BY 1), p AS (SELECT a_vector AS cls, count(*) AS predicted FROM labellers GROUP BY 1),
