@@ -101,3 +101,22 @@ def class_report(df: DataFrame, true: str, pred: str) -> DataFrame:
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     return out.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(
         F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)))
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: Column, bucket, points: list[float]) -> DataFrame:
+    """(keys, pos, value): interpolated percentiles from value counts ranked in two steps. `bucket` maps the value column
+    to a slice that grows with it; no task ever holds all values of a key."""
+    counted = df.select(*keys, value.cast("double").alias("_x")).where("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.count("*").alias("_n")).withColumn("_b", bucket(F.col("_x")))
+    per, slices, inside = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m")), Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys, "_b").orderBy("_x")
+
+    def below(c, w):
+        return F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.withColumn("_i", below("_n", inside)).join(per.select(*keys, "_b", below("_m", slices).alias("_e")), [*keys, "_b"]).withColumn("_before", F.col("_e") + F.col("_i"))
+    total = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    at = F.array(*[F.struct(F.lit(i).alias("pos"), (F.lit(float(p)) * (F.col("_all") - 1)).alias("r")) for i, p in enumerate(points)])
+
+    def here(rank):
+        return (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
+    met = placed.join(total, keys).select(*keys, "_x", F.explode(F.filter(at, lambda s: here(F.floor(s.r)) | here(F.ceil(s.r)))).alias("s"))
+    low, high, part = F.min("_x"), F.max("_x"), F.first("s.r") - F.floor(F.first("s.r"))
+    return met.groupBy(*keys, F.col("s.pos").alias("pos")).agg((low + part * (high - low)).alias("value"))

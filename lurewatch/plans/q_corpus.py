@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lurewatch.functions.common import collapse, words
 from lurewatch.functions.threads import content_key
 from lurewatch.operators import sampling as SM
+from lurewatch.operators.evaluate import exact_percentiles
 from lurewatch.operators.scoring import with_vote_result, with_votes
 from lurewatch.operators.skew import first_per_key, top_per_group
 from lurewatch.plans.memo import planned
@@ -249,13 +250,15 @@ def smp_triage_mix(spark, d):
 @query
 def top_hard_cases(spark, d):
     """Benign with the highest score, hostile with the lowest, and the least certain; one row per content key."""
+    keys = messages(spark, d).select("message_id", content_key(F.col("subject"), F.col("body")).alias("content_key"))
     s = view(spark, d, "scored").select("message_id", "y", "p")
     n = 25
     fp = s.where("y = 0").orderBy(F.desc("p"), "message_id").limit(n)
     fn = s.where("y = 1").orderBy("p", "message_id").limit(n)
     unsure = s.orderBy(F.abs(F.col("p") - 0.5), "message_id").limit(n)
     tagged = fp.withColumn("ord", F.lit(0)).unionByName(fn.withColumn("ord", F.lit(1))).unionByName(unsure.withColumn("ord", F.lit(2)))
-    one = tagged.groupBy("message_id").agg(F.min("ord").alias("ord"), F.first("y").alias("y"), F.first("p").alias("p"))
+    picked = tagged.join(keys, "message_id").groupBy("content_key").agg(F.min(F.struct("ord", "message_id", "y", "p")).alias("o"))
+    one = picked.select("o.*")
     return rounded(one.select("message_id", F.element_at(F.array(F.lit("false_positive"), F.lit("false_negative"), F.lit("uncertain")), F.col("ord") + 1).alias("why"), F.col("y").cast("bigint").alias("y"), "p"))
 
 
@@ -279,8 +282,8 @@ def flt_verified_quotes(spark, d):
 def agg_percentile_grid(spark, d):
     """Twelve-point exact percentile reference of a price per flag."""
     pts = [0.01, 0.05, 0.10, 0.25, 0.40, 0.50, 0.60, 0.75, 0.90, 0.95, 0.99, 1.0]
-    df = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(*[F.lit(p) for p in pts])).alias("g"))
-    return rounded(df.select("l_returnflag", F.posexplode("g").alias("pos", "value")).select("l_returnflag", F.col("pos").cast("bigint").alias("pos"), "value"), 4)
+    df = exact_percentiles(table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"), lambda v: F.floor(v / 100), pts)
+    return rounded(df.select("l_returnflag", F.col("pos").cast("bigint").alias("pos"), "value"), 4)
 
 
 @query

@@ -8,6 +8,7 @@ from lurewatch.functions import style as ST
 from lurewatch.functions import threads as T
 from lurewatch.operators import history as H
 from lurewatch.operators import style as STY
+from lurewatch.operators.evaluate import exact_percentiles
 from lurewatch.operators import threads as TH
 from lurewatch.plans.q_features import STYLE_SUBSET, messages, rounded
 from lurewatch.plans.views import table, view
@@ -174,8 +175,10 @@ def win_top_traits(spark, d):
 @query
 def ev_style_auc(spark, d):
     """Drift of genuine messages at four percentiles, as thresholds."""
-    df = STY.drift(style_dev(spark, d), "doc_id").agg(F.percentile("drift", F.array(*[F.lit(q) for q in (0.90, 0.95, 0.975, 0.99)])).alias("g"), F.count("*").alias("n"))
-    return rounded(df.select("n", F.posexplode("g").alias("pos", "threshold")).select("n", F.col("pos").cast("bigint").alias("pos"), "threshold"), 4)
+    df = cut_lineage(STY.drift(style_dev(spark, d), "doc_id").select(F.lit(1).alias("all"), "drift"))
+    marks = exact_percentiles(df, ["all"], F.col("drift"), lambda v: F.floor(v * 1000), [0.90, 0.95, 0.975, 0.99])
+    n = df.groupBy("all").agg(F.count("*").alias("n"))
+    return rounded(marks.join(n, "all").select("n", F.col("pos").cast("bigint").alias("pos"), F.col("value").alias("threshold")), 4)
 
 
 @query

@@ -66,11 +66,13 @@ ORACLE["agg_pool_stats"] = q("""SELECT source, count(*) FILTER (label = 1 AND ha
 ORACLE["smp_exercise"] = q("""SELECT message_id, subject, sender, md5(trim(regexp_replace(body_text, '\\s+', ' ', 'g'))) AS body_md5, n_spans AS n_tells FROM pool
 WHERE label = 1 AND has_tell ORDER BY md5(CAST(message_id AS VARCHAR) || 'highlight') LIMIT 20""", "pool")
 ORACLE["smp_triage_mix"] = q(quota("SELECT message_id, CASE WHEN label = 1 THEN 'hostile' ELSE 'benign' END AS cls FROM messages", "cls", "triage", {"hostile": 8, "benign": 16}, "message_id, cls"), "messages")
-ORACLE["top_hard_cases"] = q("""
+ORACLE["top_hard_cases"] = q(f"""
 WITH t AS (SELECT *, 0 AS ord FROM (SELECT message_id, y, p FROM scored WHERE y = 0 ORDER BY p DESC, message_id LIMIT 25)
  UNION ALL SELECT *, 1 FROM (SELECT message_id, y, p FROM scored WHERE y = 1 ORDER BY p, message_id LIMIT 25)
- UNION ALL SELECT *, 2 FROM (SELECT message_id, y, p FROM scored ORDER BY abs(p - 0.5), message_id LIMIT 25))
-SELECT message_id, ['false_positive', 'false_negative', 'uncertain'][min(ord) + 1] AS why, CAST(any_value(y) AS BIGINT) AS y, round(any_value(p), 6) AS p FROM t GROUP BY message_id""", "scored")
+ UNION ALL SELECT *, 2 FROM (SELECT message_id, y, p FROM scored ORDER BY abs(p - 0.5), message_id LIMIT 25)),
+k AS (SELECT message_id, {KEY} AS content_key FROM messages)
+SELECT message_id, ['false_positive', 'false_negative', 'uncertain'][ord + 1] AS why, CAST(y AS BIGINT) AS y, round(p, 6) AS p FROM (
+  SELECT t.*, row_number() OVER (PARTITION BY content_key ORDER BY ord, message_id) AS rn FROM t JOIN k USING (message_id)) WHERE rn = 1""", "scored", "messages")
 ORACLE["flt_verified_quotes"] = q("""
 WITH v AS (SELECT c.message_id, c.strength, substr(trim(regexp_replace(lower(c.quote), '\\s+', ' ', 'g')), 1, 60) AS needle,
     trim(regexp_replace(lower(m.subject || ' ' || m.body), '\\s+', ' ', 'g')) AS hay FROM claims c JOIN messages m USING (message_id)),
