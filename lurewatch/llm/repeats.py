@@ -28,20 +28,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.llm.common import batches, ship
-from lurewatch.session import cut_lineage
+from lurewatch.session import cut_lineage, ensure_checkpoint_dir
 
 PIECE = "k long, name long, whole long, at int, n int, off int, open boolean"
 WINDOW = "lead binary, f1 long, f2 long, k long, at int, open boolean"
 
 
-def step(df: DataFrame) -> DataFrame:
-    """A written table; what led to it is let go, so that the shuffle files of finished rounds do not pile up."""
+def step(df: DataFrame, done: tuple = ()) -> DataFrame:
+    """A written table. `done` are tables of earlier steps that nothing reads any more: they are deleted now that what
+    follows from them is safe in the shared folder, and their shuffle files are let go."""
     out = cut_lineage(df)
+    drop(*done)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `step` wrote, and nothing else."""
+    for t in tables:
+        root = ensure_checkpoint_dir(t.sparkSession)
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("cut-") and root.rstrip("/").rsplit("/", 1)[-1] in folder:
+                path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
+                path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -95,36 +107,37 @@ def by_suffix_order(windows: DataFrame) -> DataFrame:
     return ranged.mapInArrow(neighbours, "k long, at int")
 
 
-def narrowed(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round over written pieces: ((k, at, n) of windows known to repeat, the pieces to look at closer)."""
+def narrowed(pieces: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
+    """One round over written pieces: ((k, at, n) of windows known to repeat, the pieces to look at closer, the tables
+    that these still read)."""
     shared = step(pieces.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"))
-    pieces = step(pieces.join(shared, "name", "left_semi"))
+    pieces = step(pieces.join(shared, "name", "left_semi"), (pieces, shared))
     wholes = step(pieces.groupBy("name", "whole").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("k", "at", "n", "off", "open")]))
     twice = step(wholes.where("copies > 1").select("name", "whole"))
-    sure = step(pieces.where("open").join(twice, ["name", "whole"], "left_semi").select("k", "at", "n"))
+    sure = step(pieces.where("open").join(twice, ["name", "whole"], "left_semi").select("k", "at", "n"), (pieces, twice))
     several = step(wholes.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"))
     rest = wholes.join(several, "name", "left_semi").select("k", "at", "n", "off", (F.col("open") & (F.col("copies") == 1)).alias("open"))
-    return sure, rest
+    return sure, rest, (wholes, several)
 
 
-def by_text(texts: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(k, text, todo): the texts that hold pieces, with all of their own."""
-    todo = step(pieces.groupBy("k").agg(F.collect_list(F.struct("at", "n", "off", "open")).alias("todo")))
-    return texts.select("k", "text").join(todo, "k")
+def looked_at(texts: DataFrame, rest: DataFrame, read: tuple, work: Callable, schema: str) -> DataFrame:
+    """work(k, text, todo) over the texts that hold pieces, each with all of its own, as a written table."""
+    todo = step(rest.groupBy("k").agg(F.collect_list(F.struct("at", "n", "off", "open")).alias("todo")), read)
+    return step(batches(texts.select("k", "text").join(todo, "k"), work, schema), (todo,))
 
 
 def repeated_spans(texts: DataFrame, pieces: Callable, bands: Callable, windows: Callable, again: Callable = by_hash) -> DataFrame:
     """(k, spans array<struct<at int, n int>>): the starts of all repeated windows as runs, per text that has any.
 
     `texts` holds k and text. pieces(k, text), bands(k, text, todo) and windows(k, text, todo) are whole-slice functions."""
-    sure, rest = narrowed(step(batches(texts.select("k", "text"), pieces, PIECE)))
-    surer, rest = narrowed(step(batches(by_text(texts, rest), bands, PIECE)))
-    last = step(batches(by_text(texts, rest), windows, WINDOW))
+    sure, rest, read = narrowed(step(batches(texts.select("k", "text"), pieces, PIECE)))
+    surer, rest, read = narrowed(looked_at(texts, rest, read, bands, PIECE))
+    last = looked_at(texts, rest, read, windows, WINDOW)
     spans = sure.unionByName(surer).unionByName(again(last).withColumn("n", F.lit(1)))
-    return step(spans.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
+    return step(spans.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("spans")), (sure, surer, last))
 
 
-def banded(base: np.ndarray, at: np.ndarray, n: np.ndarray, off: np.ndarray, is_open: np.ndarray, band: int):
+def banded(base: np.ndarray, at: np.ndarray, n: np.ndarray, off: np.ndarray, band: int):
     """Pieces cut into bands of windows whose distance to the anchor falls into one multiple of `band`.
 
     base is each piece's text start, at and off count from there. Returns (piece, start, windows, band number)."""

@@ -44,7 +44,7 @@ def _bands(width: int, band: int):
         names = words.names()
         row, at, n, off, is_open = runs(batch.column(2))
         base = words.first[row]
-        piece, start, count, number = banded(base, at, n, off, is_open, band)
+        piece, start, count, number = banded(base, at, n, off, band)
         anchor = (base + at + off)[piece]
         core = anchor - number * band  # the latest start of the band's windows
         with np.errstate(over="ignore"):
