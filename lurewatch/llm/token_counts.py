@@ -15,6 +15,7 @@ read. Texts are never cut; a piece without white space may be of any length.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
@@ -86,23 +87,22 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY, prefixes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit [, prefix_tokens]). The file is named, and found by each worker."""
+    """(doc_id, n_bytes, n_tokens, over_limit, n_within [, prefix_tokens]): the last prefix count is the total, and the
+    largest one up to the limit, n_within, is what a cut at the limit keeps in whole pieces. The vocabulary file is named,
+    and found by each worker."""
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_tokens array<int>" * prefixes
+    schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, n_within long" + ", prefix_tokens array<int>" * prefixes
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(vocabulary_path(vocabulary))
         texts = [t or "" for t in batch.column(1).to_pylist()]
         split = [c.pieces(t) for t in texts]
         c.learn(set().union(*split) if split else set())
-        known = c.known.__getitem__
-        if prefixes:
-            rows = [list(accumulate(map(known, p), initial=0)) for p in split]
-            n = [r[-1] for r in rows]
-        else:
-            n = [sum(map(known, p)) for p in split]
-        columns = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
-        names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+        rows = [list(accumulate(map(c.known.__getitem__, p), initial=0)) for p in split]
+        n = [r[-1] for r in rows]
+        columns = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()),
+                   pa.array([r[bisect_right(r, limit) - 1] for r in rows], pa.int64())]
+        names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_within"]
         if prefixes:
             columns.append(pa.array(rows, pa.list_(pa.int32())))
             names.append("prefix_tokens")

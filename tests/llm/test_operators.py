@@ -208,7 +208,9 @@ def test_token_counts(spark, corpus):
     t = Tokenizer.from_file(token_counts.vocabulary_path())
     texts = corpus + [(400, "It's  <|endoftext|> don't\u00a0STOP\x1cnow\u2003A\u0301 e\u0301 12345 \U0001f600!! \u03a3\u03a3 \u03a3"), (401, "x" * 5000)]
     want = sorted(((i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False)), len(t.encode(x or "", add_special_tokens=False)) > 2048) for i, x in texts), key=repr)
-    assert rows_of(token_counts.token_counts(docs_frame(spark, texts))) == want
+    df = token_counts.token_counts(docs_frame(spark, texts), prefixes=True)
+    assert rows_of(df, "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert all(r["n_within"] == max(x for x in r["prefix_tokens"] if x <= 2048) and r["prefix_tokens"][-1] == r["n_tokens"] for r in df.collect())
     c = token_counts.PrefixCounter(token_counts.vocabulary_path())
     text = texts[-2][1] + " " + texts[0][1]
     counts = c.prefix_counts(text)
