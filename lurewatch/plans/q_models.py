@@ -48,8 +48,8 @@ def ml_tfidf(spark, d):
 @query
 def ml_char_ngrams(spark, d):
     """Word-bounded character 3-5-grams with document frequency four or more."""
-    subs = messages(spark, d).select("message_id", "subject").withColumn("g", F.array_distinct(M.char_grams(F.col("subject"))))
-    return subs.select("message_id", F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df >= 4")
+    whole = messages(spark, d).select("message_id", F.array_distinct(M.char_grams(F.concat("subject", F.lit(" "), "body"))).alias("g"))
+    return whole.select("message_id", F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df >= 4")
 
 
 @query
@@ -111,17 +111,16 @@ def training(spark, d):
     return cut_lineage(df.select("message_id", "label", "split", "text", "authenticated", *feature_names()))
 
 
-STRUCT = ["hdr_brand_display_mismatch", "hdr_domain_is_lookalike", "hdr_sender_freemail", "url_count", "url_has_shortener", "url_has_anchor_mismatch",
-          "url_has_credential_path", "att_count", "att_dangerous_count", "txt_currency_mentions", "lex_payment_count", "lex_secrecy_count", "lex_urgency_count"]
+STRUCT = list(feature_names())
 
 
 def wording(df):
-    return M.wording_pipeline(vocab=20_000, char_slots=1 << 12).fit(M.with_char_grams(df.where("split = 'train'"), "text"))
+    return M.wording_pipeline(char_slots=1 << 16).fit(M.with_char_grams(df.where("split = 'train'"), "text"))
 
 
 def structural(df):
     rows = df.where("split <> 'test'").withColumn("is_valid", F.col("split") == "calib")
-    return M.structural_pipeline(STRUCT, 5).fit(rows)
+    return M.structural_pipeline(STRUCT).fit(rows)
 
 
 @query
@@ -166,22 +165,23 @@ def ml_calibrate(spark, d):
 
 @query
 def ml_vector_classifier(spark, d):
-    """Classes from confident weak labels."""
-    df = cut_lineage(with_vote_result(with_votes(featured(spark, d))).select("message_id", "rule_vector", "rule_confidence", *STRUCT))
-    model = M.vector_pipeline(STRUCT).fit(df.where("rule_confidence >= 0.5 AND rule_vector <> 'malicious_unclassified'"))
+    """Classes of malicious rows from confident weak labels, fitted on the train split and told for the test split."""
+    df = with_vote_result(with_votes(featured(spark, d))).where("label = 1 AND rule_vector <> 'malicious_unclassified'")
+    df = cut_lineage(group_split(df, F.col("message_id")).select("message_id", "split", "rule_vector", "rule_confidence", *STRUCT))
+    model = M.vector_pipeline(STRUCT).fit(df.where("rule_confidence >= 0.5 AND split = 'train'"))
     names = model.stages[0].labels
-    out = model.transform(df.where("rule_vector <> 'malicious_unclassified'"))
+    out = model.transform(df.where("split = 'test'"))
     return out.select("message_id", "rule_vector", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("prediction") + 1).cast("int")).alias("predicted"))
 
 
 @query
 def ml_url_model(spark, d):
-    """Link classifier split by domain; worst link per page."""
+    """Link classifier split by registrable domain, so no domain is on both sides; worst link per page."""
     from lurewatch.plans.q_features import _page_links
     links = _page_links(spark, d).select("page_id", F.explode("urls").alias("u")).select("page_id", "u.raw", "u.registrable", (
         F.size(F.split("u.path", "/")) > 3).cast("int").alias("label"))
-    df = cut_lineage(group_split(M.with_char_grams(links, "raw"), F.col("raw")))
-    out = M.url_pipeline(1 << 12).fit(df.where("split = 'train'")).transform(df.where("split = 'test'"))
+    df = cut_lineage(group_split(M.with_char_grams(links, "raw"), F.col("registrable")))
+    out = M.url_pipeline().fit(df.where("split = 'train'")).transform(df.where("split = 'test'"))
     return rounded(out.groupBy("page_id").agg(F.count("*").alias("links"), F.max(M.positive()).alias("worst_p"), F.avg(M.positive()).alias("mean_p"), F.max_by("raw", M.positive()).alias("worst")), 4)
 
 
@@ -238,7 +238,7 @@ def ev_leave_one_source(spark, d):
     Counts per (source, token, label) are built once; the fold without a source is the total minus that source, so no
     fold re-reads the text.
     """
-    toks = messages(spark, d).select("message_id", "source", "label", F.explode(F.array_distinct(extract_all(F.lower("subject"), "[a-z]{3,}"))).alias("token"))
+    toks = messages(spark, d).select("message_id", "source", "label", F.explode(F.array_distinct(extract_all(F.lower(F.concat("subject", F.lit(" "), "body")), "[a-z]{3,}"))).alias("token"))
     per = toks.groupBy("source", "token").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g"))
     every = per.groupBy("token").agg(F.sum("b").alias("tb"), F.sum("g").alias("tg"))
     w = per.join(every, "token").select("source", "token", F.log((F.col("tb") - F.col("b") + 1) / (F.col("tg") - F.col("g") + 1)).alias("w"))

@@ -9,9 +9,6 @@ from lurewatch.operators import enrich, history, scoring as SC
 from lurewatch.plans.features import with_features
 
 
-IOC_INLINE = 1000
-
-
 def fixed_p() -> Column:
     """A stand-in model probability for tables without a trained model: a plain function of the id."""
     return F.lit(0.05) + ((F.col("message_id") * 13) % 60) / 100.0
@@ -27,16 +24,8 @@ def with_state(feats: DataFrame, registry: DataFrame | None = None, mailbox_hist
 
 
 def ioc_hits(df: DataFrame, iocs: DataFrame) -> DataFrame:
-    """Add ioc_hit: the sender or a link domain is on the known-bad list.
-
-    A list proven to hold at most IOC_INLINE rows becomes a constant array (no shuffle). A longer one is joined on
-    exploded (id, domain) rows.
-    """
-    short = iocs.select("domain").distinct().limit(IOC_INLINE + 1).collect()
-    if len(short) <= IOC_INLINE:
-        seen = F.concat(F.array("registrable"), F.transform("urls", lambda u: u.registrable))
-        bad = F.array(*[F.lit(r[0]) for r in short]) if short else F.array().cast("array<string>")
-        return df.withColumn("ioc_hit", F.coalesce(F.arrays_overlap(seen, bad), F.lit(False)))
+    """Add ioc_hit: the sender or a link domain is on the known-bad list. Whether the list is broadcast is left to the
+    engine's measure of it."""
     seen = df.select("message_id", F.explode(F.array_distinct(F.concat(
         F.array("registrable"), F.transform("urls", lambda u: u.registrable)))).alias("domain"))
     bad = seen.where("domain <> ''").join(iocs, "domain", "left_semi").select("message_id").distinct()

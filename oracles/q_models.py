@@ -19,7 +19,7 @@ SELECT message_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY message_id)) AS
 ORACLE["ml_tfidf"] = q("SELECT message_id, count(*) AS terms, round(sum(tfidf), 4) AS mass, round(max(tfidf), 4) AS top FROM tfidf GROUP BY 1", "tfidf")
 ORACLE["ml_char_ngrams"] = q("""SELECT gram, count(*) AS df FROM (SELECT DISTINCT message_id, substr(w, i, n) AS gram FROM (
   SELECT message_id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT message_id, w, unnest([3, 4, 5]) AS n FROM (
-    SELECT message_id, ' ' || unnest(list_filter(string_split_regex(lower(subject), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM messages)) WHERE length(w) >= n)) GROUP BY 1 HAVING count(*) >= 4""", "messages")
+    SELECT message_id, ' ' || unnest(list_filter(string_split_regex(lower(subject || ' ' || body), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM messages)) WHERE length(w) >= n)) GROUP BY 1 HAVING count(*) >= 4""", "messages")
 ORACLE["ex_token_contrib"] = q("""SELECT message_id, token, round(c, 4) AS contribution, rank FROM (SELECT message_id, token, tfidf * weight AS c,
   row_number() OVER (PARTITION BY message_id ORDER BY abs(tfidf * weight) DESC, token) AS rank FROM tfidf JOIN token_weights USING (token)) WHERE rank <= 15""", "tfidf", "token_weights")
 ORACLE["ex_view_share"] = q("""SELECT message_id, round(a / t, 6) AS structural, round(b / t, 6) AS wording FROM (SELECT *, CASE WHEN a + b > 0 THEN a + b ELSE 1 END AS t FROM (
@@ -49,7 +49,7 @@ j AS (SELECT cls, coalesce(support, 0) AS support, coalesce(tp, 0) / nullif(pred
 SELECT cls, support, round(coalesce(pr, 0), 6) AS precision, round(coalesce(re, 0), 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1 FROM j""", "labellers")
 ORACLE["ev_bucket_accuracy"] = q("SELECT 'b' || (message_id % 4) AS bucket, count(*) AS n, round(avg((a_vector = b_vector)::INT), 6) AS accuracy FROM labellers GROUP BY 1", "labellers")
 cte("loso", ("messages",), """
-WITH t AS (SELECT DISTINCT message_id, source, label, token FROM (SELECT message_id, source, label, unnest(regexp_extract_all(lower(subject), '[a-z]{3,}')) AS token FROM messages)),
+WITH t AS (SELECT DISTINCT message_id, source, label, token FROM (SELECT message_id, source, label, unnest(regexp_extract_all(lower(subject || ' ' || body), '[a-z]{3,}')) AS token FROM messages)),
 p AS (SELECT source, token, sum(label) AS b, sum(1 - label) AS g FROM t GROUP BY 1, 2),
 w AS (SELECT source, token, ln((sum(b) OVER (PARTITION BY token) - b + 1) / (sum(g) OVER (PARTITION BY token) - g + 1)) AS w FROM p)
 SELECT source, label AS y, round(1 / (1 + exp(-z)), 6) AS p FROM (SELECT t.source, t.message_id, t.label, round(sum(w.w), 6) AS z FROM t JOIN w USING (source, token) GROUP BY 1, 2, 3)""")
