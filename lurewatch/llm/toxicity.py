@@ -28,7 +28,8 @@ from lurewatch.session import cut_lineage
 SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON = 4096, 8192, 2048
 LEAST_RATIO, LEAST_DOCS, THRESHOLD = 20.0, 4, 0.7
 GRADES = (1.5, 3.0, 4.5)  # log-odds that part grades 1..4; grade 0 is no lexicon word
-SPAN, PER_DOC = 8, 8  # training sequences: tokens on each side, and at most so many a document
+SPAN, PER_DOC = 8, 4  # training sequences: tokens on each side, and at most so many a document
+SLICE = 2048  # sequences in memory at once while fitting
 
 _IS_TOKEN = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)], bool)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -110,38 +111,41 @@ def fit_chain(grades: np.ndarray, tagged: np.ndarray, rounds: int = 150, rate: f
     w[0] = -2.0
     if not len(grades):
         return w
-    own, before, after = grades[:, 1:-1], grades[:, :-2], grades[:, 2:]
-    n, length = tagged.shape
     m1, m2 = np.zeros(18), np.zeros(18)
     for step in range(1, rounds + 1):
-        c = Chain(w)
-        e = np.exp(c.emission(own, before, after))
-        ahead, back = np.ones((length, n, 2)), np.ones((length, n, 2))
-        v = np.stack([np.ones(n), e[:, 0] * np.exp(c.start)], 1)
-        for t in range(length):
-            if t:
-                v = (ahead[t - 1] @ c.trans) * np.stack([np.ones(n), e[:, t]], 1)
-            ahead[t] = v / v.sum(1, keepdims=True)
-        for t in range(length - 2, -1, -1):
-            b = (back[t + 1] * np.stack([np.ones(n), e[:, t + 1]], 1)) @ c.trans.T
-            back[t] = b / b.sum(1, keepdims=True)
-        both = ahead * back
-        p = (both[:, :, 1] / both.sum(2)).T
-        left = tagged - p
-        g = np.zeros(18)
-        for base, feature in ((0, own), (5, before), (10, after)):
-            g[base: base + 5] = np.bincount(feature.ravel(), left.ravel(), 5)
-        pair = ahead[:-1, :, :, None] * c.trans[None, None] * (np.stack([np.ones_like(e), e], 2).transpose(1, 0, 2)[1:] * back[1:])[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        seen = [(1 - tagged[:, :-1]) * tagged[:, 1:], tagged[:, :-1] * tagged[:, 1:]]
-        g[15], g[16] = seen[0].sum() - pair[:, :, 0, 1].sum(), seen[1].sum() - pair[:, :, 1, 1].sum()
-        g[17] = left[:, 0].sum()
-        g = g / n - ridge * w
+        g = sum(_gradient(Chain(w), grades[a: a + SLICE], tagged[a: a + SLICE]) for a in range(0, len(grades), SLICE)) / len(grades) - ridge * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w = w + rate * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.999 ** step)) + 1e-8)
     return w
 
 
+def _gradient(c: Chain, grades: np.ndarray, tagged: np.ndarray) -> np.ndarray:
+    """Seen minus expected feature counts of some sequences, by forward-backward."""
+    own, before, after = grades[:, 1:-1], grades[:, :-2], grades[:, 2:]
+    n, length = tagged.shape
+    e = np.exp(c.emission(own, before, after))
+    ahead, back = np.ones((length, n, 2)), np.ones((length, n, 2))
+    v = np.stack([np.ones(n), e[:, 0] * np.exp(c.start)], 1)
+    for t in range(length):
+        if t:
+            v = (ahead[t - 1] @ c.trans) * np.stack([np.ones(n), e[:, t]], 1)
+        ahead[t] = v / v.sum(1, keepdims=True)
+    for t in range(length - 2, -1, -1):
+        b = (back[t + 1] * np.stack([np.ones(n), e[:, t + 1]], 1)) @ c.trans.T
+        back[t] = b / b.sum(1, keepdims=True)
+    both = ahead * back
+    left = tagged - (both[:, :, 1] / both.sum(2)).T
+    g = np.zeros(18)
+    for base, feature in ((0, own), (5, before), (10, after)):
+        g[base: base + 5] = np.bincount(feature.ravel(), left.ravel(), 5)
+    pair = ahead[:-1, :, :, None] * c.trans[None, None] * (np.stack([np.ones_like(e), e], 2).transpose(1, 0, 2)[1:] * back[1:])[:, :, None, :]
+    pair /= pair.sum((2, 3), keepdims=True)
+    g[15] = ((1 - tagged[:, :-1]) * tagged[:, 1:]).sum() - pair[:, :, 0, 1].sum()
+    g[16] = (tagged[:, :-1] * tagged[:, 1:]).sum() - pair[:, :, 1, 1].sum()
+    g[17] = left[:, 0].sum()
+    return g
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
     w = np.zeros(x.shape[1])
     w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
@@ -258,9 +262,9 @@ def _sequences(model: Model):
             wide = np.concatenate((np.zeros(SPAN + 1, np.int64), g, np.zeros(SPAN + 1, np.int64)))
             for a in at:
                 s = wide[a: a + 2 * SPAN + 3]
-                seqs.append(s.tolist())
-                tags.append(((s[1:-1] > 0) & (toxic[i] == 1)).astype(int).tolist())
-        return pa.RecordBatch.from_arrays([pa.array(seqs, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], ["grades", "tags"])
+                seqs.append(s.astype(np.int8).tobytes())
+                tags.append(((s[1:-1] > 0) & (toxic[i] == 1)).astype(np.int8).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(seqs, pa.binary()), pa.array(tags, pa.binary())], ["grades", "tags"])
     return work
 
 
@@ -274,9 +278,13 @@ def _evidence(model: Model):
 def fit(docs: DataFrame, labels: DataFrame, **sizes) -> Model:
     sample = training_sample(docs, labels, **sizes).select("text", F.col("toxic").cast("int").alias("toxic"))
     names, grades = lexicon(sample)
-    model = Model(names, grades, np.zeros(18), np.zeros(3))
-    seqs = batches(sample, _sequences(model), "grades array<int>, tags array<int>").collect() if len(names) else []
-    model.chain = fit_chain(np.array([r[0] for r in seqs], np.int64).reshape(len(seqs), 2 * SPAN + 3), np.array([r[1] for r in seqs], float).reshape(len(seqs), 2 * SPAN + 1))
+    model = Model(names, grades, fit_chain(np.zeros((0, 0)), np.zeros((0, 0))), np.zeros(3))
+    if len(names):
+        # at most PER_DOC small sequences for each of the bounded sample's rows, as bytes
+        seqs = batches(sample, _sequences(model), "grades binary, tags binary").collect()
+        grades, tags = (np.frombuffer(b"".join(bytes(r[i]) for r in seqs), np.int8).reshape(len(seqs), -1 if seqs else 1) for i in (0, 1))
+        model.chain = fit_chain(grades, tags)
+        del seqs, grades, tags
     rows = np.array(batches(sample, _evidence(model), "most double, total double, toxic int").collect(), float).reshape(-1, 3)
     model.logistic = fit_logistic(Model.design(rows[:, 0], rows[:, 1]), rows[:, 2]) if len(rows) else np.array([-2.0, 0.0, 0.0])
     return model
