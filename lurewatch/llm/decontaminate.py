@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.functions.common import fence
 from lurewatch.llm.common import table
 from lurewatch.session import cut_lineage
 
@@ -68,6 +69,7 @@ def _verified(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     met = met.where("c.start >= 0").groupBy("k").agg(F.collect_set("c").alias("c"))
     rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.struct(*docs.columns).alias("row"))
     df = rows.join(met, "k", "left").select("row", words_of(F.col("row.text")).alias("w"), "c")
+    df = fence(df, "w")  # else the words are taken apart anew for every candidate
     found = F.filter("c", lambda c: F.slice(F.col("w"), c.start + 1, F.size(c["words"])) == c["words"])
     return df.select("row", "w", F.coalesce(found, F.expr("array()")).alias("found"))
 
