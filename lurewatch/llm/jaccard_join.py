@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurewatch.llm.common import BASES, U64, Ranges, Words, batches, flat, mix, table
-from lurewatch.llm.repeats import keyed, signed, step
+from lurewatch.llm.repeats import drop, keyed, signed, step
 
 SIZE, PERCENT = 4, 85
-SAMPLE, HOT = 8, 1 << 20
+SAMPLE, HOT = 8, 1 << 17
 SHORT, LEADERS = 16, 8
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -140,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("cls", "a"), "a").groupBy(F.col("b").alias("cls")).agg(F.min("root").alias("near"))
         stepped = labels.join(near, "cls").select("cls", "root", F.least("root", "near").alias("next"))
         jump = labels.select(F.col("cls").alias("next"), F.col("root").alias("over"))
-        labels = step(stepped.join(jump, "next").select("cls", F.least("next", "over").alias("root"), (F.least("next", "over") < F.col("root")).alias("moved")))
+        labels = step(stepped.join(jump, "next").select("cls", F.least("next", "over").alias("root"), (F.least("next", "over") < F.col("root")).alias("moved")), (labels,))
         if labels.where("moved").isEmpty():
             return labels.select("cls", "root")
         labels = labels.select("cls", "root")
@@ -163,30 +163,37 @@ def _pairs(left: DataFrame, right: DataFrame, keys: list[str], percent: int, mor
     return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
 
 
+def one_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, cls) with one row a class; only texts that stand in the table several times need to be told apart."""
+    met = texts.select("k", "text").join(wanted, "k")
+    return met.where("same = 1").select("text", "cls").unionByName(met.where("same > 1").dropDuplicates(["cls"]).select("text", "cls"))
+
+
 def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(k, doc_id, cls, n, root) of every row: its class, set size and component."""
     texts = keyed(docs)
     kind = dict(docs.dtypes)["doc_id"]
     rows = step(batches(texts.select("k", "doc_id", "text"), _classes(size), f"k long, doc_id {kind}, cls long, n long"))
     only = texts.select("text")
-    seen = batches(only, _sampled(size, SAMPLE), "s long").groupBy("s").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "s").limit(HOT)
-    seen = seen.toPandas()  # at most HOT rows of 16 bytes
+    seen = batches(only, _sampled(size, SAMPLE), "s long").groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    seen = step(seen.orderBy(F.desc("c"), "s").limit(HOT)).orderBy(F.desc("c"), "s").toPandas()  # at most HOT rows of 16 bytes
     by = np.argsort(seen["s"].to_numpy(np.int64).view(U64))
     rank = np.arange(len(seen), 0, -1)[by]  # the most frequent ranks last
     hot = docs.sparkSession.sparkContext.broadcast((seen["s"].to_numpy(np.int64).view(U64)[by], rank))
     entries = step(batches(only, _prefixes(size, percent, hot), "s long, cls long, n int, pos int"))
     shared = entries.groupBy("s").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("s")
-    entries = step(entries.join(shared, "s", "left_semi").distinct())
-    lists = entries.groupBy("s").agg(F.count("*").alias("c"))
-    entries = step(entries.join(lists, "s").withColumn("band", F.floor(4 * F.log2("n")).cast("int")))
-    # texts of one document of each class that meets another
-    wanted = rows.join(entries.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("k").alias("k"))
-    sets = step(batches(texts.select("k", "text").join(wanted, "k").select("text", "cls").dropDuplicates(["cls"]), _sets(size), "cls long, members binary"))
-
-    short, long = entries.where(F.col("c") <= SHORT), entries.where(F.col("c") > SHORT)
-    few = _pairs(short, short, ["s"], percent, F.col("x.cls") < F.col("y.cls")).groupBy("a", "b").agg(F.count("*").alias("met")).where("met > 1").select("a", "b")
+    shared = step(shared)
+    entries = step(entries.join(shared, "s", "left_semi").distinct(), (entries, shared))
+    lists = step(entries.groupBy("s").agg(F.count("*").alias("c")))
+    entries = step(entries.join(lists, "s").withColumn("band", F.floor(4 * F.log2("n")).cast("int")), (entries, lists))
+    short, long = entries.where(F.col("c") <= SHORT), step(entries.where(F.col("c") > SHORT))
+    few = step(_pairs(short, short, ["s"], percent, F.col("x.cls") < F.col("y.cls")).groupBy("a", "b").agg(F.count("*").alias("met")).where("met > 1").select("a", "b"), (entries,))
     leaders = long.groupBy("s", "band", F.pmod(F.xxhash64("cls"), F.lit(LEADERS)).alias("slot")).agg(F.min("cls").alias("cls")).join(long.select("s", "cls", "n", "pos"), ["s", "cls"])
-    tried = step(few.unionByName(_pairs(leaders, long, ["s", "band"], percent)).distinct())
+    tried = step(few.unionByName(_pairs(leaders, long, ["s", "band"], percent)).distinct(), (few,))
+    # sets of the classes that may be compared, from one text each
+    asked = tried.select(F.col("a").alias("cls")).union(tried.select("b")).union(long.select("cls")).distinct()
+    wanted = step(rows.groupBy("cls", "k").agg(F.count("*").alias("same")).join(asked, "cls").groupBy("cls").agg(F.min(F.struct("same", "k")).alias("w")).select("cls", "w.k", "w.same"))
+    sets = step(batches(one_text(texts, wanted), _sets(size), "cls long, members binary"), (wanted,))
     edges = step(links(tried, sets, percent))
     known = components(edges)
 
@@ -195,7 +202,8 @@ def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     main = placed.groupBy("s", "root").agg(F.count("*").alias("size")).groupBy("s").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
     rest = placed.join(main, "s").where("root <> main").drop("main")
     late = _pairs(rest, placed, ["s"], percent, F.col("x.root") != F.col("y.root")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = step(links(late, sets, percent))
+    more = step(links(late, sets, percent), (long, placed))
+    drop(sets, tried)
     if not more.isEmpty():
         known = components(edges.unionByName(more))
     return rows.join(known, "cls", "left").select("k", "doc_id", "cls", "n", F.coalesce("root", "cls").alias("root"))
