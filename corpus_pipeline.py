@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each over all rows that the one before kept.
 
 1. toxicity: documents that the tagger scores at its threshold or above go.
-2. near copies: of each group of linked documents the one with the smallest doc_id stays.
+2. near copies: of each group of documents linked by 80% of their five-word shingles or more, the one with the smallest
+   doc_id stays.
 3. repeats: passages of 35 words or more that stand anywhere else are cut from the texts; no document is dropped.
 4. benchmark: documents that hold a window of a benchmark item go.
 5. mixing: the words to take from each document that is left.
@@ -18,13 +19,16 @@ from lurewatch.llm import decontaminate, jaccard_join, mixing, substring_dedup,
 from lurewatch.llm.common import table
 from lurewatch.session import cut_lineage
 
+#: Words of a shingle and least percentage shared of near copies; the query op10 has its own.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean_documents(docs, table(sf_dir, "labels", spark))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, size=NEAR_SIZE, percent=NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,25 @@ def test_stages(spark):
     assert {r["doc_id"]: r["size"] for r in mixed.collect()} == {i: len(WORD.findall(t or "")) for i, t in pairs(clean)}
 
 
+def test_near_copies_from_four_fifths_of_five_word_shingles(spark):
+    def words(a, n):
+        return [f"{a}{i}" for i in range(n)]
+    rows = []
+    for g, more in enumerate((18, 22, 24, 25, 26, 30)):  # of 104 - 4 shingles, 100 / (100 + more) are shared
+        base = words(f"g{g}x", 104)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base + words(f"g{g}y", more)))]
+    long = words("z", 1004)
+    swapped = [w if i % 47 != 23 else f"other{i}" for i, w in enumerate(long)]  # about 2.1% of the words
+    rows += [(20, " ".join(long)), (21, " ".join(swapped)), (22, None), (23, ""), (None, " ".join(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[p: p + 5]) for p in range(len(t.split()) - 4)} for i, t in rows if t and i is not None}
+    share = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 2, 4, 6, 8, 10, 20)}
+    assert sum(0.8 <= s < 0.85 for s in share.values()) >= 4 and min(share.values()) < 0.8
+    kept = [i for i, _ in pairs(dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, SF))]
+    assert sorted(kept) == sorted(i for i, _, c in op10(rows, 5, 80) if i is not None and i == c)
+    assert {i for i in share if i + 1 not in kept} == {i for i, s in share.items() if s >= 0.8}
+
+
 def test_empty_documents_pass_all_stages(spark):
     docs = table(SF, "documents", spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
