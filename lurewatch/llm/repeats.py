@@ -13,7 +13,8 @@ text that every window of the band holds; the last compares what is left window
 aggregates in every round, joins are between written tables so that AQE can split hot keys, and no group is ever
 collected: only one text's own places meet in a row. Fingerprints that decide have 128 bits.
 
-A text is known by a 64-bit hash of id and text. Rows with equal id and text share it; they repeat each other anyway.
+A text is known by a 64-bit hash of id and text. Rows with equal id and text share it; they repeat each other anyway, and
+their places are collected as a set, so a row never holds more than the places of one of them.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def repeated_spans(texts: DataFrame, pieces: Callable, bands: Callable, windows:
     surer, rest, read = narrowed(looked_at(texts, rest, read, bands, PIECE))
     last = looked_at(texts, rest, read, windows, WINDOW)
     spans = sure.unionByName(surer).unionByName(again(last).withColumn("n", F.lit(1)))
-    return step(spans.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("spans")), (sure, surer, last))
+    return step(spans.groupBy("k").agg(F.collect_set(F.struct("at", "n")).alias("spans")), (sure, surer, last))
 
 
 def banded(base: np.ndarray, at: np.ndarray, n: np.ndarray, off: np.ndarray, band: int):

@@ -59,6 +59,23 @@ def test_substring_dedup_of_an_empty_table(spark):
     assert substring_dedup.cut_documents(empty).columns == empty.columns
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_spans_of_repeated_rows_are_those_of_one_row(spark, monkeypatch, doc_id):
+    rng, sizes = random.Random(9), {}
+    text = prose(rng, 400, 4000)
+    for module, run, plain in ((substring_dedup, substring_dedup.remove_repeats, plain1), (suffix_dedup, suffix_dedup.remove_repeated_bytes, plain5)):
+        def spans(*a, f=module.repeated_spans):
+            out = f(*a)
+            sizes[copies] = out.agg(F.max(F.size("spans"))).first()[0]
+            return out
+        monkeypatch.setattr(module, "repeated_spans", spans)
+        for copies in (2, 60):
+            rows = [(doc_id, text)] * copies + [(1, prose(rng, 80))]
+            got = run(docs_frame(spark, rows))
+            assert rows_of(got, *got.columns[:-1]) == plain(rows)
+        assert sizes[60] == sizes[2] > 0
+
+
 def test_settled_symbols_are_the_same_in_equal_windows():
     import pyarrow as pa
     rng = random.Random(2)
