@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import chat, decontaminate, jaccard_join, mixing, quality, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from lurewatch.llm import chat, decontaminate, jaccard_join, mixing, quality, sentence_pieces, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_preference_formatting": chat.op8,
     "op9_toxicity": toxicity.op9,
     "op10_jaccard_join": jaccard_join.op10,
+    "op11_sentence_pieces": sentence_pieces.op11,
 }
 ORACLE = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
