@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import chat, decontaminate, jaccard_join, lexical_search, mixing, quality, sentence_pieces, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from lurewatch.llm import chat, conversation_repair, decontaminate, jaccard_join, lexical_search, mixing, quality, sentence_pieces, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9,
     "op10_jaccard_join": jaccard_join.op10,
     "op11_sentence_pieces": sentence_pieces.op11,
+    "op12_conversation_repair": conversation_repair.op12,
     "op13_lexical_search": lexical_search.op13,
 }
 ORACLE = {
