@@ -408,3 +408,78 @@ def repair_report(conversations: DataFrame, turns: DataFrame) -> DataFrame:
 def op12(spark, d: str) -> DataFrame:
     rows = table(d, "conversations", spark)
     return repair_report(rows, damaged(rows))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+-- CRC-32 of the key: per byte one step that mixes it in, and eight that shift
+hashed AS (
+  SELECT *, xor(list_reduce(
+    list_concat([4294967295], flatten(list_transform(string_split(key, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, e: CASE WHEN e >= 0 THEN xor(x, e) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295) % 20 AS code
+  FROM keyed),
+turns AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE code WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed WHERE code <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last_char
+  FROM turns),
+judged AS (
+  SELECT *, count(*) OVER c AS n, lag(role) OVER o AS before,
+         CASE WHEN last_char = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN last_char NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM placed WINDOW c AS (PARTITION BY conv_id), o AS (PARTITION BY conv_id ORDER BY i)),
+-- least cost from each state (nothing, system, user, assistant last) to the end, before turn i; v0.. as is, w0.. without an insert first
+costs AS (
+  SELECT conv_id, CAST(n + 1 AS BIGINT) AS i, 0 AS v0, 10 AS v1, 5 AS v2, 0 AS v3, 0 AS w0, 0 AS w1, 0 AS w2, 0 AS w3 FROM (SELECT DISTINCT conv_id, n FROM judged)
+  UNION ALL
+  SELECT conv_id, i, CASE WHEN must THEN w0 ELSE least(w0, 5 + w2) END, CASE WHEN must THEN w1 ELSE least(w1, 5 + w2) END,
+         CASE WHEN must THEN w2 ELSE least(w2, 5 + w3) END, CASE WHEN must THEN w3 ELSE least(w3, 5 + w2) END, w0, w1, w2, w3
+  FROM (
+    SELECT j.conv_id, j.i, fault IN ('b', 'd') AS must, CASE fault WHEN 't' THEN 5 ELSE 0 END AS e, left(role, 1) AS r,
+           CASE WHEN must THEN 2 + v0 ELSE least(2 + v0, 1 + e + v2, CASE r WHEN 's' THEN e + v1 WHEN 'u' THEN e + v2 ELSE 999 END) END AS w0,
+           CASE WHEN must THEN 2 + v1 ELSE least(2 + v1, 1 + e + v2, CASE r WHEN 'u' THEN e + v2 ELSE 999 END) END AS w1,
+           CASE WHEN must THEN 2 + v2 ELSE least(2 + v2, 1 + e + v3, CASE r WHEN 'a' THEN e + v3 ELSE 999 END) END AS w2,
+           CASE WHEN must THEN 2 + v3 ELSE least(2 + v3, 1 + e + v2, CASE r WHEN 'u' THEN e + v2 ELSE 999 END) END AS w3
+    FROM costs c JOIN judged j ON j.conv_id IS NOT DISTINCT FROM c.conv_id AND j.i = c.i - 1)),
+-- the way along the least costs, first letter in ASCII order; q: state, o: the turn's own letter, p: whether an insert comes first
+way AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, '' AS step, '' AS line FROM judged
+  UNION ALL
+  SELECT conv_id, i, CASE o WHEN 'D' THEN s WHEN 'K' THEN CASE r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE s WHEN 2 THEN 3 ELSE 2 END END,
+         CASE WHEN p THEN 'I' ELSE '' END || o,
+         CASE WHEN p THEN CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || chr(10) ELSE '' END ||
+         CASE o WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) ELSE CASE s WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || text || chr(10) END
+  FROM (
+    SELECT *, CASE WHEN must OR 2 + [v0, v1, v2, v3][s + 1] = wanted THEN 'D'
+                   WHEN (r = 's' AND s = 0 AND e + v1 = wanted) OR (r = 'u' AND s <> 2 AND e + v2 = wanted) OR (r = 'a' AND s = 2 AND e + v3 = wanted) THEN 'K' ELSE 'R' END AS o
+    FROM (
+      SELECT j.conv_id, j.i, w.q, j.role, j.text, left(j.role, 1) AS r, j.fault IN ('b', 'd') AS must, CASE j.fault WHEN 't' THEN 5 ELSE 0 END AS e,
+             [b.v0, b.v1, b.v2, b.v3][w.q + 1] AS here, [b.w0, b.w1, b.w2, b.w3] AS own, c.v0, c.v1, c.v2, c.v3,
+             NOT must AND 2 + [c.v0, c.v1, c.v2, c.v3][w.q + 1] <> here AND 5 + own[CASE w.q WHEN 2 THEN 4 ELSE 3 END] = here AS p,
+             CASE WHEN p THEN CASE w.q WHEN 2 THEN 3 ELSE 2 END ELSE w.q END AS s,
+             own[s + 1] AS wanted
+      FROM way w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+      JOIN costs b ON b.conv_id IS NOT DISTINCT FROM j.conv_id AND b.i = j.i JOIN costs c ON c.conv_id IS NOT DISTINCT FROM j.conv_id AND c.i = j.i + 1))),
+repaired AS (
+  SELECT conv_id, string_agg(step, '' ORDER BY i) || CASE arg_max(q, i) WHEN 2 THEN 'I' WHEN 1 THEN 'II' ELSE '' END AS audit,
+         string_agg(line, '' ORDER BY i) || CASE arg_max(q, i) WHEN 2 THEN 'assistant:' || chr(10) WHEN 1 THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE '' END AS lines
+  FROM way GROUP BY conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v0, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(left(lines, greatest(length(lines) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN costs t ON t.conv_id IS NOT DISTINCT FROM o.conv_id AND t.i = 1
+"""

@@ -25,5 +25,6 @@ ORACLE = {
     "op4_url_filters": url_filter.OP4_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
     "op8_preference_formatting": chat.OP8_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
     "op13_lexical_search": lexical_search.OP13_SQL,
 }
