@@ -165,7 +165,7 @@ def with_severity(df: DataFrame, intent: str = "p_final", vector: str = "vector"
     df = df.withColumns({"base_exact": base, "escalation": esc})
     total = F.least(F.lit(100.0), F.col("base_exact") + F.col("escalation"))
     df = df.withColumns({
-        "band": band_of(total), "severity": F.round(total, 1), "base_score": F.round("base_exact", 1),
+        "band": band_of(total), "severity": F.round(F.round(total, 6), 1), "base_score": F.round(F.round("base_exact", 6), 1),
     }).drop("base_exact")
     return fence(df, "band")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lurewatch.functions.body import evidence_files
@@ -10,14 +12,15 @@ from lurewatch.operators import recipient as R
 from lurewatch.operators import scoring as SC
 from lurewatch.plans.memo import planned
 from lurewatch.plans.q_features import featured, messages, rounded
-from lurewatch.plans.scoring import fixed_p, ioc_hits, score, with_state
+from lurewatch.operators import intent as IN
+from lurewatch.plans.scoring import ioc_hits, score_rows, scored_rows, with_state
 from lurewatch.plans.views import table, view
 from lurewatch.rules import dims
 from lurewatch.rules import taxonomy as X
+from lurewatch.session import cut_lineage, ensure_checkpoint_dir
 
 QUERIES = {}
 IOCS = ("paypa1.com", "mailer.top", "parcel-fee.xyz")
-CLASSES = ("spam_unwanted", "advance_fee_fraud", "recon_probe", "credential_phishing", "malware_delivery")
 
 
 def query(fn):
@@ -29,6 +32,35 @@ def ioc_list(spark):
     return spark.createDataFrame([(d,) for d in IOCS], "domain string")
 
 
+@planned
+def rows(spark, d):
+    """Feature rows of all messages, written once: the models are fitted on them and the score reads them."""
+    return scored_rows(messages(spark, d))
+
+
+@planned
+def intent(spark, d):
+    """The intent model, fitted, saved as a version in the shared folder and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/intent-{uuid.uuid4().hex}"
+    IN.fit_intent(rows(spark, d)).save(path, 1)
+    return IN.IntentModel.load(spark, path)
+
+
+@planned
+def vectors(spark, d):
+    """Weights and totals of the vector classifier."""
+    return IN.fit_vectors(SC.with_vote_result(SC.with_votes(rows(spark, d))))
+
+
+@planned
+def predicted(spark, d):
+    """Feature rows with p_model, clf_vector and clf_p, each from models that did not see the row's content."""
+    df = rows(spark, d)
+    p = intent(spark, d).predict(df).withColumnRenamed("p", "p_model")
+    guess = IN.predict_vectors(df, *vectors(spark, d))
+    return df.drop("words", "shape").join(cut_lineage(p.join(guess, "message_id")), "message_id")
+
+
 @planned
 def state(spark, d):
     """Feature rows with mailbox history and domain age."""
@@ -37,7 +69,7 @@ def state(spark, d):
 
 @planned
 def floored(spark, d):
-    df = state(spark, d).withColumn("p_model", fixed_p()).withColumn("p_prior", F.col("p_model"))
+    df = with_state(predicted(spark, d), view(spark, d, "domain_registry"), True).withColumn("p_prior", F.col("p_model"))
     return SC.apply_floors(SC.with_floors(df), "p_prior")
 
 
@@ -46,10 +78,13 @@ def voted(spark, d):
     return SC.with_vote_result(SC.with_votes(featured(spark, d)))
 
 
+def _scored(spark, d, prior=None):
+    return score_rows(predicted(spark, d), prior, view(spark, d, "domain_registry"), True, ioc_list(spark), R.profiles(messages(spark, d)), ("clf_vector", "clf_p"))
+
+
 @planned
 def scored(spark, d):
-    return score(messages(spark, d), registry=view(spark, d, "domain_registry"), mailbox_history=True, iocs=ioc_list(spark),
-                 recipients=R.profiles(messages(spark, d)))
+    return _scored(spark, d)
 
 
 @query
@@ -111,9 +146,6 @@ def win_vote_margin(spark, d):
 @query
 def sc_vector_resolve(spark, d):
     df = SC.with_vote_result(SC.with_votes(floored(spark, d)))
-    df = df.withColumns({
-        "clf_vector": F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("message_id") % 5 + 1).cast("int")),
-        "clf_p": ((F.col("message_id") * 31) % 100) / 100.0})
     return rounded(SC.resolve_vector(df, "p_final", "clf_vector", "clf_p").select(
         "message_id", "vector", "vector_confidence", "vector_source"))
 
@@ -162,8 +194,7 @@ def sc_arithmetic(spark, d):
 @query
 def sc_pipeline(spark, d):
     """The whole chain with a 5% deployment prior."""
-    df = score(messages(spark, d), prior=0.05, registry=view(spark, d, "domain_registry"), mailbox_history=True,
-               iocs=ioc_list(spark), recipients=R.profiles(messages(spark, d)))
+    df = _scored(spark, d, 0.05)
     return rounded(df.select("message_id", "p_model", "p_prior", "p_final", "verdict", "decided_by", "vector", "vector_source",
                              "severity", "band", F.size("binding").cast("bigint").alias("binding")))
 

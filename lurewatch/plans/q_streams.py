@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.operators import scoring as SC
 from lurewatch.plans.q_features import STYLE_SUBSET, messages, rounded
-from lurewatch.plans.q_scoring import scored
+from lurewatch.plans.q_scoring import intent, ioc_list, scored, vectors
 from lurewatch.plans.views import VIEWS, table, view
 from lurewatch.sources import corpora as C
 from lurewatch.sources import mail as ML
@@ -65,7 +65,8 @@ def st_baseline(spark, d):
 @query
 def st_score_alert(spark, d):
     out = scratch(spark, "alerts")
-    J.run(mail_stream(spark, d), J.alerts(out), f"{out}/cp")
+    known = {"prior": 0.05, "registry": view(spark, d, "domain_registry"), "iocs": ioc_list(spark)}
+    J.run(mail_stream(spark, d), J.alerts(out, intent(spark, d), vectors(spark, d), **known), f"{out}/cp")
     df = spark.read.parquet(f"{out}/alerts")
     return rounded(df.select("message_id", "severity", "band", "vector", "p_final"))
 
@@ -73,7 +74,8 @@ def st_score_alert(spark, d):
 @query
 def st_actions(spark, d):
     out = scratch(spark, "actions")
-    J.run(mail_stream(spark, d), J.actions(out), f"{out}/cp")
+    known = {"prior": 0.05, "registry": view(spark, d, "domain_registry"), "iocs": ioc_list(spark)}
+    J.run(mail_stream(spark, d), J.actions(out, intent(spark, d), vectors(spark, d), **known), f"{out}/cp")
     df = spark.read.parquet(f"{out}/audit")
     return df.select("message_id", F.get_json_object("value", "$.would_act").alias("would_act"), F.get_json_object("value", "$.performed").alias("performed"))
 

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.operators import enrich, history, scoring as SC
+from lurewatch.operators.intent import IntentModel, predict_vectors, with_marks
 from lurewatch.plans.features import with_features
+from lurewatch.session import cut_lineage
 
 
-def fixed_p() -> Column:
-    """A stand-in model probability for tables without a trained model: a plain function of the id."""
-    return F.lit(0.05) + ((F.col("message_id") * 13) % 60) / 100.0
+def scored_rows(messages: DataFrame, banks=None, allowlist: tuple[str, ...] = ()) -> DataFrame:
+    """A written table of feature rows with the marks the models read, without text."""
+    return cut_lineage(with_marks(with_features(messages, banks, allowlist, True)).drop("body", "body_text"))
 
 
 def with_state(feats: DataFrame, registry: DataFrame | None = None, mailbox_history: bool = False) -> DataFrame:
@@ -36,10 +38,25 @@ def ioc_hits(df: DataFrame, iocs: DataFrame) -> DataFrame:
 def score(messages: DataFrame, p: Column | None = None, prior: float | None = None, registry: DataFrame | None = None,
           mailbox_history: bool = False, iocs: DataFrame | None = None, recipients: DataFrame | None = None,
           clf: tuple[str, str] | None = None, banks=None, allowlist: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
-    """Messages to verdicts as one lazy plan. The prior comes before the floors: a floor's minimum already is a
+    """Messages to verdicts as one lazy plan, with a given probability (a column of the feature row) and vector guess."""
+    df = with_features(messages, banks, allowlist, keep_text).withColumn("p_model", p)
+    return score_rows(df, prior, registry, mailbox_history, iocs, recipients, clf)
+
+
+def score_by(messages: DataFrame, model: IntentModel, vectors: tuple | None = None, **more) -> DataFrame:
+    """Messages to verdicts by fitted models: feature rows are written once, and read by the models and by the score."""
+    rows = scored_rows(messages)
+    df = rows.join(model.predict(rows).withColumnRenamed("p", "p_model"), "message_id")
+    if vectors is not None:
+        df = df.join(predict_vectors(rows, *vectors), "message_id")
+    return score_rows(df.drop("words", "shape"), clf=("clf_vector", "clf_p") if vectors is not None else None, **more)
+
+
+def score_rows(df: DataFrame, prior: float | None = None, registry: DataFrame | None = None, mailbox_history: bool = False, iocs: DataFrame | None = None,
+               recipients: DataFrame | None = None, clf: tuple[str, str] | None = None) -> DataFrame:
+    """Feature rows with p_model to verdicts. The prior comes before the floors: a floor's minimum already is a
     deployment figure and must not be discounted again."""
-    df = with_state(with_features(messages, banks, allowlist, keep_text), registry, mailbox_history)
-    df = df.withColumn("p_model", p if p is not None else fixed_p())
+    df = with_state(df, registry, mailbox_history)
     df = df.withColumn("p_prior", SC.prior_adjust(F.col("p_model"), prior))
     df = SC.apply_floors(SC.with_floors(df), "p_prior")
     df = SC.with_vote_result(SC.with_votes(df))

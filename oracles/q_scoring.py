@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from lurewatch.operators.learner import TACTICS
-from lurewatch.plans.q_scoring import CLASSES
 from lurewatch.rules import dims, taxonomy as X
 from oracles.base import lst, q, rows, s
 from oracles.scoring import EXPLOIT, TARGET, mult, prior
@@ -23,18 +22,7 @@ ORACLE["sc_votes"] = q("SELECT message_id, lf, vector, weight FROM votes", "vote
 ORACLE["sc_vote_resolve"] = q("SELECT message_id, rule_vector, rule_confidence, rule_weight FROM resolved", "resolved")
 ORACLE["win_vote_margin"] = q("""SELECT message_id, rule_weight AS winner_weight, runner_up_weight, round(rule_weight / total_weight, 6) AS share,
   round((rule_weight - runner_up_weight) / rule_weight, 6) AS margin FROM resolved WHERE total_weight > 0""", "resolved")
-ORACLE["sc_vector_resolve"] = q(f"""
-SELECT message_id, CASE WHEN p_final < 0.5 THEN 'benign' WHEN lifted THEN iv ELSE vec END AS vector,
-  round(CASE WHEN p_final < 0.5 THEN 1.0 WHEN lifted THEN 0.9 ELSE conf END, 6) AS vector_confidence,
-  CASE WHEN p_final < 0.5 THEN 'intent model' WHEN lifted THEN 'floor ' || floor ELSE src END AS vector_source FROM (
-  SELECT *, iv IS NOT NULL AND (src <> 'rule' OR rule_weight < 2.5) AS lifted FROM (
-    SELECT *, CASE WHEN strong THEN rule_vector WHEN clf_p >= 0.55 THEN clf_vector WHEN named THEN rule_vector ELSE 'malicious_unclassified' END AS vec,
-      CASE WHEN strong THEN least(1.0, rule_weight / 4) WHEN clf_p >= 0.55 THEN clf_p WHEN named THEN least(1.0, rule_weight / 4) ELSE clf_p END AS conf,
-      CASE WHEN strong THEN 'rule' WHEN clf_p >= 0.55 THEN 'classifier' WHEN named THEN 'rule (weak)' ELSE 'unresolved' END AS src FROM (
-      SELECT p.message_id, p.p_final, r.rule_vector, r.rule_weight, i.vector AS iv, i.floor, r.rule_vector <> 'malicious_unclassified' AS named,
-        r.rule_vector <> 'malicious_unclassified' AND r.rule_weight >= 1.8 AS strong,
-        [{', '.join(s(c) for c in CLASSES)}][p.message_id % 5 + 1] AS clf_vector, ((p.message_id * 31) % 100) / 100.0 AS clf_p
-      FROM fl p JOIN resolved r USING (message_id) LEFT JOIN fl_implied i USING (message_id))))""", "fl", "resolved", "fl_implied")
+ORACLE["sc_vector_resolve"] = q("SELECT message_id, vector, round(vector_confidence, 6) AS vector_confidence, vector_source FROM sev_v", "sev_v")
 ORACLE["sc_exploitability"] = q(f"SELECT message_id, round({EXPLOIT}, 6) AS exploitability FROM feat", "feat")
 ORACLE["sc_targeting"] = q(f"SELECT message_id, round({TARGET}, 6) AS targeting FROM feat", "feat")
 ORACLE["agg_recipient_profile"] = q("SELECT * REPLACE (round(finance_rate, 6) AS finance_rate, round(credentials_rate, 6) AS credentials_rate, round(vendor_rate, 6) AS vendor_rate, round(hr_rate, 6) AS hr_rate, round(executive_rate, 6) AS executive_rate) FROM recipients", "recipients")

@@ -3,29 +3,16 @@
 from __future__ import annotations
 
 from lurewatch.plans.q_features import STYLE_SUBSET
-from lurewatch.rules import patterns as P, taxonomy as X
+from lurewatch.rules import patterns as P
 from oracles.base import cte, q, s
-from oracles.scoring import EXPLOIT, TARGET, band
-from lurewatch.rules.floors import FLOORS
+import oracles.scoring  # noqa: F401  its CTEs
 
 ORACLE: dict[str, str] = {}
 ORACLE["st_source"] = q("SELECT mailbox, count(*) AS n FROM messages GROUP BY 1", "messages")
 ORACLE["st_dedupe"] = q("SELECT DISTINCT md5(body) AS key FROM messages", "messages")
 ORACLE["st_baseline"] = q("SELECT message_id, kind FROM messages WHERE sent_at >= TIMESTAMP '2024-01-10'", "messages")
 
-# scoring of a stream: no history, no domain ages, no lists
-cte("state0", ("feat",), """SELECT *, false AS first_contact, false AS corresponded, 0 AS hist_received, false AS established, NULL::BIGINT AS dormant_days, false AS unusual_hour,
-  false AS history_scanned, NULL::BIGINT AS domain_age_days, 0.05 + ((message_id * 13) % 60) / 100.0::DOUBLE AS p_model FROM feat""")
-cte("floors0", ("state0",), " UNION ALL ".join(f"SELECT message_id, {i} AS ord, '{f.name}' AS floor, ({f.minimum})::DOUBLE AS minimum FROM state0 WHERE {f.when}" for i, f in enumerate(FLOORS)))
-cte("sev0", ("state0", "floors0", "resolved", "vector_dim"), f"""
-SELECT *, round(total, 1) AS severity, {band('total')} AS band FROM (SELECT *, least(100.0, base + escalation) AS total FROM (
-  SELECT *, 100.0 * p_final * ({X.W_IMPACT} * impact + {X.W_EXPLOIT} * ex + {X.W_TARGET} * ta) AS base,
-    (CASE WHEN hdr_brand_display_mismatch > 0 AND lex_authority_count > 0 THEN {X.ESC_EXEC} ELSE 0 END + CASE WHEN txt_thread_hijack_marker > 0 AND p_final >= 0.8 THEN {X.ESC_THREAD} ELSE 0 END)::DOUBLE AS escalation
-  FROM (SELECT v.*, coalesce(d.impact, {X.DEFAULT_IMPACT})::DOUBLE AS impact FROM (
-    SELECT s.message_id, s.p_model, greatest(s.p_model, coalesce(b.top, 0)) AS p_final, coalesce(b.n, 0) AS binding, {EXPLOIT} AS ex, {TARGET} AS ta, s.hdr_brand_display_mismatch, s.lex_authority_count, s.txt_thread_hijack_marker,
-      CASE WHEN greatest(s.p_model, coalesce(b.top, 0)) < 0.5 THEN 'benign' ELSE r.rule_vector END AS vector
-    FROM state0 s JOIN resolved r USING (message_id) LEFT JOIN (SELECT f.message_id, max(f.minimum) AS top, count(*) AS n FROM floors0 f JOIN state0 s USING (message_id) WHERE f.minimum > s.p_model GROUP BY 1) b USING (message_id)) v
-    LEFT JOIN vector_dim d ON d.vector = v.vector)))""")
+# scoring of a stream: no mailbox history, no recipients
 ORACLE["st_score_alert"] = q("SELECT message_id, severity, band, vector, round(p_final, 6) AS p_final FROM sev0 WHERE band IN ('MEDIUM', 'HIGH', 'CRITICAL')", "sev0")
 ORACLE["st_actions"] = q("SELECT message_id, CASE WHEN severity < 40 OR binding = 0 OR vector = 'benign' THEN 'false' ELSE 'true' END AS would_act, 'false' AS performed FROM sev0", "sev0")
 _KEEP = " UNION ALL ".join(f"SELECT w.doc_id, d.source AS address, '{t}' AS trait, CAST(w.{t} AS DOUBLE) AS value FROM wide_traits w JOIN documents d USING (doc_id) WHERE 0.05 + ((w.doc_id * 13) % 60) / 100.0 < 0.5" for t in STYLE_SUBSET)

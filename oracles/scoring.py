@@ -5,6 +5,7 @@ from __future__ import annotations
 from lurewatch.rules import patterns as P, taxonomy as X
 from lurewatch.rules.floors import FLOORS
 from lurewatch.rules.votes import VOTES
+from oracles import intent  # noqa: F401  its CTEs
 from oracles.base import cte, has, rows, s
 
 cte("hist", ("sender1",), """
@@ -18,11 +19,16 @@ SELECT *, date_diff('microsecond', to_timestamp(0)::TIMESTAMP, sent_at) AS now_u
 FROM (SELECT message_id, sent_at, count(*) OVER w AS n_before, min(epoch_us(sent_at)) OVER w AS first_us, max(epoch_us(sent_at)) OVER w AS last_us,
         list(hour(sent_at)) OVER w AS hours
       FROM sender1 WINDOW w AS (PARTITION BY mailbox, registrable ORDER BY sent_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))""")
-cte("state", ("feat", "hist", "aged"), """
+cte("state", ("feat", "hist", "aged", "intent"), """
 SELECT f.*, h.first_contact, h.corresponded, h.hist_received, coalesce(h.established, false) AS established, h.dormant_days,
   coalesce(h.unusual_hour, false) AS unusual_hour, h.history_scanned, CASE WHEN a.known_age THEN a.domain_age_days END AS domain_age_days,
-  0.05 + ((message_id * 13) % 60) / 100.0::DOUBLE AS p_model
-FROM feat f JOIN hist h USING (message_id) JOIN (SELECT message_id, known_age, domain_age_days FROM aged) a USING (message_id)""")
+  i.p AS p_model
+FROM feat f JOIN hist h USING (message_id) JOIN (SELECT message_id, known_age, domain_age_days FROM aged) a USING (message_id) JOIN intent i USING (message_id)""")
+# a stream knows no mailbox history
+cte("state0", ("feat", "aged", "intent"), """
+SELECT f.*, false AS first_contact, false AS corresponded, 0 AS hist_received, false AS established, NULL::BIGINT AS dormant_days, false AS unusual_hour,
+  false AS history_scanned, CASE WHEN a.known_age THEN a.domain_age_days END AS domain_age_days, i.p AS p_model
+FROM feat f JOIN (SELECT message_id, known_age, domain_age_days FROM aged) a USING (message_id) JOIN intent i USING (message_id)""")
 
 
 def prior(p: str, q: float | None) -> str:
@@ -33,27 +39,30 @@ def prior(p: str, q: float | None) -> str:
     return f"{o} / (1.0 + {o})"
 
 
-_FL = " UNION ALL ".join(
-    f"SELECT message_id, {i} AS ord, '{f.name}' AS floor, ({f.minimum})::DOUBLE AS minimum, {'NULL' if f.vector is None else s(f.vector)} AS vector FROM state WHERE {f.when}"
-    for i, f in enumerate(FLOORS))
-cte("floors", ("state",), _FL)
+def floors(name: str, state: str) -> None:
+    cte(name, (state,), " UNION ALL ".join(
+        f"SELECT message_id, {i} AS ord, '{f.name}' AS floor, ({f.minimum})::DOUBLE AS minimum, {'NULL' if f.vector is None else s(f.vector)} AS vector FROM {state} WHERE {f.when}"
+        for i, f in enumerate(FLOORS)))
 
 
-def floored(name: str, q: float | None) -> None:
+def floored(name: str, q: float | None, state: str = "state", floors: str = "floors") -> None:
     """p_prior, p_final and the binding floors under a prior."""
-    cte(f"{name}_p", ("state",), f"SELECT message_id, label, p_model, {prior('p_model', q)} AS p_prior FROM state")
-    cte(f"{name}_binding", (f"{name}_p", "floors"), f"SELECT f.*, p.p_prior FROM floors f JOIN {name}_p p USING (message_id) WHERE f.minimum > p.p_prior")
-    cte(name, (f"{name}_p", f"{name}_binding", "floors"), f"""
+    cte(f"{name}_p", (state,), f"SELECT message_id, label, p_model, {prior('p_model', q)} AS p_prior FROM {state}")
+    cte(f"{name}_binding", (f"{name}_p", floors), f"SELECT f.*, p.p_prior FROM {floors} f JOIN {name}_p p USING (message_id) WHERE f.minimum > p.p_prior")
+    cte(name, (f"{name}_p", f"{name}_binding", floors), f"""
 SELECT p.*, greatest(p_prior, coalesce(b.top, 0)) AS p_final, coalesce(f.n, 0) AS fired, coalesce(b.n, 0) AS binding, coalesce(b.first_rule, '') AS first_rule, b.names
 FROM {name}_p p LEFT JOIN (SELECT message_id, max(minimum) AS top, count(*) AS n, arg_min(floor, ord) AS first_rule, string_agg(floor, ',' ORDER BY ord) AS names FROM {name}_binding GROUP BY 1) b USING (message_id)
-LEFT JOIN (SELECT message_id, count(*) AS n FROM floors GROUP BY 1) f USING (message_id)""")
+LEFT JOIN (SELECT message_id, count(*) AS n FROM {floors} GROUP BY 1) f USING (message_id)""")
     cte(f"{name}_implied", (f"{name}_binding",), f"""
 SELECT message_id, vector, floor FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY minimum DESC, ord) AS rn
   FROM {name}_binding WHERE vector IS NOT NULL) WHERE rn = 1""")
 
 
+floors("floors", "state")
+floors("floors0", "state0")
 floored("fl", None)
 floored("fl5", 0.05)
+floored("fl0", 0.05, "state0", "floors0")
 
 _VT = " UNION ALL ".join(
     f"SELECT message_id, {i} AS ord, '{v.lf}' AS lf, '{v.vector}' AS vector, ({v.weight})::DOUBLE AS weight FROM feat WHERE {v.when}"
@@ -106,15 +115,27 @@ def band(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} >= {t} THEN '{b}'" for t, b in X.BANDS) + " ELSE 'INFORMATIONAL' END"
 
 
-def severity(name: str, fl: str) -> None:
+def vectors(name: str, fl: str) -> None:
+    """Vector, confidence and source by rule, classifier and floor."""
+    cte(name, (fl, f"{fl}_implied", "resolved", "clf"), f"""
+SELECT * EXCLUDE (vec, conf, src, iv, floor, lifted, named, strong), CASE WHEN p_final < 0.5 THEN 'benign' WHEN lifted THEN iv ELSE vec END AS vector,
+  CASE WHEN p_final < 0.5 THEN 1.0 WHEN lifted THEN 0.9 ELSE conf END AS vector_confidence,
+  CASE WHEN p_final < 0.5 THEN 'intent model' WHEN lifted THEN 'floor ' || floor ELSE src END AS vector_source FROM (
+  SELECT *, iv IS NOT NULL AND (src <> 'rule' OR rule_weight < 2.5) AS lifted FROM (
+    SELECT *, CASE WHEN strong THEN rule_vector WHEN clf_p >= 0.55 THEN clf_vector WHEN named THEN rule_vector ELSE 'malicious_unclassified' END AS vec,
+      CASE WHEN strong THEN least(1.0, rule_weight / 4) WHEN clf_p >= 0.55 THEN clf_p WHEN named THEN least(1.0, rule_weight / 4) ELSE clf_p END AS conf,
+      CASE WHEN strong THEN 'rule' WHEN clf_p >= 0.55 THEN 'classifier' WHEN named THEN 'rule (weak)' ELSE 'unresolved' END AS src FROM (
+      SELECT p.*, r.mailbox, r.rule_vector, r.rule_confidence, r.rule_weight, i.vector AS iv, i.floor, r.rule_vector <> 'malicious_unclassified' AS named,
+        r.rule_vector <> 'malicious_unclassified' AND r.rule_weight >= 1.8 AS strong, c.clf_vector, c.clf_p
+      FROM {fl} p JOIN resolved r USING (message_id) JOIN clf c USING (message_id) LEFT JOIN {fl}_implied i USING (message_id))))""")
+
+
+def severity(name: str, fl: str, recipients: bool = True) -> None:
     """Severity rows on top of a floored CTE, with list matches and recipient multipliers."""
-    cte(f"{name}_v", (fl, "resolved", "feat"), f"""
-SELECT p.*, r.rule_vector, r.rule_confidence, r.rule_weight, r.mailbox, CASE WHEN p.p_final < 0.5 THEN 'benign' ELSE r.rule_vector END AS vector,
-  CASE WHEN p.p_final < 0.5 THEN 'intent model' ELSE 'rule' END AS vector_source
-FROM {fl} p JOIN resolved r USING (message_id)""")
-    cte(f"{name}_m", (f"{name}_v", "exposure", "recipients"), mult(f"{name}_v", "vector"))
+    vectors(f"{name}_v", fl)
+    cte(f"{name}_m", (f"{name}_v", "exposure", "recipients"), mult(f"{name}_v", "vector") if recipients else f"SELECT message_id, 1.0::DOUBLE AS r_mult FROM {name}_v")
     cte(name, (f"{name}_v", f"{name}_m", "feat", "ioc_ids", "vector_dim"), f"""
-SELECT *, {band('total')} AS band, round(total, 1) AS severity, round(base_exact, 1) AS base_score FROM (
+SELECT *, {band('total')} AS band, round(round(total, 6), 1) AS severity, round(round(base_exact, 6), 1) AS base_score FROM (
   SELECT *, least(100.0, base_exact + escalation) AS total FROM (
     SELECT *, 100.0 * p_final * ({X.W_IMPACT} * impact + {X.W_EXPLOIT} * exploitability + {X.W_TARGET} * targeting) AS base_exact FROM (
       SELECT v.*, m.r_mult, greatest(0.0, least(1.0, coalesce(d.impact, {X.DEFAULT_IMPACT}) * m.r_mult))::DOUBLE AS impact, {EXPLOIT} AS exploitability, {TARGET} AS targeting,
@@ -127,3 +148,4 @@ SELECT *, {band('total')} AS band, round(total, 1) AS severity, round(base_exact
 
 severity("sev", "fl")
 severity("sev5", "fl5")
+severity("sev0", "fl0", False)

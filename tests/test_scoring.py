@@ -76,13 +76,13 @@ def test_feature_vector_is_stable_and_ordered():
 
 def test_prior_is_bayes_and_floors_ignore_it(spark):
     df = view(spark, SF, "messages")
-    out = score(df, prior=0.02).select("p_model", "p_prior", "p_final", "binding", "severity", "band")
+    out = score(df, p=F.col("hdr_sender_present") * 0.3 + 0.2, prior=0.02).select("p_model", "p_prior", "p_final", "binding", "severity", "band")
     bad = out.where((F.col("p_final") < F.col("p_prior")) | (F.col("p_prior") >= F.col("p_model")) | (F.size("binding") > 0) & (F.col("p_final") < 0.75))
     assert bad.count() == 0
 
 
 def test_bands_follow_severity(spark):
-    rows = score(view(spark, SF, "messages")).select("severity", SC.band_rank(F.col("band")).alias("r")).orderBy("severity").collect()
+    rows = score(view(spark, SF, "messages"), p=F.lit(0.3)).select("severity", SC.band_rank(F.col("band")).alias("r")).orderBy("severity").collect()
     ranks = [r["r"] for r in rows]
     assert ranks == sorted(ranks)
 
