@@ -108,9 +108,3 @@ def with_traits(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({k: v.cast("double") for k, v in out.items()}).drop(
         "own", "toks", "fw_hits", "sorted_toks", "n_chars_own", "lines", "sentence_lens", "own_words", "starts", "mean_len",
         "first_line", "tail")
-
-
-def long_traits(df: DataFrame, keys: list[str], traits=TRAIT_NAMES) -> DataFrame:
-    """Wide traits to (keys, trait, value) rows."""
-    pairs = F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("value")) for t in traits])
-    return df.select(*keys, F.explode(pairs).alias("_tv")).select(*keys, "_tv.trait", "_tv.value")

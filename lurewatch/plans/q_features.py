@@ -20,8 +20,6 @@ from lurewatch.rules import dims, patterns as P
 from lurewatch.rules.lexicons import BANK_NAMES
 
 QUERIES = {}
-STYLE_SUBSET = ("fw_the", "fw_and", "fw_of", "pn_comma", "pn_period", "st_sentence_len", "st_word_len", "st_long_words",
-                "st_hapax", "st_digits", "st_line_len", "st_blank_lines", "st_lower_start")
 
 
 def query(fn):
@@ -253,7 +251,7 @@ def fx_readable_body(spark, d):
 @query
 def fx_style_traits(spark, d):
     df = ST.with_traits(table(spark, d, "documents").select("doc_id", "text"), "text")
-    return rounded(df.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), *STYLE_SUBSET), 4)
+    return rounded(df.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), *ST.TRAIT_NAMES), 4)
 
 
 @query

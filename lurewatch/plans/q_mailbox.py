@@ -8,13 +8,16 @@ from lurewatch.functions import style as ST
 from lurewatch.functions import threads as T
 from lurewatch.operators import history as H
 from lurewatch.operators import style as STY
+from lurewatch.operators import evaluate as EV
 from lurewatch.operators.evaluate import exact_percentiles
 from lurewatch.operators import threads as TH
-from lurewatch.plans.q_features import STYLE_SUBSET, messages, rounded
+from lurewatch.plans.memo import planned
+from lurewatch.plans.q_features import messages, rounded
 from lurewatch.plans.views import table, view
 from lurewatch.session import cut_lineage
 
 QUERIES = {}
+STYLE_MARKS = (0.90, 0.95, 0.975, 0.99)
 
 
 def query(fn):
@@ -134,32 +137,42 @@ def ev_thread_replay(spark, d):
         F.count_if("fabricated").alias("fabricated"), (F.count_if("fabricated") / F.greatest(F.count_if("claims_thread"), F.lit(1))).alias("rate")))
 
 
-def style_long(spark, d, traits=STYLE_SUBSET):
+@planned
+def style_rows(spark, d):
+    """Trait arrays of all documents, written once: profile, population and comparisons read them."""
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("address"), "text")
-    return ST.long_traits(ST.with_traits(docs, "text"), ["doc_id", "address"], traits)
+    return cut_lineage(STY.trait_rows(docs, "text", "doc_id", "address"))
+
+
+def style_parts(arrays, *keep):
+    """Arrays by trait as rows."""
+    parts = F.arrays_zip(F.array(*[F.lit(t) for t in ST.TRAIT_NAMES]).alias("trait"), *[F.col(a) for a in arrays])
+    return [*keep, F.explode(parts).alias("x")]
 
 
 @query
 def agg_style_profile(spark, d):
-    return rounded(STY.profile(style_long(spark, d)), 4)
+    df = STY.profile(style_rows(spark, d)).select(*style_parts(("n", "mean", "sd"), "address"))
+    return rounded(df.select("address", "x.trait", "x.n", "x.mean", "x.sd"), 4)
 
 
 @query
 def agg_style_population(spark, d):
-    return rounded(STY.population(STY.profile(style_long(spark, d))), 4)
+    df = STY.population(STY.profile(style_rows(spark, d))).select(*style_parts(("senders", "pop_mean", "pop_sd")))
+    return rounded(df.select("x.trait", "x.senders", "x.pop_mean", "x.pop_sd").where("senders >= 3"), 4)
 
 
 def style_dev(spark, d):
-    # narrow trait rows feed profile, population and deviations: written once, the texts are read once
-    long = cut_lineage(style_long(spark, d))
-    prof = STY.profile(long)
-    return STY.deviations(long, prof, STY.population(prof), "doc_id", learned=True)
+    rows = style_rows(spark, d)
+    prof = STY.profile(rows)
+    return STY.deviations(rows, prof, STY.population(prof), learned=True)
 
 
 @query
 def join_style(spark, d):
     """Message traits against the sender's profile and the population spread."""
-    return rounded(style_dev(spark, d).select("doc_id", "trait", "own_n", "zm", "zc"), 3)
+    df = style_dev(spark, d).select("doc_id", F.explode("dev").alias("x"))
+    return rounded(df.select("doc_id", "x.trait", "x.own_n", "x.zm", "x.zc"), 3)
 
 
 @query
@@ -172,18 +185,38 @@ def win_top_traits(spark, d):
     return rounded(STY.top_traits(style_dev(spark, d), "doc_id"), 3)
 
 
+@planned
+def trial(spark, d):
+    return cut_lineage(STY.impostor_trial(style_rows(spark, d), "doc_id"))
+
+
 @query
 def ev_style_auc(spark, d):
-    """Drift of genuine messages at four percentiles, as thresholds."""
-    df = cut_lineage(STY.drift(style_dev(spark, d), "doc_id").select(F.lit(1).alias("all"), "drift"))
-    marks = exact_percentiles(df, ["all"], F.col("drift"), lambda v: F.floor(v * 1000), [0.90, 0.95, 0.975, 0.99])
-    n = df.groupBy("all").agg(F.count("*").alias("n"))
-    return rounded(marks.join(n, "all").select("n", F.col("pos").cast("bigint").alias("pos"), F.col("value").alias("threshold")), 4)
+    """Does a profile know its author? Per-sender AUC of drift between own and other writers' messages, and what a threshold at a
+    percentile of genuine drift accuses and catches."""
+    df = cut_lineage(STY.drift(trial(spark, d), "target", "genuine", "doc_id").select("target", "genuine", F.round("drift", 6).alias("drift")))
+    auc = cut_lineage(EV.roc_auc(df.select(F.col("target").alias("sender"), (~F.col("genuine")).cast("int").alias("y"), F.col("drift").alias("p")), ["sender"]).where("auc IS NOT NULL"))
+    measured = df.join(auc.select(F.col("sender").alias("target")), "target", "left_semi")
+    one = auc.agg(F.count("*").cast("double").alias("senders"), F.avg("auc").alias("auc mean"), F.avg((F.col("auc") > 0.5).cast("double")).alias("auc above half"))
+    sizes = measured.agg(F.count_if("genuine").cast("double").alias("own messages"), F.count_if(~F.col("genuine")).cast("double").alias("other messages"))
+
+    def tall(frame):
+        return frame.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.lit(None).cast("double").alias("pct"), F.col(f"`{c}`").alias("value")) for c in frame.columns])).alias("x")).select("x.*")
+    median = exact_percentiles(auc.withColumn("all", F.lit(1)), ["all"], F.col("auc"), lambda v: F.floor(v * 1000), [0.5])
+    median = median.select(F.lit("auc median").alias("measure"), F.lit(None).cast("double").alias("pct"), "value")
+    marks = exact_percentiles(measured.where("genuine").withColumn("all", F.lit(1)), ["all"], F.col("drift"), lambda v: F.floor(v * 1000), list(STYLE_MARKS))
+    marks = marks.select(F.element_at(F.array(*[F.lit(100 * m) for m in STYLE_MARKS]), F.col("pos") + 1).alias("pct"), F.round("value", 6).alias("value"))
+    marks = marks.unionByName(spark.createDataFrame([(0.0, float(ST.SUSPICIOUS))], "pct double, value double"))  # the shipped threshold
+    told = measured.crossJoin(F.broadcast(marks)).groupBy("pct").agg(  # five rows
+        F.avg(F.when(F.col("genuine"), (F.col("drift") > F.col("value")).cast("double"))).alias("accused"),
+        F.avg(F.when(~F.col("genuine"), (F.col("drift") > F.col("value")).cast("double"))).alias("caught"))
+    told = told.select("pct", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("accused", "caught")])).alias("x")).select("x.measure", "pct", "x.value")
+    out = tall(one).unionByName(tall(sizes)).unionByName(median).unionByName(marks.select(F.lit("threshold").alias("measure"), "pct", "value")).unionByName(told)
+    return rounded(out, 4)
 
 
 @query
 def ev_style_trait_rank(spark, d):
-    """Traits that separate writers most: spread of sender means over the mean spread inside senders."""
-    prof = STY.profile(style_long(spark, d)).where(F.col("n") >= ST.MIN_MESSAGES)
-    df = prof.groupBy("trait").agg(F.try_divide(F.stddev_samp("mean"), F.avg("sd")).alias("separation"))
-    return rounded(df.orderBy(F.desc_nulls_last("separation"), "trait").limit(10), 4)
+    """The traits that most often tell two writers apart: how far the six that moved most moved, over all impostor pairs."""
+    top = STY.top_traits(trial(spark, d).where("NOT genuine"), "doc_id")
+    return rounded(top.groupBy("trait").agg(F.sum("moved").alias("separation")).orderBy(F.desc(F.round("separation", 6)), "trait").limit(10), 3)

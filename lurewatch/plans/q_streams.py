@@ -7,12 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from lurewatch.operators import scoring as SC
-from lurewatch.plans.q_features import STYLE_SUBSET, messages, rounded
+from lurewatch.functions.sender import with_sender
+from lurewatch.operators import style as STY
+from lurewatch.plans.q_features import messages, rounded
+from lurewatch.plans.q_mailbox import style_parts
 from lurewatch.plans.q_scoring import intent, ioc_list, scored, vectors
 from lurewatch.plans.views import VIEWS, table, view
 from lurewatch.sources import corpora as C
 from lurewatch.sources import mail as ML
-from lurewatch.session import ensure_checkpoint_dir
+from lurewatch.plans.scoring import score_by
+from lurewatch.session import cut_lineage, ensure_checkpoint_dir
 from lurewatch.sources import reports as RP
 from lurewatch.streaming import jobs as J
 
@@ -80,35 +84,51 @@ def st_actions(spark, d):
     return df.select("message_id", F.get_json_object("value", "$.would_act").alias("would_act"), F.get_json_object("value", "$.performed").alias("performed"))
 
 
+def landed(spark, df, order: str, out: str, parts: int = 5):
+    """Rows landed as files in `parts` slices of their time order, streamed one slice at a time."""
+    cuts = df.agg(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [i / parts for i in range(1, parts)])).first()[0] or []
+    at = sum((F.unix_micros(F.col(order).cast("timestamp")) > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    df = cut_lineage(df.withColumn("_slice", at))
+    for i in range(parts):
+        df.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return J.source(spark, f"{out}/in", df.drop("_slice").schema, max_files=1)
+
+
 @query
 def st_style_update(spark, d):
+    """Profiles per sending domain, learned batch by batch from mail that neither model nor rules distrust."""
     out = scratch(spark, "style")
-    s = J.source(spark, d, DOCS, "documents.parquet").select(F.col("doc_id").alias("message_id"), F.col("source").alias("address"), F.col("text").alias("body"), (
-        F.lit(0.05) + ((F.col("doc_id") * 13) % 60) / 100.0).alias("p"))
-    J.run(s, J.style_update(out, STYLE_SUBSET), f"{out}/cp")
-    df = spark.read.parquet(f"{out}/profiles")
-    return rounded(df.select("address", "trait", "n", "mean", F.sqrt(F.col("m2") / F.greatest(F.col("n") - 1, F.lit(1))).alias("sd")), 3)
+    stream = landed(spark, messages(spark, d), "sent_at", out, 2)
+    known = {"prior": 0.05, "registry": view(spark, d, "domain_registry"), "iocs": ioc_list(spark)}
+    model, guess = intent(spark, d), vectors(spark, d)
+
+    def trusted(batch):
+        return score_by(batch, model, guess, **known).where((F.col("p_final") < 0.5) & (F.size("binding") == 0)).select("message_id")
+
+    state = J.style_state(f"{out}/profiles", fan=4)
+    J.run(with_sender(stream).withColumn("address", F.col("registrable")), J.style_update(out, state, trusted), f"{out}/cp")
+    df = STY.from_moments(state.read(spark), "address").select(*style_parts(("n", "mean", "sd"), "address"))
+    return rounded(df.select("address", "x.trait", "x.n", "x.mean", "x.sd"), 3)
 
 
-def log_stream(spark, d):
-    ev = J.source(spark, d, EVENTS, "events.parquet")
-    return spark.sql(VIEWS["mail_log"][1], events=ev).withColumn("ts", F.col("ts").cast("timestamp"))
+def log_stream(spark, d, out):
+    return landed(spark, view(spark, d, "mail_log").withColumn("ts", F.col("ts").cast("timestamp")), "ts", out)
 
 
 @query
 def st_history_update(spark, d):
     out = scratch(spark, "history")
-    J.run(log_stream(spark, d), J.history_update(f"{out}/h"), f"{out}/cp")
-    return spark.read.parquet(f"{out}/h").select("address", "received", "sent_to", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+    state = J.history_state(f"{out}/h", fan=4)
+    J.run(log_stream(spark, d, out), J.history_update(state), f"{out}/cp")
+    return state.read(spark).select("address", "received", "sent_to", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
 
 
 @query
 def st_thread_index(spark, d):
-    """Conversation turns arrive; each batch is verified before it joins the index."""
+    """Conversation turns arrive in five batches; each is verified before it joins the index."""
     out = scratch(spark, "threads")
-    static = view(spark, d, "threads")
-    ids = J.source(spark, d, CONVS, "conversations.parquet").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("message_id"))
-    J.run(ids.join(static, "message_id"), J.thread_update(out), f"{out}/cp")
+    stream = landed(spark, view(spark, d, "threads"), "sent_at", out)
+    J.run(stream, J.thread_update(out, J.thread_state(f"{out}/index", fan=4)), f"{out}/cp")
     return spark.read.parquet(f"{out}/verified").select("message_id", "q_shingles", "q_found")
 
 

@@ -6,7 +6,6 @@ from lurewatch.functions import language as LG
 from lurewatch.functions import style as ST
 from lurewatch.functions.urls import FLAGS
 from lurewatch.plans.features import feature_names
-from lurewatch.plans.q_features import STYLE_SUBSET
 from lurewatch.rules import dims, patterns as P
 from lurewatch.rules.lexicons import BANK_NAMES
 from lurewatch.sources.corpora import ENTITIES
@@ -159,30 +158,39 @@ ORACLE["fx_readable_body"] = q(f"SELECT message_id, md5(o) AS own_md5, length(o)
 
 
 def trait_rows(source: str, key: str, text: str) -> str:
-    """Wide traits used by the style oracles: a subset of all kinds."""
+    """All traits, one column each."""
+    fw = ", ".join(f"1000.0 * len(list_filter(fws, lambda w: w = {s(w)})) / n AS fw_{w}" for w in ST.FUNCTION_WORDS)
+    pn = ", ".join(f"1000.0 * (length(own) - length(replace(own, {s(c)}, ''))) / ch AS pn_{k}" for k, c in ST.PUNCTUATION.items())
+    gr = ", ".join(f"regexp_matches(coalesce(first_line, ''), {s(p)})::INT::DOUBLE AS gr_{k}" for k, p in ST.GREETINGS.items())
+    sg = ", ".join(f"regexp_matches(tail, {s(p)})::INT::DOUBLE AS sg_{k}" for k, p in ST.SIGNOFFS.items())
+    found = lambda p: f"len(regexp_extract_all(own, {s(p)}))"
     return f"""
 WITH o AS (SELECT {key}, {own_words(text)} AS own FROM {source}),
 t AS (SELECT *, regexp_extract_all(lower(own), {s(P.STYLE_TOKEN)}) AS toks FROM o),
-r AS (SELECT *, len(toks) AS n, greatest(length(own), 1) AS ch, string_split(own, chr(10)) AS lines,
-        list_filter(string_split_regex(own, {s(ST.SENTENCE_BREAK)}), lambda x: regexp_matches(x, '\\S')) AS sents,
+r AS (SELECT *, len(toks) AS n, greatest(length(own), 1) AS ch, string_split(own, chr(10)) AS lines, list_filter(string_split_regex(own, '\\s+'), lambda x: x <> '') AS ws,
+        list_filter(toks, lambda w: list_contains([{', '.join(s(w) for w in ST.FUNCTION_WORDS)}], w)) AS fws,
+        list_transform(list_filter(string_split_regex(own, {s(ST.SENTENCE_BREAK)}), lambda x: regexp_matches(x, '\\S')), lambda x: len(regexp_extract_all(x, '[A-Za-z'']+'))) AS lens,
         regexp_extract_all(own, {s(ST.SENTENCE_START)}, 1) AS starts FROM t WHERE len(toks) >= {ST.MIN_TOKENS}),
+l AS (SELECT *, list_filter(lines, lambda x: regexp_matches(x, '\\S'))[1] AS first_line, array_to_string(lines[-4:], chr(10)) AS tail FROM r),
 hx AS (SELECT {key}, count(*) AS once FROM (SELECT {key}, tok FROM (SELECT {key}, unnest(toks) AS tok FROM r) GROUP BY ALL HAVING count(*) = 1) GROUP BY {key})
-SELECT r.{key}, n AS n_tokens,
-  1000.0 * len(list_filter(toks, lambda w: w = 'the')) / n AS fw_the, 1000.0 * len(list_filter(toks, lambda w: w = 'and')) / n AS fw_and,
-  1000.0 * len(list_filter(toks, lambda w: w = 'of')) / n AS fw_of,
-  1000.0 * (length(own) - length(replace(own, ',', ''))) / ch AS pn_comma, 1000.0 * (length(own) - length(replace(own, '.', ''))) / ch AS pn_period,
-  list_avg(list_transform(sents, lambda x: len(regexp_extract_all(x, '[A-Za-z'']+')))) AS st_sentence_len,
+SELECT l.{key}, n AS n_tokens, {fw}, {pn}, {gr}, 0.0::DOUBLE AS gr_none, {sg},
+  list_avg(lens) AS st_sentence_len, list_aggregate(lens, 'stddev_pop') AS st_sentence_sd,
   list_avg(list_transform(toks, lambda w: length(w))) AS st_word_len,
   100.0 * len(list_filter(toks, lambda w: length(w) > 6)) / n AS st_long_words,
   100.0 * coalesce(hx.once, 0) / n AS st_hapax,
+  100.0 * len(list_filter(ws, lambda w: length(w) > 2 AND w = upper(w) AND w <> lower(w))) / greatest(len(ws), 1) AS st_allcaps,
+  1000.0 * {found(ST.CONTRACTION)} / n AS st_contractions,
   100.0 * {kept('own', '[^0-9]+')} / ch AS st_digits,
-  list_avg(list_transform(lines, lambda l: length(l))) AS st_line_len,
-  100.0 * len(list_filter(lines, lambda l: NOT regexp_matches(l, '\\S'))) / len(lines) AS st_blank_lines,
+  1000.0 * {found(ST.EMOJI)} / n AS st_emoji,
+  100.0 * len(list_filter(lines, lambda x: NOT regexp_matches(x, '\\S'))) / len(lines) AS st_blank_lines,
+  list_avg(list_transform(lines, lambda x: length(x))) AS st_line_len,
+  100.0 * {found('[.!?]  +')} / greatest({found('[.!?] ')}, 1) AS st_double_space,
   100.0 * len(list_filter(starts, lambda c: c = lower(c))) / greatest(len(starts), 1) AS st_lower_start
-FROM r LEFT JOIN hx USING ({key})"""
+FROM l LEFT JOIN hx USING ({key})"""
 
 
-ORACLE["fx_style_traits"] = f"SELECT doc_id, n_tokens, {rnd(STYLE_SUBSET, 4)} FROM ({trait_rows('documents', 'doc_id', 'text')})"
+ORACLE["fx_style_traits"] = f"SELECT doc_id, n_tokens, {rnd(ST.TRAIT_NAMES, 4)} FROM ({trait_rows('documents', 'doc_id', 'text')})"
+ORACLE["fx_style_traits_all"] = f"SELECT doc_id, {rnd(ST.TRAIT_NAMES, 6)} FROM ({trait_rows('documents', 'doc_id', 'text')})"
 ORACLE["fx_money_patterns"] = q(f"""
 SELECT message_id, len(regexp_extract_all({fold('body_text')}, {s(P.CURRENCY)})) AS sums,
   {has("lower(subject || ' ' || body_text)", P.TEXT_FLAGS['pat_money_ask'])} AS money_ask,

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from lurewatch.functions import style as ST
-from lurewatch.plans.q_features import STYLE_SUBSET
+from lurewatch.operators import style as STY
+from lurewatch.plans.q_mailbox import STYLE_MARKS
 from lurewatch.rules import patterns as P
 from oracles.base import cte, q, s
 from oracles.q_features import shingle_rows, trait_rows
@@ -65,8 +66,9 @@ ORACLE["ev_thread_replay"] = q("""SELECT mailbox, count(*) FILTER (claims_thread
   count(*) FILTER (fabricated) AS fabricated, round(count(*) FILTER (fabricated) / greatest(count(*) FILTER (claims_thread), 1), 6) AS rate FROM verdicts GROUP BY 1""", "verdicts")
 
 cte("wide_traits", (), trait_rows("documents", "doc_id", "text"))
-_LONG = " UNION ALL ".join(f"SELECT w.doc_id, d.source AS address, '{t}' AS trait, CAST(w.{t} AS DOUBLE) AS value FROM wide_traits w JOIN documents d USING (doc_id)" for t in STYLE_SUBSET)
-cte("traits", ("wide_traits",), _LONG)
+_NAMES = "[" + ", ".join(s(t) for t in ST.TRAIT_NAMES) + "]"
+_VALUES = "[" + ", ".join(f"CAST({t} AS DOUBLE)" for t in ST.TRAIT_NAMES) + "]"
+cte("traits", ("wide_traits",), f"""SELECT w.doc_id, d.source AS address, trait, value FROM (SELECT doc_id, unnest({_NAMES}) AS trait, unnest({_VALUES}) AS value FROM wide_traits) w JOIN documents d USING (doc_id)""")
 cte("profile", ("traits",), "SELECT address, trait, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM traits GROUP BY 1, 2")
 cte("popul", ("profile",), f"SELECT * FROM (SELECT trait, count(*) AS senders, avg(mean) AS pop_mean, stddev_samp(mean) AS pop_sd FROM profile WHERE n >= {ST.MIN_MESSAGES} GROUP BY 1) WHERE senders >= 3")
 cte("dev", ("traits", "profile", "popul"), f"""SELECT t.doc_id, t.trait, p.n - 1 AS own_n, (t.value - o.pop_mean) / o.pop_sd AS zm, ((p.n * p.mean - t.value) / (p.n - 1) - o.pop_mean) / o.pop_sd AS zc
@@ -78,8 +80,33 @@ ORACLE["agg_style_population"] = q("SELECT trait, senders, round(pop_mean, 4) AS
 ORACLE["join_style"] = q("SELECT doc_id, trait, own_n, round(zm, 3) AS zm, round(zc, 3) AS zc FROM dev", "dev")
 ORACLE["sc_style_drift"] = q(f"SELECT doc_id, traits, round(drift, 4) AS drift, drift > {ST.SUSPICIOUS} AS suspicious FROM drift", "drift")
 ORACLE["win_top_traits"] = q("""SELECT doc_id, rank, trait, round(moved, 3) AS moved FROM (
-  SELECT doc_id, trait, abs(zm - zc) AS moved, row_number() OVER (PARTITION BY doc_id ORDER BY abs(zm - zc) DESC, trait) AS rank FROM dev) WHERE rank <= 6""", "dev")
-ORACLE["ev_style_auc"] = q("""SELECT n, pos, round(threshold, 4) AS threshold FROM (SELECT n, unnest(g) AS threshold, generate_subscripts(g, 1) - 1 AS pos FROM (
-  SELECT count(*) AS n, quantile_cont(drift, [0.90, 0.95, 0.975, 0.99]) AS g FROM drift))""", "drift")
-ORACLE["ev_style_trait_rank"] = q(f"""SELECT trait, round(separation, 4) AS separation FROM (SELECT trait, stddev_samp(mean) / nullif(avg(sd), 0) AS separation FROM profile WHERE n >= {ST.MIN_MESSAGES} GROUP BY 1)
-ORDER BY separation DESC NULLS LAST, trait LIMIT 10""", "profile")
+  SELECT doc_id, trait, round(abs(zm - zc), 9) AS moved, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(zm - zc), 9) DESC, trait) AS rank FROM dev) WHERE rank <= 6""", "dev")
+
+# profiles from the first messages, the others held out and compared with their own sender and with another one
+cte("held", ("wide_traits",), f"""SELECT doc_id, source AS address, c >= {ST.MIN_MESSAGES + STY.HELD_OUT} AS usable, rn <= {ST.MIN_MESSAGES} AS base FROM (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS c FROM wide_traits JOIN documents USING (doc_id))""")
+cte("t_profile", ("traits", "held"), "SELECT address, trait, count(value) AS n, avg(value) AS mean FROM traits WHERE doc_id IN (SELECT doc_id FROM held WHERE usable AND base) GROUP BY 1, 2")
+cte("t_pop", ("t_profile",), f"SELECT * FROM (SELECT trait, count(*) AS senders, avg(mean) AS pop_mean, stddev_samp(mean) AS pop_sd FROM t_profile WHERE n >= {ST.MIN_MESSAGES} GROUP BY 1) WHERE senders >= 3 AND pop_sd > 1e-9")
+cte("t_order", ("t_profile",), "SELECT address, row_number() OVER (ORDER BY address) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT address FROM t_profile)")
+cte("t_pairs", ("held", "t_order"), """
+SELECT doc_id, address AS target, true AS genuine FROM held WHERE usable AND NOT base
+UNION ALL SELECT h.doc_id, o.address, false FROM held h JOIN t_order m ON m.address = h.address
+JOIN t_order o ON o.place = (m.place + 1 + ('0x' || substr(md5(CAST(h.doc_id AS VARCHAR)), 1, 8))::BIGINT % greatest(m.n - 1, 1)) % m.n AND o.address <> h.address WHERE h.usable AND NOT h.base""")
+cte("t_dev", ("t_pairs", "traits", "t_profile", "t_pop"), f"""SELECT x.doc_id, x.target, x.genuine, t.trait, (t.value - o.pop_mean) / o.pop_sd AS zm, (p.mean - o.pop_mean) / o.pop_sd AS zc
+FROM t_pairs x JOIN traits t USING (doc_id) JOIN t_pop o USING (trait) JOIN t_profile p ON p.address = x.target AND p.trait = t.trait WHERE p.n >= {ST.MIN_MESSAGES} AND t.value IS NOT NULL""")
+cte("t_drift", ("t_dev",), f"""SELECT doc_id, target, genuine, round(1 - dot / (na * nb), 6) AS drift FROM (
+  SELECT doc_id, target, genuine, count(*) AS traits, sum(zm * zc) AS dot, sqrt(sum(zm * zm)) AS na, sqrt(sum(zc * zc)) AS nb FROM t_dev GROUP BY 1, 2, 3) WHERE traits >= {ST.MIN_TRAITS} AND na > 1e-9 AND nb > 1e-9""")
+cte("t_auc", ("t_drift",), "SELECT a.target, avg(CASE WHEN b.drift > a.drift THEN 1.0 WHEN b.drift = a.drift THEN 0.5 ELSE 0.0 END) AS auc FROM t_drift a JOIN t_drift b USING (target) WHERE a.genuine AND NOT b.genuine GROUP BY 1")
+cte("t_measured", ("t_drift", "t_auc"), "SELECT * FROM t_drift WHERE target IN (SELECT target FROM t_auc)")
+cte("t_marks", ("t_measured",), f"""SELECT unnest([{', '.join(str(100 * m) for m in STYLE_MARKS)}]) AS pct, round(unnest(g), 6) AS value FROM (SELECT quantile_cont(drift, [{', '.join(map(str, STYLE_MARKS))}]) AS g FROM t_measured WHERE genuine)
+UNION ALL SELECT 0.0, {ST.SUSPICIOUS}""")
+ORACLE["ev_style_auc"] = q("""
+SELECT measure, pct::DOUBLE AS pct, round(value::DOUBLE, 4) AS value FROM (
+  SELECT unnest(['senders', 'auc mean', 'auc above half', 'auc median']) AS measure, NULL AS pct,
+    unnest([count(*), avg(auc), avg((auc > 0.5)::INT), quantile_cont(auc, 0.5)]) AS value FROM t_auc
+  UNION ALL SELECT unnest(['own messages', 'other messages']), NULL, unnest([count(*) FILTER (genuine), count(*) FILTER (NOT genuine)]) FROM t_measured
+  UNION ALL SELECT 'threshold', pct, value FROM t_marks
+  UNION ALL SELECT unnest(['accused', 'caught']), pct, unnest([avg((drift > value)::INT) FILTER (genuine), avg((drift > value)::INT) FILTER (NOT genuine)]) FROM t_measured, t_marks GROUP BY pct)""", "t_auc", "t_measured", "t_marks")
+ORACLE["ev_style_trait_rank"] = q("""SELECT trait, round(sum(moved), 3) AS separation FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY moved DESC, trait) AS rn FROM (SELECT doc_id, trait, round(abs(zm - zc), 9) AS moved FROM t_dev WHERE NOT genuine)) WHERE rn <= 6
+GROUP BY 1 ORDER BY round(sum(moved), 6) DESC, trait LIMIT 10""", "t_dev")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lurewatch.plans.q_features import STYLE_SUBSET
+from lurewatch.functions import style as ST
 from lurewatch.rules import patterns as P
 from oracles.base import cte, q, s
+from oracles.q_features import trait_rows
 import oracles.scoring  # noqa: F401  its CTEs
 
 ORACLE: dict[str, str] = {}
@@ -15,8 +16,11 @@ ORACLE["st_baseline"] = q("SELECT message_id, kind FROM messages WHERE sent_at >
 # scoring of a stream: no mailbox history, no recipients
 ORACLE["st_score_alert"] = q("SELECT message_id, severity, band, vector, round(p_final, 6) AS p_final FROM sev0 WHERE band IN ('MEDIUM', 'HIGH', 'CRITICAL')", "sev0")
 ORACLE["st_actions"] = q("SELECT message_id, CASE WHEN severity < 40 OR binding = 0 OR vector = 'benign' THEN 'false' ELSE 'true' END AS would_act, 'false' AS performed FROM sev0", "sev0")
-_KEEP = " UNION ALL ".join(f"SELECT w.doc_id, d.source AS address, '{t}' AS trait, CAST(w.{t} AS DOUBLE) AS value FROM wide_traits w JOIN documents d USING (doc_id) WHERE 0.05 + ((w.doc_id * 13) % 60) / 100.0 < 0.5" for t in STYLE_SUBSET)
-ORACLE["st_style_update"] = q(f"SELECT address, trait, count(*) AS n, round(avg(value), 3) AS mean, round(coalesce(stddev_samp(value), 0), 3) AS sd FROM ({_KEEP}) GROUP BY 1, 2", "wide_traits")
+cte("mail_traits", ("messages",), trait_rows("messages", "message_id", "body"))
+cte("trusted", ("mail_traits", "sev0", "sender1"), f"""SELECT m.registrable AS address, trait, value FROM (
+  SELECT message_id, unnest([{", ".join(s(t) for t in ST.TRAIT_NAMES)}]) AS trait, unnest([{", ".join(f"CAST({t} AS DOUBLE)" for t in ST.TRAIT_NAMES)}]) AS value FROM mail_traits)
+JOIN sev0 v USING (message_id) JOIN sender1 m USING (message_id) WHERE v.p_final < 0.5 AND v.binding = 0""")
+ORACLE["st_style_update"] = q("SELECT address, trait, count(value) AS n, round(avg(value), 3) AS mean, round(stddev_samp(value), 3) AS sd FROM trusted GROUP BY 1, 2", "trusted")
 ORACLE["st_history_update"] = q("""SELECT address, count(*) FILTER (direction = 'received') AS received, count(*) FILTER (direction = 'sent') AS sent_to, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen
 FROM mail_log GROUP BY 1""", "mail_log")
 ORACLE["st_thread_index"] = q("SELECT message_id, q_shingles, q_found FROM sh_match", "sh_match")
