@@ -50,11 +50,11 @@ def join_common_hosts(spark, d):
 
 @query
 def join_near_dup(spark, d):
-    """All pairs of distinct text hashes at most six bits apart."""
+    """The group of each text hash that has another one six bits away or less, named by its smallest hash."""
     docs = table(spark, d, "documents")
     docs = docs.where(F.size(F.split(F.trim("text"), r"\s+")) >= CP.MIN_WORDS)
     h = simhash(docs, "doc_id", F.col("text")).where("simhash <> 0")
-    return CP.near_pairs(h).select("a", "b", F.col("distance").cast("bigint").alias("distance"))
+    return CP.near_groups(h).select("simhash", F.col("root").alias("group"))
 
 
 @query
