@@ -145,14 +145,14 @@ def ship(spark) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow over whole-slice work: fn(RecordBatch) -> RecordBatch for slices bounded by the bytes of `text`."""
+def batches(df: DataFrame, fn, schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
+    """mapInArrow over whole-slice work: fn(RecordBatch) -> RecordBatch for slices of about `limit` bytes of `text`."""
     ship(df.sparkSession)
 
     def run(it):
         for batch in it:
             texts = batch.column(batch.schema.names.index("text"))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, limit):
                 out = fn(batch.slice(a, b - a))
                 if out is not None and out.num_rows:
                     yield out

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import batches, ship
+from lurewatch.llm.common import CHUNK_BYTES, batches, ship
 from lurewatch.session import cut_lineage, ensure_checkpoint_dir
 
 PIECE = "k long, name long, whole long, at int, n int, off int, open boolean"
@@ -121,19 +121,20 @@ def narrowed(pieces: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
     return sure, rest, (wholes, several)
 
 
-def looked_at(texts: DataFrame, rest: DataFrame, read: tuple, work: Callable, schema: str) -> DataFrame:
+def looked_at(texts: DataFrame, rest: DataFrame, read: tuple, work: Callable, schema: str, limit: int) -> DataFrame:
     """work(k, text, todo) over the texts that hold pieces, each with all of its own, as a written table."""
     todo = step(rest.groupBy("k").agg(F.collect_list(F.struct("at", "n", "off", "open")).alias("todo")), read)
-    return step(batches(texts.select("k", "text").join(todo, "k"), work, schema), (todo,))
+    return step(batches(texts.select("k", "text").join(todo, "k"), work, schema, limit), (todo,))
 
 
-def repeated_spans(texts: DataFrame, pieces: Callable, bands: Callable, windows: Callable, again: Callable = by_hash) -> DataFrame:
+def repeated_spans(texts: DataFrame, pieces: Callable, bands: Callable, windows: Callable, again: Callable = by_hash, limit: int = CHUNK_BYTES) -> DataFrame:
     """(k, spans array<struct<at int, n int>>): the starts of all repeated windows as runs, per text that has any.
 
-    `texts` holds k and text. pieces(k, text), bands(k, text, todo) and windows(k, text, todo) are whole-slice functions."""
-    sure, rest, read = narrowed(step(batches(texts.select("k", "text"), pieces, PIECE)))
-    surer, rest, read = narrowed(looked_at(texts, rest, read, bands, PIECE))
-    last = looked_at(texts, rest, read, windows, WINDOW)
+    `texts` holds k and text. pieces(k, text), bands(k, text, todo) and windows(k, text, todo) are whole-slice functions, for slices of
+    `limit` bytes."""
+    sure, rest, read = narrowed(step(batches(texts.select("k", "text"), pieces, PIECE, limit)))
+    surer, rest, read = narrowed(looked_at(texts, rest, read, bands, PIECE, limit))
+    last = looked_at(texts, rest, read, windows, WINDOW, limit)
     spans = sure.unionByName(surer).unionByName(again(last).withColumn("n", F.lit(1)))
     return step(spans.groupBy("k").agg(F.collect_set(F.struct("at", "n")).alias("spans")), (sure, surer, last))
 
