@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,12 @@ def with_triggers(df: DataFrame, banks=None) -> DataFrame:
 
 
 def all_seeds(banks=None) -> tuple[str, ...]:
-    pats = [*compile_banks(banks).values(), *P.TEXT_FLAGS.values()]
-    return prefix_free(v for p in pats for v in (seeds(p) or ()))
+    return _seeds_of((*compile_banks(banks).values(), *P.TEXT_FLAGS.values()))
+
+
+@lru_cache(64)
+def _seeds_of(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    return prefix_free(v for p in patterns for v in (seeds(p) or ()))
 
 
 def guard(pattern: str, banks=None) -> Column:

@@ -69,9 +69,10 @@ def fit_weights(found: DataFrame, totals: list, classes: list[str]) -> DataFrame
     """(fold, view, mark, cls, weight): one against the rest, from the other folds. `found` has view, mark, fold, cls;
     totals are (fold, cls, messages)."""
     spark = found.sparkSession
-    per = found.groupBy("view", "mark", "fold").pivot("cls", classes).count().na.fill(0)
-    every = F.struct("fold", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(classes)])
-    per = per.groupBy("view", "mark").agg(F.collect_list(every).alias("folds"))  # a row per fold at most
+    names = [f"c{i}" for i in range(len(classes))]
+    per = found.groupBy("view", "mark", "fold").agg(*[F.count_if(F.col("cls") == c).alias(n) for n, c in zip(names, classes)])
+    per = per.groupBy("view", "mark").agg(F.collect_list(F.struct("fold", *names)).alias("folds"), sum((F.sum(n) for n in names), F.lit(0)).alias("ever"))  # a row per fold at most
+    per = per.where(F.col("ever") >= MIN_MESSAGES).drop("ever")
     n = spark.createDataFrame([(f, i, *_others(totals, c)[f]) for i, c in enumerate(classes) for f in range(FOLDS)], "own int, i int, n_in bigint, n_out bigint")
 
     def seen(names):

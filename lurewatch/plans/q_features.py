@@ -36,9 +36,15 @@ def messages(spark, d) -> DataFrame:
     return view(spark, d, "messages")
 
 
+@planned
+def featured_text(spark, d) -> DataFrame:
+    """Feature rows with their text."""
+    return with_features(messages(spark, d), keep_text=True)
+
+
 @planned
 def featured(spark, d) -> DataFrame:
-    return with_features(messages(spark, d))
+    return featured_text(spark, d).drop("body", "body_text")
 
 
 @query

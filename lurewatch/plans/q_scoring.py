@@ -11,9 +11,9 @@ from lurewatch.operators import history as H
 from lurewatch.operators import recipient as R
 from lurewatch.operators import scoring as SC
 from lurewatch.plans.memo import planned
-from lurewatch.plans.q_features import featured, messages, rounded
+from lurewatch.plans.q_features import featured, featured_text, messages, rounded
 from lurewatch.operators import intent as IN
-from lurewatch.plans.scoring import ioc_hits, score_rows, scored_rows, with_state
+from lurewatch.plans.scoring import ioc_hits, marked, score_rows, with_state
 from lurewatch.plans.views import table, view
 from lurewatch.rules import dims
 from lurewatch.rules import taxonomy as X
@@ -35,7 +35,7 @@ def ioc_list(spark):
 @planned
 def rows(spark, d):
     """Feature rows of all messages, written once: the models are fitted on them and the score reads them."""
-    return scored_rows(messages(spark, d))
+    return marked(featured_text(spark, d))
 
 
 @planned

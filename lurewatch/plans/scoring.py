@@ -13,7 +13,12 @@ from lurewatch.session import cut_lineage
 
 def scored_rows(messages: DataFrame, banks=None, allowlist: tuple[str, ...] = ()) -> DataFrame:
     """A written table of feature rows with the marks the models read, without text."""
-    return cut_lineage(with_marks(with_features(messages, banks, allowlist, True)).drop("body", "body_text"))
+    return marked(with_features(messages, banks, allowlist, True))
+
+
+def marked(features: DataFrame) -> DataFrame:
+    """Feature rows with text as such a table."""
+    return cut_lineage(with_marks(features).drop("body", "body_text"))
 
 
 def with_state(feats: DataFrame, registry: DataFrame | None = None, mailbox_history: bool = False) -> DataFrame:

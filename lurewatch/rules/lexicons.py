@@ -11,6 +11,7 @@ not overlap.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 _SOON = "(?:today|tonight|this (?:morning|afternoon|evening)|before (?:noon|midnight|close of business)|by (?:noon|end of day))"
 _SECRET = "(?:login|log-?in|sign-?in|pass(?:word|code|phrase)|user ?name|credentials?|security (?:code|question))"
@@ -203,6 +204,7 @@ def _worth(literal: str) -> int:
     return 0 if literal.strip() in _COMMON else len(literal.strip())
 
 
+@lru_cache(4096)
 def seeds(pattern: str) -> tuple[str, ...] | None:
     """Lower-case literals of which every match of the pattern contains at least one, or None when there is no such set.
 

@@ -44,24 +44,73 @@ def test_top_per_group_is_exact(spark):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("hot", [1, 10_000])
-def test_near_pairs_equal_brute_force(spark, hot):
-    """Both levels of the filing find every pair; hot=1 sends each shared bucket through the second level."""
+def spanning(vals, limit):
+    """Group of every value that has a near one, by brute force."""
+    root = {v: v for v in vals}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+    near, m = set(), (1 << 64) - 1
+    for i, a in enumerate(vals):
+        for b in vals[:i]:
+            if bin((a ^ b) & m).count("1") <= limit:
+                near |= {a, b}
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {v: find(v) for v in near}
+
+
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_near_groups_equal_brute_force(spark, most):
+    """Small `most` sends buckets through the second filing, and clouds through leaders and who is left out."""
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(12)]
     vals = set(base)
-    for b in base:
-        for n in (1, 3, 6, 7, 9):
+    for i, b in enumerate(base):
+        for n in (1, 3, 6, 7, 9) + (2, 4, 5) * (20 if i == 0 else 0):
             v = b
             for bit in rng.sample(range(64), n):
                 v ^= 1 << bit
             vals.add(v)
-    signed = [v - (1 << 64) if v >= 1 << 63 else v for v in vals]
-    df = spark.createDataFrame([(v,) for v in signed], "simhash bigint")
-    got = {(r["a"], r["b"], r["distance"]) for r in CP.near_pairs(df, hot=hot).collect()}
-    m = (1 << 64) - 1
-    want = {(a, b, bin((a ^ b) & m).count("1")) for a in signed for b in signed if a < b and bin((a ^ b) & m).count("1") <= 6}
-    assert got == want and want
+    chain = rng.getrandbits(64)
+    for i in range(0, 60, 5):  # each step five bits away from the last
+        chain ^= 0b11111 << i
+        vals.add(chain)
+    signed = sorted(v - (1 << 64) if v >= 1 << 63 else v for v in vals)
+    df = spark.createDataFrame([(v,) for v in signed * 2], "simhash bigint")
+    got = {r["simhash"]: r["root"] for r in CP.near_groups(df, most=most).collect()}
+    assert got == spanning(signed, 6) and got
+
+
+def test_filing_keeps_buckets_small():
+    for n in (10, 10 ** 4, 10 ** 6, 10 ** 8):
+        blocks = CP.filing(n)
+        assert n >> (64 * (blocks - 6) // blocks) <= CP.BUCKET
+
+
+def test_edges_fall_every_round(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(500)] + [(1000, 1001 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(64)]
+    sizes, real = [], CP.cut_lineage
+
+    def seen(df):
+        out = real(df)
+        if df.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+    monkeypatch.setattr(CP, "cut_lineage", seen)
+    got = {r["id"]: r["root"] for r in CP.groups(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {}
+    for a, b in edges:
+        x, y = want.get(a, a), want.get(b, b)
+        want.setdefault(a, a), want.setdefault(b, b)
+        if want[a] != want[b]:
+            lo, hi = sorted((want[a], want[b]))
+            want = {k: lo if v == hi else v for k, v in want.items()}
+    assert got == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert all(y < x for x, y in zip(sizes, sizes[1:])) and sizes[-1] == 0 and len(sizes) < 8
 
 
 def test_components_of_a_chain_and_a_hub(spark):
