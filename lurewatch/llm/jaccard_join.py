@@ -8,9 +8,11 @@ which are never merged: a candidate is settled by binary probes of the smaller s
 (frequency, hash), where the frequencies come from a hash sample of classes and at most HOT shingles; any order gives
 the same links, a good one gives few candidates.
 
-No list is opened into all its pairs unless it is short (SHORT classes). A longer list first compares every member with
-LEADERS members of its size; links make components; then only members outside the list's main component meet the others.
-That leaves no link between different components unseen, and needs no comparison inside one.
+No list is opened into all its pairs unless it is short (SHORT classes). In a longer list every member may meet the leader of its
+size band, the smallest class: one leader a member and round, first of all its lists, then of those whose leader it is not joined to
+yet. Then only members outside the list's main component meet the others, if they share a second list. That leaves no link between
+different components unseen, and needs no comparison inside one. Before two whole sets meet, their sketches (counts in hash slots) do:
+the sum of the smaller counts is never less than the overlap, so a pair that it rejects is no link.
 
 Result: one row per document with its set size and the smallest doc_id reachable by links. Null and wordless texts have no
 shingles and no links. Repeated rows are one class; a null doc_id takes part, but is only reported if its component has no
@@ -29,7 +31,7 @@ from lurewatch.llm.repeats import drop, keyed, signed, step
 
 SIZE, PERCENT = 4, 85
 SAMPLE, HOT = 8, 1 << 17
-SHORT, LEADERS = 16, 8
+SHORT, ROUNDS = 16, 2
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -100,10 +102,26 @@ def _prefixes(size: int, percent: int, hot):
     return work
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """How many shingles fall into each of 64 to 1,024 hash slots, up to 255 (which stands for any more)."""
+    slots = 64 if len(members) <= 512 else 256 if len(members) <= 4096 else 1024
+    count = np.bincount((mix(members) % U64(1024)).astype(np.int64) % slots, minlength=slots)
+    return np.minimum(count, 255).astype(np.uint8).tobytes()
+
+
+def bound(a: bytes, b: bytes) -> int:
+    """The most that two sets can share by their sketches: never less than their overlap."""
+    x, y = (np.where(c == 255, 1 << 40, c) for c in (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b)))
+    slots = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, slots).sum(axis=0), y.reshape(-1, slots).sum(axis=0)).sum())
+
+
 def _sets(size: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         name, first = shingles(batch.column(0), size)
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([name[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["cls", "members"])
+        sets = [name[a:b] for a, b in zip(first[:-1], first[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(first), pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()),
+                                           pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "n", "sketch", "members"])
     return work
 
 
@@ -126,10 +144,22 @@ def _linked(percent: int):
     return run
 
 
+def _possible(percent: int):
+    def run(it):
+        for batch in it:
+            n, m = (np.asarray(batch.column(i), np.int64) for i in (2, 3))
+            most = np.array([bound(p.as_py(), q.as_py()) for p, q in zip(batch.column(4), batch.column(5))], np.int64)
+            most = np.minimum(most, np.minimum(n, m))
+            yield batch.select(["a", "b"]).filter(pa.array(100 * most >= percent * (n + m - most)))
+    return run
+
+
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold."""
+    """The pairs (a, b) of classes that reach the threshold. Sketches of fixed size settle most that do not, whole sets meet for the rest."""
+    small = [sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")]
+    near = step(pairs.join(small[0], "a").join(small[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a long, b long"))
     left, right = (sets.select(F.col("cls").alias(c), F.col("members").alias(f"m{c}")) for c in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_linked(percent), "a long, b long")
+    return near.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_linked(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,6 +193,12 @@ def _pairs(left: DataFrame, right: DataFrame, keys: list[str], percent: int, mor
     return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
 
 
+def _led(leaders: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """(lead, cls) for every member of a long list and the leader of its size band, where the bounds allow a link."""
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") != F.col("y.cls")) & _fits("x", "y", percent)
+    return leaders.alias("x").join(long.alias("y"), on).select(F.col("x.cls").alias("lead"), F.col("y.cls").alias("cls")).distinct()
+
+
 def one_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(text, cls) with one row a class; only texts that stand in the table several times need to be told apart."""
     met = texts.select("k", "text").join(wanted, "k")
@@ -187,23 +223,39 @@ def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     lists = step(entries.groupBy("s").agg(F.count("*").alias("c")))
     entries = step(entries.join(lists, "s").withColumn("band", F.floor(4 * F.log2("n")).cast("int")), (entries, lists))
     short, long = entries.where(F.col("c") <= SHORT), step(entries.where(F.col("c") > SHORT))
-    few = step(_pairs(short, short, ["s"], percent, F.col("x.cls") < F.col("y.cls")).groupBy("a", "b").agg(F.count("*").alias("met")).where("met > 1").select("a", "b"), (entries,))
-    leaders = long.groupBy("s", "band", F.pmod(F.xxhash64("cls"), F.lit(LEADERS)).alias("slot")).agg(F.min("cls").alias("cls")).join(long.select("s", "cls", "n", "pos"), ["s", "cls"])
-    tried = step(few.unionByName(_pairs(leaders, long, ["s", "band"], percent)).distinct(), (few,))
-    # sets of the classes that may be compared, from one text each
-    asked = tried.select(F.col("a").alias("cls")).union(tried.select("b")).union(long.select("cls")).distinct()
+    met = step(_pairs(short, short, ["s"], percent, F.col("x.cls") < F.col("y.cls")).groupBy("a", "b").agg(F.count("*").alias("met")), (entries,))
+    few = met.where("met > 1").select("a", "b")
+    # sets and sketches of the classes that may be compared, from one text each
+    asked = few.select(F.col("a").alias("cls")).union(few.select("b")).union(long.select("cls")).distinct()
     wanted = step(rows.groupBy("cls", "k").agg(F.count("*").alias("same")).join(asked, "cls").groupBy("cls").agg(F.min(F.struct("same", "k")).alias("w")).select("cls", "w.k", "w.same"))
-    sets = step(batches(one_text(texts, wanted), _sets(size), "cls long, members binary"), (wanted,))
+    sets = step(batches(one_text(texts, wanted), _sets(size), "cls long, n long, sketch binary, members binary"), (wanted,))
+    # long lists in rounds: a member meets one leader at a time, and who is joined to a list's leader meets it no more
+    lead = long.groupBy("s", "band").agg(F.min("cls").alias("cls")).join(long.select("s", "cls", "n", "pos"), ["s", "cls"])
+    led = step(_led(lead, long, percent))
+    turn = few.unionByName(led.groupBy(F.col("cls").alias("m")).agg(F.min("lead").alias("l")).select(F.least("l", "m").alias("a"), F.greatest("l", "m").alias("b"))).distinct()
+    tried = step(turn)
     edges = step(links(tried, sets, percent))
     known = components(edges)
-
-    # whoever is outside a long list's main component meets all others of the list
-    placed = step(long.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    for _ in range(ROUNDS):
+        root = {c: known.select(F.col("cls").alias(c), F.col("root").alias(f"r{c}")) for c in ("lead", "cls")}
+        apart = led.join(root["lead"], "lead", "left").join(root["cls"], "cls", "left").where(F.coalesce("rlead", "lead") != F.coalesce("rcls", "cls"))
+        apart = apart.select("cls", "lead", F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).join(tried, ["a", "b"], "left_anti")
+        turn = step(apart.groupBy("cls").agg(F.min(F.struct("lead", "a", "b")).alias("t")).select("t.a", "t.b").distinct())
+        more = step(links(turn, sets, percent))
+        tried = step(tried.unionByName(turn), (tried, turn))
+        if not more.isEmpty():
+            edges = step(edges.unionByName(more), (edges,))
+            known = components(edges)
+
+    # whoever is outside a long list's main component meets all others of the list; a pair shares two short or long lists at least
+    placed = step(long.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), (led,))
     main = placed.groupBy("s", "root").agg(F.count("*").alias("size")).groupBy("s").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
     rest = placed.join(main, "s").where("root <> main").drop("main")
-    late = _pairs(rest, placed, ["s"], percent, F.col("x.root") != F.col("y.root")).distinct().join(tried, ["a", "b"], "left_anti")
+    late = _pairs(rest, placed, ["s"], percent, F.col("x.root") != F.col("y.root"))
+    late = late.groupBy("a", "b").agg(F.count("*").alias("seen")).join(met, ["a", "b"], "left").join(tried, ["a", "b"], "left_anti")
+    late = step(late.where(F.col("seen") + F.coalesce("met", F.lit(0)) > 1).select("a", "b"))
     more = step(links(late, sets, percent), (long, placed))
-    drop(sets, tried)
+    drop(sets, tried, met, late)
     if not more.isEmpty():
         known = components(edges.unionByName(more))
     return rows.join(known, "cls", "left").select("k", "doc_id", "cls", "n", F.coalesce("root", "cls").alias("root"))
