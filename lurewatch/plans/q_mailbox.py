@@ -124,14 +124,14 @@ def win_growing_index(spark, d):
 
 @query
 def sc_thread_verdict(spark, d):
-    v = TH.verify(thread_rows(spark, d), min_index=20)
+    v = TH.verify(thread_rows(spark, d))
     return rounded(v.select("message_id", "claims_thread", "indexed", F.col("q_tokens").cast("bigint").alias("q_tokens"), "quote_match", "matched", "fabricated", "indeterminate"))
 
 
 @query
 def ev_thread_replay(spark, d):
     """Replay of the growing index per mailbox."""
-    v = TH.verify(thread_rows(spark, d), min_index=20)
+    v = TH.verify(thread_rows(spark, d))
     return rounded(v.groupBy("mailbox").agg(
         F.count_if("claims_thread").alias("claims"), F.count_if("matched").alias("matched"), F.count_if("indeterminate").alias("indeterminate"),
         F.count_if("fabricated").alias("fabricated"), (F.count_if("fabricated") / F.greatest(F.count_if("claims_thread"), F.lit(1))).alias("rate")))

@@ -115,7 +115,7 @@ STRUCT = list(feature_names())
 
 
 def wording(df):
-    return M.wording_pipeline(char_slots=1 << 16).fit(M.with_char_grams(df.where("split = 'train'"), "text"))
+    return M.wording_pipeline().fit(M.with_char_grams(df.where("split = 'train'"), "text"))
 
 
 def structural(df):

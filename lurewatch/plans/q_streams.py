@@ -144,8 +144,12 @@ def event_stream(spark, d):
 
 @query
 def st_band_counts(spark, d):
-    """Running counts per hour and class."""
-    return windows(spark, d, J.window_counts(event_stream(spark, d), "ts", "kind", "1 hour"))
+    """Scored mail per hour and band, in append mode: an hour is written once the watermark has passed it, and its state goes."""
+    out = scratch(spark, "bands")
+    mail = scored(spark, d).select(F.col("sent_at").cast("timestamp").alias("sent_at"), "band")
+    counts = J.window_counts(landed(spark, mail, "sent_at", out), "sent_at", "band", "1 hour")
+    J.to_parquet(counts.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("win"), F.col("band").alias("kind"), "n"), f"{out}/rows", f"{out}/cp")
+    return spark.read.schema("win string, kind string, n bigint").parquet(f"{out}/rows")
 
 
 @query

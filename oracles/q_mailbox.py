@@ -58,9 +58,9 @@ ORACLE["win_growing_index"] = q("SELECT message_id, indexed FROM indexed", "inde
 cte("verdicts", ("threads", "indexed", "sh_match"), f"""
 WITH b AS (SELECT t.mailbox, t.message_id, t.quoted <> '' AS claims_thread, i.indexed, len(regexp_extract_all(lower(t.quoted), {s(P.WORD_TOKEN)})) AS q_tokens,
     coalesce(m.q_found / m.q_shingles, 0) AS quote_match FROM threads t JOIN indexed i USING (message_id) LEFT JOIN sh_match m USING (message_id))
-SELECT mailbox, message_id, claims_thread, indexed, q_tokens, round(quote_match, 6) AS quote_match, claims_thread AND indexed >= 20 AND quote_match >= 0.25 AS matched,
-  claims_thread AND indexed >= 20 AND quote_match < 0.25 AND q_tokens >= 25 AS fabricated,
-  claims_thread AND (indexed < 20 OR (quote_match < 0.25 AND q_tokens < 25)) AS indeterminate FROM b""")
+SELECT mailbox, message_id, claims_thread, indexed, q_tokens, round(quote_match, 6) AS quote_match, claims_thread AND indexed >= 200 AND quote_match >= 0.25 AS matched,
+  claims_thread AND indexed >= 200 AND quote_match < 0.25 AND q_tokens >= 25 AS fabricated,
+  claims_thread AND (indexed < 200 OR (quote_match < 0.25 AND q_tokens < 25)) AS indeterminate FROM b""")
 ORACLE["sc_thread_verdict"] = q("SELECT message_id, claims_thread, indexed, q_tokens, quote_match, matched, fabricated, indeterminate FROM verdicts", "verdicts")
 ORACLE["ev_thread_replay"] = q("""SELECT mailbox, count(*) FILTER (claims_thread) AS claims, count(*) FILTER (matched) AS matched, count(*) FILTER (indeterminate) AS indeterminate,
   count(*) FILTER (fabricated) AS fabricated, round(count(*) FILTER (fabricated) / greatest(count(*) FILTER (claims_thread), 1), 6) AS rate FROM verdicts GROUP BY 1""", "verdicts")

@@ -24,7 +24,9 @@ ORACLE["st_style_update"] = q("SELECT address, trait, count(value) AS n, round(a
 ORACLE["st_history_update"] = q("""SELECT address, count(*) FILTER (direction = 'received') AS received, count(*) FILTER (direction = 'sent') AS sent_to, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen
 FROM mail_log GROUP BY 1""", "mail_log")
 ORACLE["st_thread_index"] = q("SELECT message_id, q_shingles, q_found FROM sh_match", "sh_match")
-ORACLE["st_band_counts"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS win, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2"
+ORACLE["st_band_counts"] = q("""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS win, band AS kind, count(*) AS n FROM (
+  SELECT date_trunc('hour', sent_at) AS w, band, max(sent_at) OVER () AS last FROM sev JOIN (SELECT message_id, sent_at FROM messages) USING (message_id))
+WHERE w + INTERVAL 2 HOUR <= last GROUP BY 1, 2""", "sev", "messages")
 ORACLE["st_sliding_counts"] = """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS win, event_type AS kind, count(*) AS n FROM (
   SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY 1, 2"""
 ORACLE["st_session_counts"] = """SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS win, event_type AS kind, count(*) AS n FROM (

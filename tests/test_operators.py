@@ -193,3 +193,18 @@ def test_style_update_over_two_batches_equals_one(spark, tmp_path):
     for w in want:
         g = got[(w["address"], w["trait"])]
         assert g["n"] == w["n"] and g["mean"] == pytest.approx(w["mean"]) and (g["m2"] / (g["n"] - 1)) ** 0.5 == pytest.approx(w["sd"], abs=1e-6)
+
+
+@pytest.mark.parametrize("held", [199, 200])
+def test_thread_verdict_needs_an_index_of_two_hundred(spark, held):
+    """A genuine quote matches and an invented one is fabricated, but only where the mailbox holds enough mail before."""
+    from lurewatch.operators.threads import verify
+    start, words = datetime(2024, 1, 1), "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+    said = [" ".join(words[(i + j * (1 + i % 7)) % 24] + str(i) for j in range(40)) for i in range(held)]
+    rows = [("m", f"o{i}", start + timedelta(minutes=i), t, "") for i, t in enumerate(said)]
+    later = start + timedelta(days=2)
+    rows += [("m", "genuine", later, "Yes.", said[3]), ("m", "invented", later, "Yes.", " ".join(f"never{i}" for i in range(40))), ("m", "short", later, "Yes.", "never said this"), ("m", "new", later, "Hi.", "")]
+    got = {r["message_id"]: (r["matched"], r["fabricated"], r["indeterminate"]) for r in verify(spark.createDataFrame(rows, "mailbox string, message_id string, sent_at timestamp, body string, quoted string")).collect()}
+    unsure = (False, False, True)
+    assert got["genuine"] == ((True, False, False) if held == 200 else unsure) and got["invented"] == ((False, True, False) if held == 200 else unsure)
+    assert got["short"] == unsure and got["new"] == got["o1"] == (False, False, False)
