@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lurewatch.operators.skew import in_ranges
+
 THRESHOLDS = (0.5, 0.7, 0.8, 0.9, 0.95, 0.99)
 
 
@@ -37,9 +39,9 @@ def roc_auc(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def _prefix_scores(g: DataFrame, keys: list[str]) -> DataFrame:
-    """Add pos_below, neg_below: counts at strictly smaller scores. Ranked in 1000 score slices, so the only window
-    over a whole key runs on at most 1001 rows."""
-    g = g.withColumn("_b", F.floor(F.col("p") * 1000))
+    """Add pos_below, neg_below: counts at strictly smaller scores. Scores are cut into ranges of about equal size, so piled-up scores
+    spread too, and the only window over a whole key runs on a row per range."""
+    g = in_ranges(g, [*keys, "p"])
     per = g.groupBy(*keys, "_b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_b", F.coalesce(F.sum("bp").over(w), F.lit(0)).alias("ep"), F.coalesce(F.sum("bn").over(w), F.lit(0)).alias("en"))

@@ -72,7 +72,7 @@ def signals(probe: DataFrame, addresses: DataFrame, domains: DataFrame, as_of: C
     })
 
 
-def history_asof(df: DataFrame, keys: list[str], ts: Column, received: Column, sent: Column, bucket: Column) -> DataFrame:
+def history_asof(df: DataFrame, keys: list[str], ts: Column, received: Column, sent: Column, bucket: Column | None = None) -> DataFrame:
     """Counts, first and last sighting and the hours seen, over strictly earlier rows of the same keys.
 
     Hours travel as a 24-bit mask, so the running state stays five numbers per row.

@@ -39,12 +39,19 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def prefix_before(df: DataFrame, keys: list[str], order: Column, bucket: Column, aggs: dict[str, tuple[str, Column]]) -> DataFrame:
+def in_ranges(df: DataFrame, order: list[str], name: str = "_b") -> DataFrame:
+    """Add the number of the range a row falls in, as a written table. Ranges are cut at sampled quantiles of the order, so each holds about
+    as many rows wherever values pile up; rows of equal order share one, and the number grows with the order."""
+    from lurewatch.session import cut_lineage
+    return cut_lineage(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
+def prefix_before(df: DataFrame, keys: list[str], order: Column, bucket: Column | None, aggs: dict[str, tuple[str, Column]]) -> DataFrame:
     """Running aggregates over the rows of the same key with a strictly smaller `order`.
 
-    `aggs` maps an output name to ("sum" | "min" | "max" | "bit_or", value). `bucket` must grow with `order` (a day, an
-    hour, a score slice). Rows are first reduced per (key, bucket); a window over those few rows gives what lies in
-    earlier buckets, and a window inside one bucket gives the rest. No window ever spans a whole key.
+    `aggs` maps an output name to ("sum" | "min" | "max" | "bit_or", value). Rows are first reduced per (key, bucket); a window over
+    those few rows gives what lies in earlier buckets, and a window inside one bucket gives the rest. No window ever spans a
+    whole key. `bucket` must grow with `order` (a day, an hour); without one, rows are cut into ranges of equal size.
     """
     fold = {"sum": F.sum, "min": F.min, "max": F.max, "bit_or": F.bit_or}
 
@@ -55,7 +62,8 @@ def prefix_before(df: DataFrame, keys: list[str], order: Column, bucket: Column,
             return F.coalesce(a, F.lit(0)).bitwiseOR(F.coalesce(b, F.lit(0)))
         return (F.least if how == "min" else F.greatest)(a, b)
 
-    df = df.withColumns({"_o": order, "_b": bucket, **{f"_v_{n}": v for n, (_, v) in aggs.items()}})
+    df = df.withColumns({"_o": order, **{f"_v_{n}": v for n, (_, v) in aggs.items()}})
+    df = df.withColumn("_b", bucket) if bucket is not None else in_ranges(df, [*keys, "_o"])
     per = df.groupBy(*keys, "_b").agg(*[fold[h](f"_v_{n}").alias(f"_p_{n}") for n, (h, _) in aggs.items()])
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_b", *[fold[h](f"_p_{n}").over(earlier).alias(f"_e_{n}") for n, (h, _) in aggs.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.functions.threads import shingles_of, tokens
@@ -32,9 +32,9 @@ def quote_match(df: DataFrame, index: DataFrame) -> DataFrame:
     return hit.groupBy("message_id").agg(F.count("*").alias("q_shingles"), F.count_if(seen).alias("q_found"))
 
 
-def index_size(df: DataFrame, bucket: Column) -> DataFrame:
+def index_size(df: DataFrame) -> DataFrame:
     """How many messages the mailbox held strictly before each one."""
-    out = prefix_before(df.select("mailbox", "message_id", "sent_at"), ["mailbox"], F.unix_micros("sent_at"), bucket,
+    out = prefix_before(df.select("mailbox", "message_id", "sent_at"), ["mailbox"], F.unix_micros("sent_at"), None,
                         {"indexed": ("sum", F.lit(1).cast("bigint"))})
     return out.select("message_id", "indexed")
 
@@ -42,7 +42,7 @@ def index_size(df: DataFrame, bucket: Column) -> DataFrame:
 def verify(df: DataFrame, min_index: int = MIN_INDEX) -> DataFrame:
     """Thread verdict per message of (mailbox, message_id, sent_at, body, quoted): the index grows in date order, so a
     message never vouches for itself or for anything earlier than it."""
-    sized = index_size(df, F.date_trunc("hour", F.col("sent_at")))
+    sized = index_size(df)
     matched = quote_match(df, shingle_index(df))
     n_tok = F.size(tokens(F.col("quoted")))
     out = df.select("mailbox", "message_id", "sent_at", (F.col("quoted") != "").alias("claims_thread"), n_tok.alias("q_tokens"))

@@ -83,7 +83,7 @@ def join_history_asof(spark, d):
     """History of the sending domain as of each message: strictly earlier rows only."""
     lg = log(spark, d)
     got = (F.col("direction") == "received").cast("bigint")
-    df = H.history_asof(lg, ["domain"], F.col("ts"), got, F.lit(1).cast("bigint") - got, F.date_trunc("hour", F.col("ts")))
+    df = H.history_asof(lg, ["domain"], F.col("ts"), got, F.lit(1).cast("bigint") - got)
     return df.select("event_id", "hist_received", "hist_sent", F.col("hist_first").cast("bigint").alias("hist_first"), F.col("hist_last").cast("bigint").alias("hist_last"),
                      F.col("hist_hours").cast("bigint").alias("hist_hours"))
 
@@ -119,7 +119,7 @@ def join_thread_shingles(spark, d):
 
 @query
 def win_growing_index(spark, d):
-    return TH.index_size(thread_rows(spark, d), F.date_trunc("hour", F.col("sent_at")))
+    return TH.index_size(thread_rows(spark, d))
 
 
 @query

@@ -14,11 +14,12 @@ from lurewatch.operators.skew import first_per_key, prefix_before, salted_lookup
 from lurewatch.rules.lexicons import BANKS, compile_bank, prefix_free, seeds, trie_pattern
 
 
-def test_prefix_before_counts_strictly_earlier_rows(spark):
+@pytest.mark.parametrize("bucket", [None, "tens"])
+def test_prefix_before_counts_strictly_earlier_rows(spark, bucket):
     rng = random.Random(1)
     rows = [(i, "hot" if rng.random() < 0.5 else f"k{rng.randrange(4)}", rng.randrange(200)) for i in range(400)]
     df = spark.createDataFrame(rows, "id bigint, k string, t bigint")
-    out = prefix_before(df, ["k"], F.col("t"), F.floor(F.col("t") / 10), {"n": ("sum", F.lit(1).cast("bigint")), "lo": ("min", F.col("t"))}).collect()
+    out = prefix_before(df, ["k"], F.col("t"), F.floor(F.col("t") / 10) if bucket else None, {"n": ("sum", F.lit(1).cast("bigint")), "lo": ("min", F.col("t"))}).collect()
     for r in out:
         before = [t for _, k, t in rows if k == r["k"] and t < r["t"]]
         assert r["n"] == len(before) and r["lo"] == (min(before) if before else None)
@@ -208,3 +209,11 @@ def test_thread_verdict_needs_an_index_of_two_hundred(spark, held):
     unsure = (False, False, True)
     assert got["genuine"] == ((True, False, False) if held == 200 else unsure) and got["invented"] == ((False, True, False) if held == 200 else unsure)
     assert got["short"] == unsure and got["new"] == got["o1"] == (False, False, False)
+
+
+def test_ranges_hold_equal_shares_of_piled_up_scores(spark):
+    from lurewatch.operators.skew import in_ranges
+    rng = random.Random(4)
+    rows = [(round(rng.uniform(0.99, 1) if rng.random() < 0.9 else rng.random(), 9),) for _ in range(20_000)]
+    sizes = sorted(r["count"] for r in in_ranges(spark.createDataFrame(rows, "p double").repartition(6), ["p"]).groupBy("_b").count().collect())
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
