@@ -5,6 +5,7 @@ import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lurewatch.rules.lexicons import compile_banks, load_banks
 
@@ -16,23 +17,28 @@ def mail(i, sender, body="I need you to buy gift cards today. This is strictly c
 
 
 def test_a_sender_without_an_address_is_scored(spark, tmp_path):
+    from lurewatch.operators.intent import fit_intent
+    from lurewatch.plans.scoring import scored_rows
     from lurewatch.streaming.jobs import alerts
     batch = spark.createDataFrame([mail(1, "IT Helpdesk"), mail(2, None), mail(3, "Ann <a@b.example>", None)], MAIL)
-    alerts(str(tmp_path), "INFORMATIONAL")(batch, 0)
+    model = fit_intent(scored_rows(batch).withColumn("label", F.lit(1)))
+    alerts(str(tmp_path), model, floor="INFORMATIONAL")(batch, 0)
     assert {r["message_id"] for r in spark.read.parquet(f"{tmp_path}/alerts").collect()} == {1, 2, 3}
     assert spark.read.parquet(f"{tmp_path}/dead_letter/batch=0").count() == 0
 
 
-def test_state_comes_from_the_newest_committed_version(spark, tmp_path):
-    from lurewatch.streaming.jobs import history_update
+def test_state_reads_committed_segments_only(spark, tmp_path):
+    from lurewatch.streaming.jobs import history_state, history_update
     rows = spark.createDataFrame([("a@x.example", "received", datetime(2024, 1, 1))], "address string, direction string, ts timestamp")
-    each = history_update(str(tmp_path / "h"))
+    state = history_state(str(tmp_path / "h"))
+    each = history_update(state)
     each(rows, 0)
-    (tmp_path / "h" / "v=1").mkdir()  # begun, never committed
-    each(rows, 3)
-    assert spark.read.parquet(f"{tmp_path}/h/v=3").first()["received"] == 2
+    (tmp_path / "h" / "s=1-1").mkdir()  # begun, never committed
+    assert state.read(spark).first()["received"] == 1
+    each(rows, 1)
+    assert state.read(spark).first()["received"] == 2
     with pytest.raises(RuntimeError):
-        history_update(str(tmp_path / "other"))(rows, 1)
+        history_update(history_state(str(tmp_path / "other")))(rows, 1)
 
 
 def test_a_landed_file_is_in_the_next_query(spark, tmp_path):
