@@ -250,12 +250,15 @@ def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     # whoever is outside a long list's main component meets all others of the list; a pair shares two short or long lists at least
     placed = step(long.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), (led,))
     main = placed.groupBy("s", "root").agg(F.count("*").alias("size")).groupBy("s").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    rest = placed.join(main, "s").where("root <> main").drop("main")
-    late = _pairs(rest, placed, ["s"], percent, F.col("x.root") != F.col("y.root"))
-    late = late.groupBy("a", "b").agg(F.count("*").alias("seen")).join(met, ["a", "b"], "left").join(tried, ["a", "b"], "left_anti")
+    placed = placed.join(main, "s").withColumn("out", F.col("root") != F.col("main"))
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & _fits("x", "y", percent)
+    late = placed.where("out").alias("x").join(placed.alias("y"), on)
+    # two outsiders meet from both sides, so each side counts half of a list
+    late = late.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).agg((F.sum(F.when(F.col("y.out"), 1).otherwise(2)) / 2).alias("seen"))
+    late = late.join(met, ["a", "b"], "left").join(tried, ["a", "b"], "left_anti")
     late = step(late.where(F.col("seen") + F.coalesce("met", F.lit(0)) > 1).select("a", "b"))
-    more = step(links(late, sets, percent), (long, placed))
-    drop(sets, tried, met, late)
+    more = step(links(late, sets, percent))
+    drop(long, sets, tried, met, late)
     if not more.isEmpty():
         known = components(edges.unionByName(more))
     return rows.join(known, "cls", "left").select("k", "doc_id", "cls", "n", F.coalesce("root", "cls").alias("root"))
