@@ -8,11 +8,13 @@ which are never merged: a candidate is settled by binary probes of the smaller s
 (frequency, hash), where the frequencies come from a hash sample of classes and at most HOT shingles; any order gives
 the same links, a good one gives few candidates.
 
-No list is opened into all its pairs unless it is short (SHORT classes). In a longer list every member may meet the leader of its
-size band, the smallest class: one leader a member and round, first of all its lists, then of those whose leader it is not joined to
-yet. Then only members outside the list's main component meet the others, if they share a second list. That leaves no link between
-different components unseen, and needs no comparison inside one. Before two whole sets meet, their sketches (counts in hash slots) do:
-the sum of the smaller counts is never less than the overlap, so a pair that it rejects is no link.
+No list is opened into all its pairs unless it is short (SHORT classes). A longer list elects a leader in each size band: the most
+central class, which is the one that stands in most long lists (what a copy has of its own comes first in the order and fills its short
+lists). A member meets one leader a round, the most central of its lists. In the rounds that follow, a list's main component
+rests, and who is outside elects and meets a new leader. What is left then meets pair by pair: members outside the main component
+and all others that share a second list, a hashed slice of these pairs first and the rest only where that joined nothing. That leaves
+no link between different components unseen, and needs no comparison inside one. Before two whole sets meet, their sketches (counts in
+hash slots) do: the sum of the smaller counts is never less than the overlap, so a pair that it rejects is no link.
 
 Result: one row per document with its set size and the smallest doc_id reachable by links. Null and wordless texts have no
 shingles and no links. Repeated rows are one class; a null doc_id takes part, but is only reported if its component has no
@@ -31,7 +33,7 @@ from lurewatch.llm.repeats import drop, keyed, signed, step
 
 SIZE, PERCENT = 4, 85
 SAMPLE, HOT = 8, 1 << 17
-SHORT, ROUNDS = 16, 2
+SHORT, ROUNDS, SLICE = 16, 2, 16
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -193,10 +195,22 @@ def _pairs(left: DataFrame, right: DataFrame, keys: list[str], percent: int, mor
     return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
 
 
-def _led(leaders: DataFrame, long: DataFrame, percent: int) -> DataFrame:
-    """(lead, cls) for every member of a long list and the leader of its size band, where the bounds allow a link."""
-    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") != F.col("y.cls")) & _fits("x", "y", percent)
-    return leaders.alias("x").join(long.alias("y"), on).select(F.col("x.cls").alias("lead"), F.col("y.cls").alias("cls")).distinct()
+def _leaders(members: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b) of every member and one leader: of its lists' bands, the most central that the bounds let it link with and that it was not
+    compared with. `members` are the entries that elect and are led."""
+    lead = members.groupBy("s", "band").agg(F.max_by(F.struct("cls", "n", "pos", "lists", "root"), F.struct("lists", "cls")).alias("w")).select("s", "band", "w.*")
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & _fits("x", "y", percent)
+    led = lead.alias("x").join(members.alias("y"), on).select(F.col("x.cls").alias("lead"), F.col("x.lists"), F.col("y.cls").alias("m"), F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    if tried is not None:
+        led = led.groupBy("a", "b", "m").agg(F.max(F.struct("lists", "lead")).alias("w")).join(tried, ["a", "b"], "left_anti").select("a", "b", "m", "w.*")
+    return led.groupBy("m").agg(F.max(F.struct("lists", "lead", "a", "b")).alias("w")).select("w.a", "w.b").distinct()
+
+
+def _placed(long: DataFrame, known: DataFrame) -> DataFrame:
+    """The entries of the long lists with their classes' components; `out`: not of the list's main component."""
+    placed = long.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    main = placed.groupBy("s", "root").agg(F.count("*").alias("size")).groupBy("s").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    return placed.join(main, "s").withColumn("out", F.col("root") != F.col("main")).drop("main")
 
 
 def one_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -222,25 +236,22 @@ def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     entries = step(entries.join(shared, "s", "left_semi").distinct(), (entries, shared))
     lists = step(entries.groupBy("s").agg(F.count("*").alias("c")))
     entries = step(entries.join(lists, "s").withColumn("band", F.floor(4 * F.log2("n")).cast("int")), (entries, lists))
-    short, long = entries.where(F.col("c") <= SHORT), step(entries.where(F.col("c") > SHORT))
+    short, long = entries.where(F.col("c") <= SHORT), entries.where(F.col("c") > SHORT)
+    long = step(long.join(long.groupBy("cls").agg(F.count("*").alias("lists")), "cls"))
     met = step(_pairs(short, short, ["s"], percent, F.col("x.cls") < F.col("y.cls")).groupBy("a", "b").agg(F.count("*").alias("met")), (entries,))
     few = met.where("met > 1").select("a", "b")
     # sets and sketches of the classes that may be compared, from one text each
     asked = few.select(F.col("a").alias("cls")).union(few.select("b")).union(long.select("cls")).distinct()
     wanted = step(rows.groupBy("cls", "k").agg(F.count("*").alias("same")).join(asked, "cls").groupBy("cls").agg(F.min(F.struct("same", "k")).alias("w")).select("cls", "w.k", "w.same"))
     sets = step(batches(one_text(texts, wanted), _sets(size), "cls long, n long, sketch binary, members binary"), (wanted,))
-    # long lists in rounds: a member meets one leader at a time, and who is joined to a list's leader meets it no more
-    lead = long.groupBy("s", "band").agg(F.min("cls").alias("cls")).join(long.select("s", "cls", "n", "pos"), ["s", "cls"])
-    led = step(_led(lead, long, percent))
-    turn = few.unionByName(led.groupBy(F.col("cls").alias("m")).agg(F.min("lead").alias("l")).select(F.least("l", "m").alias("a"), F.greatest("l", "m").alias("b"))).distinct()
-    tried = step(turn)
+    # long lists in rounds: a member meets one leader at a time, and the main component of a list rests after the first
+    turn = _leaders(long.withColumn("root", F.col("cls")), None, percent)
+    tried = step(few.unionByName(turn).distinct())
     edges = step(links(tried, sets, percent))
     known = components(edges)
     for _ in range(ROUNDS):
-        root = {c: known.select(F.col("cls").alias(c), F.col("root").alias(f"r{c}")) for c in ("lead", "cls")}
-        apart = led.join(root["lead"], "lead", "left").join(root["cls"], "cls", "left").where(F.coalesce("rlead", "lead") != F.coalesce("rcls", "cls"))
-        apart = apart.select("cls", "lead", F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).join(tried, ["a", "b"], "left_anti")
-        turn = step(apart.groupBy("cls").agg(F.min(F.struct("lead", "a", "b")).alias("t")).select("t.a", "t.b").distinct())
+        out = step(_placed(long, known).where("out"))
+        turn = step(_leaders(out, tried, percent), (out,))
         more = step(links(turn, sets, percent))
         tried = step(tried.unionByName(turn), (tried, turn))
         if not more.isEmpty():
@@ -248,17 +259,22 @@ def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
             known = components(edges)
 
     # whoever is outside a long list's main component meets all others of the list; a pair shares two short or long lists at least
-    placed = step(long.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), (led,))
-    main = placed.groupBy("s", "root").agg(F.count("*").alias("size")).groupBy("s").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    placed = placed.join(main, "s").withColumn("out", F.col("root") != F.col("main"))
+    placed = step(_placed(long, known), (long,))
     on = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & _fits("x", "y", percent)
     late = placed.where("out").alias("x").join(placed.alias("y"), on)
     # two outsiders meet from both sides, so each side counts half of a list
     late = late.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).agg((F.sum(F.when(F.col("y.out"), 1).otherwise(2)) / 2).alias("seen"))
     late = late.join(met, ["a", "b"], "left").join(tried, ["a", "b"], "left_anti")
-    late = step(late.where(F.col("seen") + F.coalesce("met", F.lit(0)) > 1).select("a", "b"))
-    more = step(links(late, sets, percent))
-    drop(long, sets, tried, met, late)
+    late = step(late.where(F.col("seen") + F.coalesce("met", F.lit(0)) > 1).select("a", "b"), (placed, met, tried))
+    first = F.pmod(F.xxhash64("a", "b"), F.lit(SLICE)) == 0
+    more = step(links(late.where(first), sets, percent))
+    if not more.isEmpty():
+        edges = step(edges.unionByName(more), (edges,))
+        known = components(edges)
+    roots = {c: known.select(F.col("cls").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")}
+    apart = late.where(~first).join(roots["a"], "a", "left").join(roots["b"], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    more = step(links(step(apart.select("a", "b")), sets, percent))
+    drop(sets, late)
     if not more.isEmpty():
         known = components(edges.unionByName(more))
     return rows.join(known, "cls", "left").select("k", "doc_id", "cls", "n", F.coalesce("root", "cls").alias("root"))
