@@ -34,6 +34,8 @@ from lurewatch.llm.repeats import drop, keyed, signed, step
 SIZE, PERCENT = 4, 85
 SAMPLE, HOT = 8, 1 << 17
 SHORT, ROUNDS, SLICE = 16, 2, 16
+#: Text bytes of a slice; a set takes some ten bytes for a byte of text while it is made.
+BYTES = 1 << 20
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -223,14 +225,14 @@ def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     """(k, doc_id, cls, n, root) of every row: its class, set size and component."""
     texts = keyed(docs)
     kind = dict(docs.dtypes)["doc_id"]
-    rows = step(batches(texts.select("k", "doc_id", "text"), _classes(size), f"k long, doc_id {kind}, cls long, n long"))
+    rows = step(batches(texts.select("k", "doc_id", "text"), _classes(size), f"k long, doc_id {kind}, cls long, n long", BYTES))
     only = texts.select("text")
-    seen = batches(only, _sampled(size, SAMPLE), "s long").groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    seen = batches(only, _sampled(size, SAMPLE), "s long", BYTES).groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     seen = step(seen.orderBy(F.desc("c"), "s").limit(HOT)).orderBy(F.desc("c"), "s").toPandas()  # at most HOT rows of 16 bytes
     by = np.argsort(seen["s"].to_numpy(np.int64).view(U64))
     rank = np.arange(len(seen), 0, -1)[by]  # the most frequent ranks last
     hot = docs.sparkSession.sparkContext.broadcast((seen["s"].to_numpy(np.int64).view(U64)[by], rank))
-    entries = step(batches(only, _prefixes(size, percent, hot), "s long, cls long, n int, pos int"))
+    entries = step(batches(only, _prefixes(size, percent, hot), "s long, cls long, n int, pos int", BYTES))
     shared = entries.groupBy("s").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("s")
     shared = step(shared)
     entries = step(entries.join(shared, "s", "left_semi").distinct(), (entries, shared))
@@ -243,7 +245,7 @@ def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     # sets and sketches of the classes that may be compared, from one text each
     asked = few.select(F.col("a").alias("cls")).union(few.select("b")).union(long.select("cls")).distinct()
     wanted = step(rows.groupBy("cls", "k").agg(F.count("*").alias("same")).join(asked, "cls").groupBy("cls").agg(F.min(F.struct("same", "k")).alias("w")).select("cls", "w.k", "w.same"))
-    sets = step(batches(one_text(texts, wanted), _sets(size), "cls long, n long, sketch binary, members binary"), (wanted,))
+    sets = step(batches(one_text(texts, wanted), _sets(size), "cls long, n long, sketch binary, members binary", BYTES), (wanted,))
     # long lists in rounds: a member meets one leader at a time, and the main component of a list rests after the first
     turn = _leaders(long.withColumn("root", F.col("cls")), None, percent)
     tried = step(few.unionByName(turn).distinct())
