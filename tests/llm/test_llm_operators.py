@@ -2,6 +2,7 @@
 tables and columns with clashing names."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,6 +108,26 @@ def test_jaccard_without_any_link(spark):
     assert rows_of(jaccard_join.jaccard_components(docs_frame(spark, rows))) == plain10(rows)
 
 
+def test_jaccard_long_lists(spark):
+    """Lists above SHORT: a text with edited copies, copies of copies far from it, and strangers that share a passage."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(90)]
+
+    def edited(words, n):
+        words = list(words)
+        for p in rng.sample(range(len(words)), n):
+            words[p] = f"e{rng.random()}"
+        return words
+    far = edited(base, 4)
+    texts = [base] + [edited(base, 1 + i % 4) for i in range(40)] + [edited(far, i % 3) for i in range(25)]
+    texts += [base[20:60] + [f"s{i}x{j}" for j in range(i % 12)] for i in range(30)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want = plain10(rows)
+    assert len({c for _, _, c in want}) > 2 and max(Counter(c for _, _, c in want).values()) > jaccard_join.SHORT
+    assert rows_of(jaccard_join.jaccard_components(docs_frame(spark, rows))) == want
+
+
 def test_one_document_of_each_group_stays(spark, corpus):
     kept = jaccard_join.one_of_each(docs_frame(spark, corpus))
     root = {}
