@@ -162,7 +162,10 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold. Sketches of fixed size settle most that do not, whole sets meet for the rest."""
     small = [sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")]
     near = step(pairs.join(small[0], "a").join(small[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a long, b long"))
-    left, right = (sets.select(F.col("cls").alias(c), F.col("members").alias(f"m{c}")) for c in ("a", "b"))
+    # the classes of the pairs that are left, as a table of known size: where it is small, no other set is shuffled
+    asked = step(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct())
+    wanted = sets.select("cls", "members").join(asked, "cls", "left_semi")
+    left, right = (wanted.select(F.col("cls").alias(c), F.col("members").alias(f"m{c}")) for c in ("a", "b"))
     return near.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_linked(percent), "a long, b long")
 
 
