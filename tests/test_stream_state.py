@@ -96,3 +96,16 @@ def test_dense_index(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("v")).repartition(7)
     got = {r["v"]: r["place"] for r in dense_index(df, [F.col("v")], "place").collect()}
     assert got == {v: i for i, v in enumerate(sorted(got))} and len(got) == 1000
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_stream_reads_tables_of_one_file_and_of_many(spark, tmp_path, parts):
+    from lurewatch.plans.q_streams import DOCS
+    rows = [(i, f"text {i}", "en", "web", 6) for i in range(40)]
+    spark.createDataFrame(rows, DOCS).repartition(parts or 1).write.parquet(f"{tmp_path}/{'d/documents.parquet' if parts else 'w'}")
+    if not parts:
+        (tmp_path / "d").mkdir()
+        next((tmp_path / "w").glob("part-*.parquet")).rename(tmp_path / "d" / "documents.parquet")
+    (tmp_path / "d" / "labels.parquet").mkdir()
+    J.to_parquet(J.table_source(spark, f"{tmp_path}/d", "documents", DOCS), f"{tmp_path}/rows", f"{tmp_path}/cp")
+    assert rows_of(spark.read.parquet(f"{tmp_path}/rows")) == sorted(rows, key=repr)
