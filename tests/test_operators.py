@@ -85,6 +85,46 @@ def test_near_groups_equal_brute_force(spark, most):
     assert got == spanning(signed, 6) and got
 
 
+def near_values(rng, centres, around):
+    """Signed 64-bit values in clouds of up to `around` values some bits apart."""
+    vals = set()
+    for i in range(centres):
+        b = rng.getrandbits(64)
+        for _ in range(around if i == 0 else 6):
+            v = b
+            for bit in rng.sample(range(64), rng.randint(0, 7)):
+                v ^= 1 << bit
+            vals.add(v - (1 << 64) if v >= 1 << 63 else v)
+    return sorted(vals)
+
+
+def apart(a, b):
+    return bin((a ^ b) & ((1 << 64) - 1)).count("1")
+
+
+@pytest.mark.parametrize("most, chunk", [(1, 7), (1000, 1 << 14), (1000, 20)])
+def test_near_pairs_equal_brute_force(spark, most, chunk):
+    """Every pair once, whatever the number of blocks and however buckets are cut into tiles."""
+    vals = near_values(random.Random(8), 30, 90)
+    df = spark.createDataFrame([(v,) for v in vals * 2], "simhash bigint")
+    got = [tuple(r) for r in CP.near_pairs(df, most=most, chunk=chunk).collect()]
+    assert sorted(got) == [(a, b, apart(a, b)) for i, a in enumerate(vals) for b in vals[i + 1:] if apart(a, b) <= 6]
+
+
+@pytest.mark.parametrize("chunk", [13, 1 << 14])
+def test_same_sender_pairs_equal_brute_force(spark, chunk):
+    vals = near_values(random.Random(9), 25, 70)
+    rows = [(i, v, (None, "a.com", "b.com", "c.com")[i % 4 if i % 5 else 1]) for i, v in enumerate(vals * 2)]
+    first = {}
+    for i, v, s in rows:
+        if s:
+            first.setdefault((s, v), i)
+    hashes = spark.createDataFrame([r[:2] for r in rows], "message_id bigint, simhash bigint")
+    got = CP.same_sender_pairs(hashes, spark.createDataFrame([(i, s) for i, _, s in rows], "message_id bigint, sender string"), chunk=chunk)
+    want = [(s, i, j) for (s, x), i in first.items() for (t, y), j in first.items() if s == t and x < y and apart(x, y) <= 12]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
 def test_filing_keeps_buckets_small():
     for n in (10, 10 ** 4, 10 ** 6, 10 ** 8):
         blocks = CP.filing(n)
