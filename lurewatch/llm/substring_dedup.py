@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.llm import recompress
 from lurewatch.llm.common import BASES, U64, Ranges, Words, batches, flat, mix, table
-from lurewatch.llm.repeats import as_pieces, as_windows, banded, covered, expand, keyed, repeated_spans, runs
+from lurewatch.llm.repeats import by_hash, as_pieces, as_windows, banded, covered, expand, keyed, repeated_spans, runs
 
 WIDTH, BAND = 35, 5
 #: Text bytes of a slice: all symbol generations of a slice are in memory at once, some 70 bytes for each byte of text.
@@ -98,7 +98,7 @@ def _cut(width: int, with_text: bool):
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256 [, kept]) of every row of docs(doc_id, text)."""
     texts = keyed(docs)
-    spans = repeated_spans(texts, _pieces(width), _bands(width, BAND), _windows(width), limit=SLICE_BYTES)
+    spans = repeated_spans(texts, _pieces(width), _bands(width, BAND), _windows(width), by_hash, SLICE_BYTES)
     joined = texts.join(spans, "k", "left").select("doc_id", "text", "spans")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return batches(joined, _cut(width, with_text), schema)
@@ -107,7 +107,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
 def cut_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with repeated windows cut from text (and n_chars, if there, set anew); untouched texts stay as they are."""
     texts, names, at = keyed(docs), docs.columns, docs.columns.index("text")
-    spans = repeated_spans(texts, _pieces(width), _bands(width, BAND), _windows(width), limit=SLICE_BYTES).withColumnsRenamed({"k": "_own_k", "spans": "_own_spans"})
+    spans = repeated_spans(texts, _pieces(width), _bands(width, BAND), _windows(width), by_hash, SLICE_BYTES).withColumnsRenamed({"k": "_own_k", "spans": "_own_spans"})
     joined = docs.withColumn("_own_k", F.xxhash64("doc_id", "text")).join(spans, "_own_k", "left").select(*names, "_own_spans")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
