@@ -109,3 +109,16 @@ def test_stream_reads_tables_of_one_file_and_of_many(spark, tmp_path, parts):
     (tmp_path / "d" / "labels.parquet").mkdir()
     J.to_parquet(J.table_source(spark, f"{tmp_path}/d", "documents", DOCS), f"{tmp_path}/rows", f"{tmp_path}/cp")
     assert rows_of(spark.read.parquet(f"{tmp_path}/rows")) == sorted(rows, key=repr)
+
+
+def test_scored_batches_of_one_file_use_all_cores(spark, tmp_path, monkeypatch):
+    """Mail lands as one file; its rows are dealt out before any text is read, and none is lost."""
+    df = spark.createDataFrame([(i, f"m{i}") for i in range(64)], "message_id bigint, body string").coalesce(1)
+    seen = []
+
+    def scored(batch, model, vectors, **more):
+        seen.append((batch.rdd.getNumPartitions(), batch.count()))
+        return batch.select("message_id", F.lit("LOW").alias("band"), F.lit(0.0).alias("severity"), F.lit("").alias("vector"), F.lit(0.1).alias("p_final"), F.lit("").alias("sender"))
+    monkeypatch.setattr(J, "score_by", scored)
+    J.alerts(f"{tmp_path}/a", None)(df, 0)
+    assert seen == [(spark.sparkContext.defaultParallelism, 64)]
