@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.llm import recompress
 from lurewatch.llm.common import BASES, U64, Ranges, Words, batches, flat, mix, table
-from lurewatch.llm.repeats import by_hash, as_pieces, as_windows, banded, covered, expand, keyed, repeated_spans, runs
+from lurewatch.llm.repeats import as_pieces, as_windows, banded, by_hash, covered, expand, keyed, repeated_spans, runs
 
 WIDTH, BAND = 35, 5
 #: Text bytes of a slice: all symbol generations of a slice are in memory at once, some 70 bytes for each byte of text.

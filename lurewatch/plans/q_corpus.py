@@ -213,8 +213,12 @@ def pool(spark, d):
     from lurewatch.plans.features import prepare
     from lurewatch.rules.lexicons import TELL_BANKS
     df = prepare(messages(spark, d)).select("message_id", "subject", "sender", "body_text", "label", "source")
-    df = with_hits(df, only=TELL_BANKS)
-    return df.withColumn("spans", F.slice(F.filter("hits", lambda h: h.field == "body"), 1, 12)).drop("hits").withColumn("has_tell", F.size("spans") > 0)
+    return told(with_hits(df, only=TELL_BANKS)).withColumn("has_tell", F.size("spans") > 0)
+
+
+def told(df):
+    """Hits as the first twelve tell spans of the body."""
+    return df.withColumn("spans", F.slice(F.filter("hits", lambda h: h.field == "body"), 1, 12)).drop("hits")
 
 
 @query
@@ -235,9 +239,17 @@ def agg_pool_stats(spark, d):
 @query
 def smp_exercise(spark, d):
     """Question side of 20 highlight exercises: no label, no spans."""
-    df = pool(spark, d).where("label = 1 AND has_tell")
-    df = df.withColumn("h", SM.order_hash(F.col("message_id"), "highlight")).select("h", "message_id", "subject", "sender", F.md5(collapse(F.col("body_text"))).alias("body_md5"), F.size("spans").cast("bigint").alias("n_tells"))
-    return df.orderBy("h").limit(20).drop("h")
+    return exercises(messages(spark, d))
+
+
+def exercises(df, n: int = 20):
+    """Every hostile message is searched for a tell; only the chosen ones are searched for all of them."""
+    from lurewatch.functions.lexicon import any_hit, with_hits
+    from lurewatch.plans.features import prepare
+    from lurewatch.rules.lexicons import TELL_BANKS
+    df = prepare(df.where("label = 1")).where(any_hit(F.col("body_text"), TELL_BANKS))
+    df = df.select(SM.order_hash(F.col("message_id"), "highlight").alias("h"), "message_id", "subject", "sender", "body_text").orderBy("h").limit(n)
+    return told(with_hits(df, only=TELL_BANKS)).select("message_id", "subject", "sender", F.md5(collapse(F.col("body_text"))).alias("body_md5"), F.size("spans").cast("bigint").alias("n_tells"))
 
 
 @query

@@ -240,3 +240,18 @@ def test_ranges_hold_equal_shares_of_piled_up_scores(spark):
     rows = [(round(rng.uniform(0.99, 1) if rng.random() < 0.9 else rng.random(), 9),) for _ in range(20_000)]
     sizes = sorted(r["count"] for r in in_ranges(spark.createDataFrame(rows, "p double").repartition(6), ["p"]).groupBy("_b").count().collect())
     assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+def test_exercises_are_the_first_of_the_pool(spark):
+    """Told by a search that ends at the first tell, with the spans of the chosen ones only."""
+    from lurewatch.functions.lexicon import with_hits
+    from lurewatch.operators.sampling import order_hash
+    from lurewatch.plans.features import prepare
+    from lurewatch.plans.q_corpus import exercises, told
+    from lurewatch.rules.lexicons import TELL_BANKS
+    bodies = ["Verify your account now, it is urgent.", "Nothing here.", "URGENT: keep this confidential, urgent!", "<b>urgent</b> news", None, "", "Lunch at noon?", "Please open the attached file"]
+    rows = [(i, f"urgent {i}", "a@b.c", bodies[i % len(bodies)], i % 3 and 1, "web") for i in range(60)]
+    df = spark.createDataFrame(rows, "message_id bigint, subject string, sender string, body string, label int, source string")
+    want = told(with_hits(prepare(df).where("label = 1"), only=TELL_BANKS)).where(F.size("spans") > 0).orderBy(order_hash(F.col("message_id"), "highlight")).limit(9)
+    got = {r["message_id"]: r["n_tells"] for r in exercises(df, 9).collect()}
+    assert got == {r["message_id"]: len(r["spans"]) for r in want.collect()} and len(got) == 9
