@@ -54,6 +54,17 @@ def test_substring_dedup(spark, corpus):
     assert rows_of(substring_dedup.remove_repeats(docs_frame(spark, corpus), width=8), "doc_id", "n_words", "n_removed", "kept_sha256") == plain1(corpus, 8)
 
 
+def test_suffix_dedup_works_on_slices_of_a_megabyte(spark, monkeypatch, corpus):
+    """Arrays of a worker grow with its slice, so every step over texts names the same small one."""
+    seen = []
+    spans, cut = suffix_dedup.repeated_spans, suffix_dedup.batches
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda *a: (seen.append(a[5]), spans(*a))[1])
+    monkeypatch.setattr(suffix_dedup, "batches", lambda *a: (seen.append(a[3]), cut(*a))[1])
+    df = suffix_dedup.remove_repeated_bytes(docs_frame(spark, corpus))
+    assert seen == [1 << 20, 1 << 20]
+    assert rows_of(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain5(corpus)
+
+
 def test_substring_dedup_of_an_empty_table(spark):
     empty = docs_frame(spark, [])
     assert substring_dedup.remove_repeats(empty).count() == 0 and suffix_dedup.remove_repeated_bytes(empty).count() == 0
