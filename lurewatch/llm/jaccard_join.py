@@ -14,7 +14,9 @@ lists). A member meets one leader a round, the most central of its lists. In the
 rests, and who is outside elects and meets a new leader. What is left then meets pair by pair: members outside the main component
 and all others that share a second list, a hashed slice of these pairs first and the rest only where that joined nothing. That leaves
 no link between different components unseen, and needs no comparison inside one. Before two whole sets meet, their sketches (counts in
-hash slots) do: the sum of the smaller counts is never less than the overlap, so a pair that it rejects is no link.
+hash slots) do: the sum of the smaller counts is never less than the overlap, so a pair that it rejects is no link. Sketches are made
+with the classes, so whole sets are made only for the classes of pairs that are left. Texts are never shuffled for that: a bitmap of
+their keys, of one size at any number of rows, says which may be asked, and the exact join runs over the few sets made.
 
 Result: one row per document with its set size and the smallest doc_id reachable by links. Null and wordless texts have no
 shingles and no links. Repeated rows are one class; a null doc_id takes part, but is only reported if its component has no
@@ -25,10 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import BASES, U64, Ranges, Words, batches, flat, mix, table
+from lurewatch.llm.common import BASES, U64, Ranges, Words, batches, chunks, flat, mix, ship, table
 from lurewatch.llm.repeats import drop, keyed, signed, step
 
 SIZE, PERCENT = 4, 85
@@ -36,6 +39,8 @@ SAMPLE, HOT = 8, 1 << 17
 SHORT, ROUNDS, SLICE = 16, 2, 16
 #: Text bytes of a slice; a set takes some ten bytes for a byte of text while it is made.
 BYTES = 1 << 20
+#: Bits of the bitmap of asked keys: 131,072 words of 64 bits at most reach the driver. Fuller maps only let more sets be made.
+MAP_BITS = 1 << 23
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -73,7 +78,8 @@ def set_names(name: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _classes(size: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         name, first = shingles(batch.column(2), size)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(set_names(name, first)), pa.array(np.diff(first), pa.int64())], ["k", "doc_id", "cls", "n"])
+        columns = [batch.column(0), batch.column(1), signed(set_names(name, first)), pa.array(np.diff(first), pa.int64()), pa.array(sketches(name, first), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["k", "doc_id", "cls", "n", "sketch"])
     return work
 
 
@@ -106,11 +112,13 @@ def _prefixes(size: int, percent: int, hot):
     return work
 
 
-def sketch(members: np.ndarray) -> bytes:
-    """How many shingles fall into each of 64 to 1,024 hash slots, up to 255 (which stands for any more)."""
-    slots = 64 if len(members) <= 512 else 256 if len(members) <= 4096 else 1024
-    count = np.bincount((mix(members) % U64(1024)).astype(np.int64) % slots, minlength=slots)
-    return np.minimum(count, 255).astype(np.uint8).tobytes()
+def sketches(name: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """How many shingles of each set fall into each of 64 to 1,024 hash slots, up to 255 (which stands for any more)."""
+    slot, made = (mix(name) % U64(1024)).astype(np.int64), []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        slots = 64 if b - a <= 512 else 256 if b - a <= 4096 else 1024
+        made.append(np.minimum(np.bincount(slot[a:b] % slots, minlength=slots), 255).astype(np.uint8).tobytes())
+    return made
 
 
 def bound(a: bytes, b: bytes) -> int:
@@ -120,13 +128,31 @@ def bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(-1, slots).sum(axis=0), y.reshape(-1, slots).sum(axis=0)).sum())
 
 
-def _sets(size: int):
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        name, first = shingles(batch.column(0), size)
-        sets = [name[a:b] for a, b in zip(first[:-1], first[1:])]
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(first), pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()),
-                                           pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "n", "sketch", "members"])
-    return work
+def _sets(size: int, bitmap):
+    """(k, members) of the texts whose key is in the bitmap."""
+    def run(it):
+        for batch in it:
+            key = batch.column(0).to_numpy().view(U64) & U64(MAP_BITS - 1)
+            held = bitmap.value[(key >> U64(6)).astype(np.int64)] >> (key & U64(63)) & U64(1) == 1
+            batch = batch.filter(pa.array(held))
+            for a, b in chunks(batch.column(1), BYTES):
+                name, first = shingles(batch.column(1).slice(a, b - a), size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([name[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], ["k", "members"])
+    return run
+
+
+def set_rows(texts: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """(cls, members) with one row a class, as a written table. `asked` are classes with the key of one text each (cls, k, same); only a text
+    that stands in the table several times needs to be told apart."""
+    ship(texts.sparkSession)
+    slot = F.col("k").bitwiseAND(F.lit(MAP_BITS - 1))
+    words = asked.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits")).toPandas()  # at most MAP_BITS / 64 rows
+    bitmap = np.zeros(MAP_BITS >> 6, U64)
+    bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U64)
+    held = texts.sparkSession.sparkContext.broadcast(bitmap)
+    met = texts.select("k", "text").mapInArrow(_sets(size, held), "k long, members binary").join(asked, "k")
+    alone = asked.where("same > 1").isEmpty()
+    return step(met.select("cls", "members") if alone else met.where("same = 1").select("cls", "members").unionByName(met.where("same > 1").select("cls", "members").dropDuplicates(["cls"])))
 
 
 def overlap(a: bytes, b: bytes) -> int:
@@ -143,7 +169,7 @@ def _linked(percent: int):
         for batch in it:
             a, b, x, y = (batch.column(i) for i in range(4))
             both = np.array([overlap(p.as_py(), q.as_py()) for p, q in zip(x, y)], np.int64)
-            sizes = np.array([len(p) // 8 + len(q) // 8 for p, q in zip(x.to_pylist(), y.to_pylist())], np.int64)
+            sizes = sum(np.asarray(pc.binary_length(c), np.int64) // 8 for c in (x, y))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(100 * both >= percent * (sizes - both)))
     return run
 
@@ -158,15 +184,17 @@ def _possible(percent: int):
     return run
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold. Sketches of fixed size settle most that do not, whole sets meet for the rest."""
-    small = [sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")]
+def links(pairs: DataFrame, wanted: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold, as a written table. `wanted` holds cls, n, sketch, k and same of every class that
+    may be met. Sketches of fixed size settle most pairs that do not reach it, whole sets are made and meet for the rest."""
+    small = [wanted.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")]
     near = step(pairs.join(small[0], "a").join(small[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a long, b long"))
-    # the classes of the pairs that are left, as a table of known size: where it is small, no other set is shuffled
-    asked = step(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct())
-    wanted = sets.select("cls", "members").join(asked, "cls", "left_semi")
-    left, right = (wanted.select(F.col("cls").alias(c), F.col("members").alias(f"m{c}")) for c in ("a", "b"))
-    return near.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_linked(percent), "a long, b long")
+    if near.isEmpty():
+        return near
+    asked = step(wanted.select("cls", "k", "same").join(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), "cls", "left_semi"))
+    sets = set_rows(texts, asked, size)
+    left, right = (sets.select(F.col("cls").alias(c), F.col("members").alias(f"m{c}")) for c in ("a", "b"))
+    return step(near.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(_linked(percent), "a long, b long"), (near, asked, sets))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,17 +246,11 @@ def _placed(long: DataFrame, known: DataFrame) -> DataFrame:
     return placed.join(main, "s").withColumn("out", F.col("root") != F.col("main")).drop("main")
 
 
-def one_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(text, cls) with one row a class; only texts that stand in the table several times need to be told apart."""
-    met = texts.select("k", "text").join(wanted, "k")
-    return met.where("same = 1").select("text", "cls").unionByName(met.where("same > 1").dropDuplicates(["cls"]).select("text", "cls"))
-
-
 def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(k, doc_id, cls, n, root) of every row: its class, set size and component."""
     texts = keyed(docs)
     kind = dict(docs.dtypes)["doc_id"]
-    rows = step(batches(texts.select("k", "doc_id", "text"), _classes(size), f"k long, doc_id {kind}, cls long, n long", BYTES))
+    rows = step(batches(texts.select("k", "doc_id", "text"), _classes(size), f"k long, doc_id {kind}, cls long, n long, sketch binary", BYTES))
     only = texts.select("text")
     seen = batches(only, _sampled(size, SAMPLE), "s long", BYTES).groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     seen = step(seen.orderBy(F.desc("c"), "s").limit(HOT)).orderBy(F.desc("c"), "s").toPandas()  # at most HOT rows of 16 bytes
@@ -245,19 +267,23 @@ def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     long = step(long.join(long.groupBy("cls").agg(F.count("*").alias("lists")), "cls"))
     met = step(_pairs(short, short, ["s"], percent, F.col("x.cls") < F.col("y.cls")).groupBy("a", "b").agg(F.count("*").alias("met")), (entries,))
     few = met.where("met > 1").select("a", "b")
-    # sets and sketches of the classes that may be compared, from one text each
+    # size, sketch and one text's key of the classes that may be compared
     asked = few.select(F.col("a").alias("cls")).union(few.select("b")).union(long.select("cls")).distinct()
-    wanted = step(rows.groupBy("cls", "k").agg(F.count("*").alias("same")).join(asked, "cls").groupBy("cls").agg(F.min(F.struct("same", "k")).alias("w")).select("cls", "w.k", "w.same"))
-    sets = step(batches(one_text(texts, wanted), _sets(size), "cls long, n long, sketch binary, members binary", BYTES), (wanted,))
+    wanted = rows.join(asked, "cls", "left_semi").groupBy("cls", "n", "sketch", "k").agg(F.count("*").alias("same"))
+    wanted = step(wanted.groupBy("cls", "n", "sketch").agg(F.min(F.struct("same", "k")).alias("w")).select("cls", "n", "sketch", "w.k", "w.same"))
+
+    def linked(pairs):
+        return links(pairs, wanted, texts, size, percent)
+
     # long lists in rounds: a member meets one leader at a time, and the main component of a list rests after the first
     turn = _leaders(long.withColumn("root", F.col("cls")), None, percent)
     tried = step(few.unionByName(turn).distinct())
-    edges = step(links(tried, sets, percent))
+    edges = linked(tried)
     known = components(edges)
     for _ in range(ROUNDS):
         out = step(_placed(long, known).where("out"))
         turn = step(_leaders(out, tried, percent), (out,))
-        more = step(links(turn, sets, percent))
+        more = linked(turn)
         tried = step(tried.unionByName(turn), (tried, turn))
         if not more.isEmpty():
             edges = step(edges.unionByName(more), (edges,))
@@ -272,14 +298,14 @@ def class_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     late = late.join(met, ["a", "b"], "left").join(tried, ["a", "b"], "left_anti")
     late = step(late.where(F.col("seen") + F.coalesce("met", F.lit(0)) > 1).select("a", "b"), (placed, met, tried))
     first = F.pmod(F.xxhash64("a", "b"), F.lit(SLICE)) == 0
-    more = step(links(late.where(first), sets, percent))
+    more = linked(late.where(first))
     if not more.isEmpty():
         edges = step(edges.unionByName(more), (edges,))
         known = components(edges)
     roots = {c: known.select(F.col("cls").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b")}
     apart = late.where(~first).join(roots["a"], "a", "left").join(roots["b"], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    more = step(links(step(apart.select("a", "b")), sets, percent))
-    drop(sets, late)
+    more = linked(step(apart.select("a", "b")))
+    drop(wanted, late)
     if not more.isEmpty():
         known = components(edges.unionByName(more))
     return rows.join(known, "cls", "left").select("k", "doc_id", "cls", "n", F.coalesce("root", "cls").alias("root"))

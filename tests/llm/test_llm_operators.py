@@ -139,6 +139,29 @@ def test_jaccard_long_lists(spark):
     assert rows_of(jaccard_join.jaccard_components(docs_frame(spark, rows))) == want
 
 
+def test_jaccard_shuffles_no_texts(spark, monkeypatch):
+    """Rows that repeat, copies and near copies: no step deals texts out, and batches to workers are bounded in bytes."""
+    rng = random.Random(8)
+    base = prose(rng, 120).split(" ")
+    rows = [(i, " ".join(base[:-1] + [f"e{i % 4}"])) for i in range(8)] + [(1, " ".join(base[:-1] + ["e1"]))] * 3
+    rows += [(20 + i, prose(rng, 90)) for i in range(4)]
+    moved, own = [], jaccard_join.step
+
+    def step(df, done=()):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        moved.extend(part for part in plan.split("\n\n") if "Exchange" in part and "text#" in part.partition("Input")[2].split("\n")[0])
+        return own(df, done)
+    monkeypatch.setattr(jaccard_join, "step", step)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rows_of(jaccard_join.jaccard_components(docs_frame(spark, rows)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == plain10(rows) and not moved
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
 def test_one_document_of_each_group_stays(spark, corpus):
     kept = jaccard_join.one_of_each(docs_frame(spark, corpus))
     root = {}
