@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.functions.common import count_char, count_matches, extract_all, flag, kept_length, member, sql_string, words
+from lurewatch.functions.common import count_char, count_matches, extract_all, fence, flag, kept_length, words
 from lurewatch.rules import patterns as P
 
 MIN_TOKENS, MIN_MESSAGES, MIN_TRAITS, SUSPICIOUS = 80, 12, 10, 1.16
@@ -28,6 +28,7 @@ CONTRACTION = (
     r"won't|can't|cannot|couldn't|shouldn't|wouldn't|isn't|aren't|wasn't|weren't|haven't|hasn't|hadn't|let's|what's|"
     r"who's)\b"
 )
+CONTRACTION_START = "(?=[A-Za-z]{1,8}+'|(?i:cannot))"  # a look-ahead test put before it, as those in `patterns`
 GREETINGS = {
     "dear": r"(?i)^\s*dear\b", "hi": r"(?i)^\s*hi\b", "hello": r"(?i)^\s*hello\b", "hey": r"(?i)^\s*hey\b",
     "good": r"(?i)^\s*good\s+(?:morning|afternoon|evening)\b", "name_only": r"(?i)^\s*[A-Z][a-z]+\s*[,:-]",
@@ -51,24 +52,35 @@ TRAIT_NAMES = (
 
 
 def readable_body(text: Column) -> Column:
-    """The sender's own words: cut at a quote intro, drop quoted lines, cut at the signature, blank links and addresses."""
+    """The sender's own words: cut at a quote intro, drop quoted lines, cut at the signature, blank links and addresses.
+
+    What is cut always leaves a line end before it, so a text without the signs of a link or an address has none afterwards."""
     own = F.get(F.split(text, P.STYLE_QUOTE_INTRO, 2), F.lit(0))
     own = F.regexp_replace(own, P.STYLE_QUOTED_LINE, "")
     own = F.get(F.split(own, P.STYLE_SIGNATURE, 2), F.lit(0))
-    own = F.regexp_replace(F.regexp_replace(own, P.STYLE_URL, " "), P.STYLE_EMAIL, " ")
+    own = F.when(text.contains("://") | text.contains("www."), F.regexp_replace(own, P.STYLE_URL, " ")).otherwise(own)
+    own = F.when(text.contains("@"), F.regexp_replace(own, P.STYLE_EMAIL, " ")).otherwise(own)
     return F.regexp_replace(own, r"^\s+|\s+$", "")
 
 
+def times(spaced: str, word: str) -> Column:
+    """How often a word stands between two spaces in a text where each word has its own two."""
+    rest = F.replace(F.col(spaced), F.lit(f" {word} "), F.lit(""))
+    return ((F.octet_length(spaced) - F.octet_length(rest)) / (len(word) + 2)).cast("int")
+
+
 def with_traits(df: DataFrame, text: str) -> DataFrame:
     """Add the 125 trait columns; rows under 80 words are left out. One pass per text, no shuffle."""
     df = df.withColumn("own", readable_body(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("toks", extract_all(F.lower("own"), P.STYLE_TOKEN)).withColumn("n_tokens", F.size("toks"))
-    df = df.where(F.col("n_tokens") >= MIN_TOKENS)
+    df = fence(df, "n_tokens").where(F.col("n_tokens") >= MIN_TOKENS)
     own, toks, n = F.col("own"), F.col("toks"), F.col("n_tokens")
-    fw = F.filter(toks, lambda t: member(t, FUNCTION_WORDS))
+    fw = F.filter(toks, lambda t: t.isin(*FUNCTION_WORDS))
     df = df.withColumns({
-        "fw_hits": fw,
-        "sorted_toks": F.array_sort(toks),
+        "fw_hits": F.concat(F.lit(" "), F.array_join(fw, "  "), F.lit(" ")),  # a token holds no space
+        "all_toks": F.array_join(toks, ""),  # a token is ASCII
+        "sorted_toks": F.sort_array(toks),
+        "signs": F.regexp_replace(own, "[^" + "".join(PUNCTUATION.values()) + "]+", ""),
         "n_chars_own": F.greatest(F.length(own), F.lit(1)),
         "lines": F.split(own, "\n"),
         "sentence_lens": F.transform(F.filter(F.split(own, SENTENCE_BREAK), lambda s: s.rlike(r"\S")),
@@ -84,18 +96,18 @@ def with_traits(df: DataFrame, text: str) -> DataFrame:
     })
     hapax = F.size(F.filter(F.col("sorted_toks"), lambda t, i: (
         F.coalesce(F.get("sorted_toks", i - 1) != t, F.lit(True)) & F.coalesce(F.get("sorted_toks", i + 1) != t, F.lit(True)))))
-    caps = F.size(F.filter("own_words", lambda w: (F.length(w) > 2) & (w == F.upper(w)) & (w != F.lower(w))))
+    caps = F.size(F.filter("own_words", lambda w: (F.length(w) > 2) & (w != F.lower(w)) & (w == F.upper(w))))
     mean = F.col("mean_len")
-    out = {f"fw_{w}": F.expr(f"1000.0D * size(filter(fw_hits, t -> t = {sql_string(w)})) / n_tokens") for w in FUNCTION_WORDS}
-    out |= {f"pn_{k}": 1000.0 * count_char(own, c) / ch for k, c in PUNCTUATION.items()}
+    out = {f"fw_{w}": 1000.0 * times("fw_hits", w) / n for w in FUNCTION_WORDS}
+    out |= {f"pn_{k}": 1000.0 * count_char(F.col("signs"), c) / ch for k, c in PUNCTUATION.items()}
     out |= {
         "st_sentence_len": mean,
         "st_sentence_sd": F.sqrt(F.aggregate(lens, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(lens)),
-        "st_word_len": F.aggregate(toks, F.lit(0), lambda a, t: a + F.length(t)) / n,
-        "st_long_words": 100.0 * F.size(F.filter(toks, lambda t: F.length(t) > 6)) / n,
+        "st_word_len": F.octet_length("all_toks") / n,
+        "st_long_words": 100.0 * F.size(F.filter(toks, lambda t: F.octet_length(t) > 6)) / n,
         "st_hapax": 100.0 * hapax / n,
         "st_allcaps": 100.0 * caps / F.greatest(F.size("own_words"), F.lit(1)),
-        "st_contractions": 1000.0 * count_matches(own, CONTRACTION) / n,
+        "st_contractions": 1000.0 * count_matches(own, CONTRACTION_START + CONTRACTION) / n,
         "st_digits": 100.0 * kept_length(own, "[^0-9]+") / ch,
         "st_emoji": 1000.0 * count_matches(own, EMOJI) / n,
         "st_blank_lines": 100.0 * F.size(F.filter(lines, lambda l: ~l.rlike(r"\S"))) / F.size(lines),
@@ -106,5 +118,5 @@ def with_traits(df: DataFrame, text: str) -> DataFrame:
     out |= {f"gr_{k}": flag(F.col("first_line").rlike(p)) for k, p in GREETINGS.items()} | {"gr_none": F.lit(0.0)}
     out |= {f"sg_{k}": flag(F.col("tail").rlike(p)) for k, p in SIGNOFFS.items()}
     return df.withColumns({k: v.cast("double") for k, v in out.items()}).drop(
-        "own", "toks", "fw_hits", "sorted_toks", "n_chars_own", "lines", "sentence_lens", "own_words", "starts", "mean_len",
+        "own", "toks", "fw_hits", "all_toks", "sorted_toks", "signs", "n_chars_own", "lines", "sentence_lens", "own_words", "starts", "mean_len",
         "first_line", "tail")

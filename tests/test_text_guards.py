@@ -1,11 +1,13 @@
 """Guards of the feature row: a pattern is skipped only where it cannot match."""
 
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from lurewatch.functions import body as B
 from lurewatch.functions import lexicon as LX
+from lurewatch.functions import style as ST
 from lurewatch.functions.common import extract_all
 from lurewatch.rules import patterns as P
 from lurewatch.rules.lexicons import compile_banks, word_seeds
@@ -63,3 +65,22 @@ def test_share_of_capitals(spark):
         kinds = [unicodedata.category(c) for c in r[1]]
         letters = sum(k[0] == "L" for k in kinds)
         assert abs(r[3] - (kinds.count("Lu") / letters if letters else 0.0)) < 1e-12, r
+
+
+def test_style_traits_are_plain_counts(spark):
+    prose = "Don't wait, we've all cannot (or can't) go; he said \"it's of no use\" to us and to them. Shouldn't O'Neil's APPLICATIONS work? "
+    rows = [(0, prose * 5), (1, None), (2, "too short"), (3, "see https://a.b/c?x=1 or www.d.e, mail me at a.b@c.de! " * 12 + prose), (4, "Über the İstanbul\n> quoted a@b.cc\n\n" + "the of 'a' & / : " * 30)]
+    df = ST.with_traits(spark.createDataFrame(rows, "doc_id int, text string"), "text")
+    got = {r["doc_id"]: r.asDict() for r in df.collect()}
+    assert set(got) == {0, 3, 4}
+    for i, text in ((0, rows[0][1]), (4, rows[4][1].replace("> quoted a@b.cc", ""))):
+        own = text.strip()
+        toks = re.findall("[a-z']+", own.lower())
+        want = {f"fw_{w}": 1000 * toks.count(w) / len(toks) for w in ST.FUNCTION_WORDS}
+        want |= {f"pn_{k}": 1000 * own.count(c) / len(own) for k, c in ST.PUNCTUATION.items()}
+        want |= {"st_word_len": sum(map(len, toks)) / len(toks), "st_long_words": 100 * sum(len(t) > 6 for t in toks) / len(toks),
+                 "st_hapax": 100 * sum(toks.count(t) == 1 for t in toks) / len(toks), "st_contractions": 1000 * len(re.findall(ST.CONTRACTION, own)) / len(toks)}
+        assert {k: got[i][k] for k, v in want.items() if abs(got[i][k] - v) > 1e-9} == {}, want
+    assert got[3]["pn_slash"] == 0.0  # links and addresses are blanked
+    # the least number of words is tested on the tokens already made, not on a second reading of the text
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("[a-z']+, 0") == 1
