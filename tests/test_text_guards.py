@@ -10,7 +10,7 @@ from lurewatch.functions import lexicon as LX
 from lurewatch.functions import style as ST
 from lurewatch.functions.common import extract_all
 from lurewatch.rules import patterns as P
-from lurewatch.rules.lexicons import compile_banks, word_seeds
+from lurewatch.rules.lexicons import at_first_chars, compile_banks, first_chars, word_seeds
 
 BODIES = [
     "", "contact during hotel stay, factory restoring", "Act now! Please CALL our support team on 1-833-555-0142.",
@@ -59,6 +59,17 @@ def test_guards_change_no_count(spark):
     assert {n: v for n, v in bad.items() if v} == {}
 
 
+def test_first_characters(spark):
+    told = {r"(?i)\b(?:Pay|send|[0-9a]{2,}x)\b": "0123456789aps", r"\b(?:re-?)?verify": "rv", r"(?:a|b)?c+": "abc", r"^(?:x|(?:y|z))": "xyz"}
+    assert {p: first_chars(p) for p in told} == told
+    assert [p for p in (r"a?", r"\d+", r"[^a]b", r"(?:é|e)", r".a", r"(?=a)b", r"(?iu)k", r"\s*x", r"(a)?\1b", r"[a-é]") if first_chars(p)] == []
+    assert at_first_chars(r"\d+") == r"\d+"
+    assert all(at_first_chars(p).startswith("(?=[") for p in compile_banks().values())
+    for p in (*told, r"(?i)\b(?:[-^\]]x|&k|~)"):
+        df = spark.createDataFrame([(v,) for v in ("PAY now, send, 12x aax 1x", "reverify VERIFY verify re-verify", "cc abc ac b", "x\ny", "-x ^X ]x \u212ax &K ~ a&k", "")], "t string")
+        assert df.where(F.regexp_count("t", F.lit(p)) != F.regexp_count("t", F.lit(at_first_chars(p)))).count() == 0, p
+
+
 def test_share_of_capitals(spark):
     rows = frame(spark).select("subject", "body", *[B.text_features()[f"txt_{n}_upper_ratio"].alias(n) for n in ("subject", "body")]).collect()
     for r in rows:
