@@ -122,3 +122,27 @@ def test_scored_batches_of_one_file_use_all_cores(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(J, "score_by", scored)
     J.alerts(f"{tmp_path}/a", None)(df, 0)
     assert seen == [(spark.sparkContext.defaultParallelism, 64)]
+
+
+def test_a_landed_file_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    """Such a file is cut into many splits, but one of them holds all rows; and the address is added after the rows are dealt out."""
+    words = " ".join(f"word{i % 17} runs, and it stops." for i in range(40))
+    spark.range(400).select(F.col("id").alias("message_id"), F.concat(F.col("id").cast("string"), F.lit(" "), F.lit(words)).alias("body")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = []
+
+    def rows(df, text, *keep, plain=STY.trait_rows):
+        seen.append([r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()])
+        return plain(df, text, *keep)
+    monkeypatch.setattr(STY, "trait_rows", rows)
+    old = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        state = J.style_state(f"{tmp_path}/p")
+        each = J.style_update(str(tmp_path), state, lambda b: b.select("message_id"), named=lambda b: b.withColumn("address", F.lit("a.example")))
+        J.run(J.source(spark, f"{tmp_path}/in", "message_id bigint, body string"), each, f"{tmp_path}/cp")
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[1])
+    assert len(seen) == 1 and len(seen[0]) > 1 and max(seen[0]) < 400 and sum(seen[0]) == 400
+    assert [(r.address, r.m[0]) for r in state.read(spark).collect()] == [("a.example", 400.0)]
