@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.operators.skew import top_per_group
 
-BLOCK = 4096
+BLOCK, LEAST, STRIP = 1 << 14, 1024, 512
 MIN_SIM = 0.45
 
 
@@ -20,6 +20,22 @@ def normalised(df: DataFrame, vec: str = "embedding") -> DataFrame:
     return df.withColumn("_n", norm).where("_n > 0").withColumn(vec, F.transform(vec, lambda x: (x / F.col("_n")).cast("float"))).drop("_n")
 
 
+def _best(k: int, min_sim: float):
+    """A function that workers get by value: (query, neighbour, similarity) of the k best columns of each row that reach min_sim,
+    never the query itself."""
+    def best(sims: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> tuple[np.ndarray, ...]:
+        hit = (sims >= min_sim) & (qi[:, None] != xi[None, :])
+        if np.count_nonzero(hit) > 8 * k * len(sims) and k < sims.shape[1]:
+            hit &= sims >= np.partition(np.where(hit, sims, -2.0), -k, axis=1)[:, -k, None]
+        row, col = np.nonzero(hit)
+        sim = sims[row, col]
+        order = np.lexsort((xi[col], -sim, row))
+        row, col, sim = row[order], col[order], sim[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return qi[row[first]], xi[col[first]], sim[first]
+    return best
+
+
 def knn(queries: DataFrame, index: DataFrame, k: int, min_sim: float = MIN_SIM, block: int = BLOCK, total: int | None = None) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): the k nearest index rows of each query, never the query itself.
 
@@ -34,6 +50,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int, min_sim: float = MIN_SIM,
                      F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("xqb"))
     q = q.withColumn("qb", F.col("qb").cast("int"))
 
+    best = _best(k, min_sim)
+
     def block_top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "neighbour_id", "similarity"]
         if left.empty or right.empty:
@@ -42,13 +60,9 @@ def knn(queries: DataFrame, index: DataFrame, k: int, min_sim: float = MIN_SIM,
         b = np.stack(right["xe"].to_numpy()).astype("float64")
         a /= np.linalg.norm(a, axis=1, keepdims=True)
         b /= np.linalg.norm(b, axis=1, keepdims=True)
-        sims = a @ b.T
         qi, xi = left["id"].to_numpy(), right["xid"].to_numpy()
-        sims[qi[:, None] == xi[None, :]] = -2.0
-        take = min(k, sims.shape[1])
-        best = np.lexsort((np.broadcast_to(xi, sims.shape), -sims), axis=1)[:, :take]
-        out = pd.DataFrame({"query_id": np.repeat(qi, take), "neighbour_id": xi[best].ravel(), "similarity": np.take_along_axis(sims, best, 1).ravel()})
-        return out[out["similarity"] >= min_sim]
+        found = [best(a[low: low + STRIP] @ b.T, qi[low: low + STRIP], xi) for low in range(0, len(a), STRIP)]
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(cols, zip(*found))})
 
     met = q.groupBy("qb", "ib").cogroup(x.groupBy("xqb", "xib")).applyInPandas(block_top, "query_id bigint, neighbour_id bigint, similarity double")
     return top_per_group(met, ["query_id"], [F.desc("similarity"), F.col("neighbour_id")], k, F.col("neighbour_id"), parts=4)

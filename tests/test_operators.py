@@ -255,3 +255,38 @@ def test_exercises_are_the_first_of_the_pool(spark):
     want = told(with_hits(prepare(df).where("label = 1"), only=TELL_BANKS)).where(F.size("spans") > 0).orderBy(order_hash(F.col("message_id"), "highlight")).limit(9)
     got = {r["message_id"]: r["n_tells"] for r in exercises(df, 9).collect()}
     assert got == {r["message_id"]: len(r["spans"]) for r in want.collect()} and len(got) == 9
+
+
+def test_nearest_neighbours_sort_only_what_is_near(spark, monkeypatch):
+    """Ties, copies, a zero vector and a repeated id, against a plain sort; and no sort of a whole block."""
+    import numpy as np
+    from lurewatch.operators import retrieval as RT
+    rng = np.random.default_rng(5)
+    vec = rng.normal(size=(150, 6))
+    vec[20:60] = vec[20]
+    vec[60:75] = 2 * vec[60]
+    vec[80] = 0
+    ids = np.arange(150)
+    ids[31] = 30
+    with np.errstate(invalid="ignore"):
+        unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    asked, longest = np.nan_to_num(sims, nan=-2.0), []
+    plain = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: longest.append(len(keys[0])) or plain(keys))
+    for k, least in ((5, 0.45), (3, -1.0), (200, 0.9)):
+        q, x, s = RT._best(k, least)(sims, ids, ids)
+        want = []
+        for i in range(150):
+            near = sorted((-asked[i, j], ids[j]) for j in range(150) if ids[i] != ids[j] and asked[i, j] >= least)
+            want += [(ids[i], j, -v) for v, j in near[:k]]
+        assert sorted(zip(q, x, np.round(s, 9))) == sorted((a, b, round(c, 9)) for a, b, c in want)
+    far = rng.normal(size=(300, 64))
+    far /= np.linalg.norm(far, axis=1, keepdims=True)
+    longest.clear()
+    RT._best(5, 0.45)(far @ far.T, np.arange(300), np.arange(300))
+    assert longest[0] < 300 * 300 // 50
+    rows = [(int(i), [float(y) for y in v]) for i, v in enumerate(far[:80])]
+    v = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    few = [sorted(map(tuple, RT.knn(v, v, 4, 0.1, block=b).select("query_id", "neighbour_id", F.round("similarity", 5), "rank").collect())) for b in (7, 1000)]
+    assert few[0] == few[1] and few[0]
